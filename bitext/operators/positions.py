@@ -5,6 +5,12 @@ Instead: range-partition on the ordering, number rows inside each partition,
 count rows per (partition, group), turn the counts into offsets on that small
 table, and join the offsets back. The count table has at most
 ``partitions + groups`` rows; it is broadcast only when that is checked.
+
+The range-partitioned rows are written once as a Parquet table in the shared
+checkpoint folder before they are counted. Two separately planned range
+exchanges sample their bounds with different seeds, so counting and numbering
+must read the same materialised rows; the written table also cuts lineage
+and survives a lost executor.
 """
 
 from __future__ import annotations
@@ -12,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitext.session import scratch_path
+
 # Broadcast the offsets table only below this many rows.
 BROADCAST_MAX_ROWS = 2_000_000
 
@@ -22,6 +30,11 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after checking its row count (one action)."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def dense_position(
     df: DataFrame,
     order_cols: list[str | Column],
@@ -37,6 +50,7 @@ def dense_position(
     Work is spread over ``num_partitions`` range partitions, so one group
     holding a third of all rows still spans many tasks.
     """
+    spark = df.sparkSession
     group_cols = list(group_cols or [])
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keys = [F.col(c) for c in group_cols] + order
@@ -47,10 +61,12 @@ def dense_position(
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
     )
+    path = scratch_path(spark, "positions")
+    ranged.write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(path)
+
     gkeys = ["_pid"] + group_cols
-    counts = ranged.groupBy(*gkeys).agg(
-        F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first")
-    )
+    counts = rows.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(*group_cols).orderBy("_pid") if group_cols else Window.orderBy("_pid")
     offsets = counts.withColumn(
         "_off",
@@ -60,12 +76,10 @@ def dense_position(
         total_w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
         offsets = offsets.withColumn(count_col, F.sum("_cnt").over(total_w))
     offsets = offsets.drop("_cnt")
-    if not group_cols:
-        # At most ``n`` rows: a proven bound, broadcast without a check.
-        offsets = F.broadcast(offsets)
-    elif offsets.count() <= BROADCAST_MAX_ROWS:
-        offsets = F.broadcast(offsets)
-    out = ranged.join(offsets, on=gkeys, how="inner").withColumn(
+    # Without groups the table has at most ``n`` rows (a proven bound);
+    # with groups its size is checked first.
+    offsets = F.broadcast(offsets) if not group_cols else broadcast_if_small(offsets)
+    out = rows.join(offsets, on=gkeys, how="inner").withColumn(
         pos_col, (F.col("_mid") - F.col("_first") + F.col("_off")).cast("long")
     )
     return out.drop("_pid", "_mid", "_first", "_off")

@@ -8,7 +8,8 @@ Each view reads the given parquet tables, so its work grows with them:
 * ``refs(sent_id, ref)`` / ``hyps(sent_id, hyp)``  metric input: the reference
   is the target line; the prediction drops every 7th word; no prediction for
   a pair whose source line is blank.
-* ``step_log(run, epoch, batch, step, loss, n_tokens, learning_rate, ts)``
+* ``step_log(run, epoch, batch, step, loss, n_tokens, learning_rate, ts)``;
+  loss = ln(1 + value/100), a cross-entropy-like positive value.
 * ``requests(session_id, request_id, text)``
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitext.functions.text import is_blank
-from bitext.operators.positions import BROADCAST_MAX_ROWS, dense_position
+from bitext.operators.positions import broadcast_if_small, dense_position
 from bitext.session import read_table
 
 # Multipliers that make composite ids unique (turn < 1000, line < 1000,
@@ -80,7 +81,7 @@ def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.dayofmonth("ts").alias("epoch"),
         "ts",
         "event_id",
-        (F.col("value") / 100.0).alias("loss"),
+        F.log(F.col("value") / 100.0 + 1.0).alias("loss"),
         (F.col("user_id") + 1).alias("n_tokens"),
         ((F.col("user_id") + 1) * F.lit(1e-6)).alias("learning_rate"),
     )
@@ -92,8 +93,7 @@ def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     offsets = per_epoch.select(
         "run", "epoch", F.coalesce(F.sum("n_batches").over(w), F.lit(0)).alias("_before")
     )
-    if offsets.count() <= BROADCAST_MAX_ROWS:
-        offsets = F.broadcast(offsets)
+    offsets = broadcast_if_small(offsets)
     return pos.join(offsets, ["run", "epoch"]).select(
         "run",
         "epoch",

@@ -71,7 +71,7 @@ hyps AS (
 
 STEP_LOG = """
 ev AS (
-  SELECT event_type AS run, CAST(day(ts) AS INTEGER) AS epoch, ts, event_id, value / 100.0 AS loss,
+  SELECT event_type AS run, CAST(day(ts) AS INTEGER) AS epoch, ts, event_id, ln(value / 100.0 + 1.0) AS loss,
          user_id + 1 AS n_tokens, (user_id + 1) * 1e-6 AS learning_rate
   FROM events),
 step_log AS (
