@@ -79,7 +79,6 @@ def beam_search(
     nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     out_path = scratch_path(spark, "beam-out")
     live = starts.repartition(nparts, "sent_id")
-    done_path = None
     for step in range(1, max_steps + 1):
         cands = expand(live)
         w_beam = Window.partitionBy("sent_id", "beam").orderBy(F.desc("logp"), "token")
@@ -127,10 +126,8 @@ def beam_search(
         live_path = scratch_path(spark, f"beam-live-{step}")
         nxt.repartition(nparts, "sent_id").write.mode("overwrite").parquet(live_path)
         live = spark.read.parquet(live_path)
-        done_path = live_path
         if live.limit(1).count() == 0:
             break
-    del done_path
     res = spark.read.parquet(out_path)
     w_fin = Window.partitionBy("sent_id").orderBy(F.desc("score"), "step", "beam", "rank")
     best_fin = (

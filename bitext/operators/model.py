@@ -63,6 +63,13 @@ class BigramLM:
         )
         self.obs, self.ctx = obs, ctx
 
+    def materialize(self) -> "BigramLM":
+        """Write both tables to the shared checkpoint folder (iterative users
+        such as the beam search read them every step)."""
+        self.obs = cut_lineage(self.obs)
+        self.ctx = cut_lineage(self.ctx)
+        return self
+
     @property
     def uniform_logp(self) -> float:
         return -math.log(self.V)

@@ -13,6 +13,7 @@ from bitext.operators import metrics as M
 from bitext.operators import model as K
 from bitext.plans import q_corpus, q_vocab
 from bitext.plans import sql_fixtures as S
+from bitext.session import cut_lineage
 
 EM_ROUNDS = 2  # unrolled in the oracle
 TOP_C = 8
@@ -122,7 +123,8 @@ def beam_decode(spark, sf_dir):
     """K1-only beam search from [SOS]: k=4, alpha=0.7, 3 steps."""
     lm, _, _ = _lm(spark, sf_dir)
     starts = D.start_beams(spark.range(1).select(F.col("id").alias("sent_id")))
-    res = D.beam_search(spark, starts, D.lm_expander(_lm_cands(lm)), D.BEAM, D.ALPHA_EVAL, max_steps=3)
+    cands = cut_lineage(_lm_cands(lm))
+    res = D.beam_search(spark, starts, D.lm_expander(cands), D.BEAM, D.ALPHA_EVAL, max_steps=3)
     return res.select("sent_id", F.array_join("seq", " ").alias("seq"), r6("score").alias("score"), "kind", "step")
 
 
@@ -146,7 +148,7 @@ def _translate(spark, sf_dir, repeat=K.PENALTY, block=None, max_steps=24, alpha=
     """K4 over every test sentence: candidates = top-c lexical tokens + [EOS],
     scored by the LM/TM mix; returns (sent_id, ids, score, kind, step)."""
     vocab, train, test = _data(spark, sf_dir)
-    lm = K.BigramLM(train, "tgt_ids", vocab.count())
+    lm = K.BigramLM(train, "tgt_ids", vocab.count()).materialize()
     table = K.lexical_em(train, rounds=3)
     sents = test.select(F.col("pair_id").alias("sent_id"), "src_ids")
     top = K.translation_candidates(sents, table, top_c=TOP_C).select("sent_id", "token", "score")
@@ -157,6 +159,7 @@ def _translate(spark, sf_dir, repeat=K.PENALTY, block=None, max_steps=24, alpha=
     )
     cands = top.unionByName(eos).groupBy("sent_id", "token").agg(F.max("score").alias("score"))
     cands = cands.select("sent_id", "token", F.log(F.greatest("score", F.lit(1e-12))).alias("tm_logp"))
+    cands = cut_lineage(cands.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sent_id"))
     starts = D.start_beams(sents)
     expand = D.translation_expander(cands, lm, K.LAMBDA, repeat_penalty=repeat, ngram_block=block)
     return D.beam_search(spark, starts, expand, D.BEAM, alpha, max_steps=max_steps), vocab
