@@ -144,25 +144,47 @@ def translation_candidates(spark, sf_dir):
     return c.select("sent_id", "rank", "token", r6("score").alias("score"))
 
 
-def _translate(spark, sf_dir, repeat=K.PENALTY, block=None, max_steps=24, alpha=D.ALPHA_INFER):
-    """K4 over every test sentence: candidates = top-c lexical tokens + [EOS],
-    scored by the LM/TM mix; returns (sent_id, ids, score, kind, step)."""
-    vocab, train, test = _data(spark, sf_dir)
-    lm = K.BigramLM(train, "tgt_ids", vocab.count()).materialize()
-    table = K.lexical_em(train, rounds=3)
-    sents = test.select(F.col("pair_id").alias("sent_id"), "src_ids")
-    top = K.translation_candidates(sents, table, top_c=TOP_C).select("sent_id", "token", "score")
-    # [EOS] always competes, with its own lexical score (or a floor).
-    eos = (
-        K.translation_candidates(sents, table.where(F.col("t") == EOS_ID), top_c=1)
-        .select("sent_id", "token", "score")
-    )
-    cands = top.unionByName(eos).groupBy("sent_id", "token").agg(F.max("score").alias("score"))
-    cands = cands.select("sent_id", "token", F.log(F.greatest("score", F.lit(1e-12))).alias("tm_logp"))
-    cands = cut_lineage(cands.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sent_id"))
-    starts = D.start_beams(sents)
-    expand = D.translation_expander(cands, lm, K.LAMBDA, repeat_penalty=repeat, ngram_block=block)
-    return D.beam_search(spark, starts, expand, D.BEAM, alpha, max_steps=max_steps), vocab
+class Translator:
+    """K4 assembled from the training rows: LM and lexical table are written
+    once; ``decode`` runs the beam search for (sent_id, src_ids) rows and
+    ``translate_text`` encodes raw text first."""
+
+    def __init__(self, spark, sf_dir, em_rounds=3):
+        self.spark = spark
+        vocab, train, test = _data(spark, sf_dir)
+        self.vocab = cut_lineage(vocab)
+        self.test = test
+        self.lm = K.BigramLM(train, "tgt_ids", self.vocab.count()).materialize()
+        self.table = K.lexical_em(train, rounds=em_rounds)
+
+    def decode(self, sents, repeat=K.PENALTY, block=None, max_steps=24, alpha=D.ALPHA_INFER):
+        spark = self.spark
+        top = K.translation_candidates(sents, self.table, top_c=TOP_C).select("sent_id", "token", "score")
+        # [EOS] always competes, with its own lexical score.
+        eos = K.translation_candidates(sents, self.table.where(F.col("t") == EOS_ID), top_c=1).select(
+            "sent_id", "token", "score"
+        )
+        cands = top.unionByName(eos).groupBy("sent_id", "token").agg(F.max("score").alias("score"))
+        cands = cands.select("sent_id", "token", F.log(F.greatest("score", F.lit(1e-12))).alias("tm_logp"))
+        cands = cut_lineage(cands.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sent_id"))
+        expand = D.translation_expander(cands, self.lm, K.LAMBDA, repeat_penalty=repeat, ngram_block=block)
+        return D.beam_search(spark, D.start_beams(sents), expand, D.BEAM, alpha, max_steps=max_steps)
+
+    def translate_text(self, df, key, text_col, **kw):
+        from bitext.operators import vocab as V
+        from bitext.operators.sequences import detokenize, truncate, with_template
+
+        ids = V.encode_chars(df, key, text_col, self.vocab, "src_ids")
+        sents = ids.select(F.col(key).alias("sent_id"), truncate(with_template("src_ids")).alias("src_ids"))
+        res = self.decode(sents, **kw)
+        text = detokenize(res, "sent_id", "seq", self.vocab, "inference")
+        return res.join(text, "sent_id").withColumnRenamed("sent_id", key)
+
+
+def _translate(spark, sf_dir, **kw):
+    tr = Translator(spark, sf_dir)
+    sents = tr.test.select(F.col("pair_id").alias("sent_id"), "src_ids")
+    return tr.decode(sents, **kw), tr.vocab
 
 
 def translate_beam(spark, sf_dir):
