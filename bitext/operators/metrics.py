@@ -100,14 +100,17 @@ def bleu_from_stats(stats: DataFrame, order: int = BLEU_ORDER) -> DataFrame:
     precs = []
     for n in range(1, order + 1):
         j = sum((z.cast("int") for z in zero[:n]), F.lit(0))
-        p = F.when(zero[n - 1], F.lit(100.0) / (F.pow(F.lit(2.0), j) * F.col(f"t_{n}"))).otherwise(
-            F.lit(100.0) * F.col(f"m_{n}") / F.col(f"t_{n}")
+        t = F.col(f"t_{n}")
+        p = (
+            F.when(t == 0, F.lit(0.0))  # no total: the score is 0 anyway
+            .when(zero[n - 1], F.lit(100.0) / (F.pow(F.lit(2.0), j) * t))
+            .otherwise(F.lit(100.0) * F.col(f"m_{n}") / t)
         )
         precs.append(p.alias(f"precision_{n}"))
     sys_len, ref_len = F.col("sys_len"), F.col("ref_len")
     bp = F.when(sys_len >= ref_len, F.lit(1.0)).when(sys_len > 0, F.exp(1 - ref_len / sys_len)).otherwise(F.lit(0.0))
     out = stats.select("*", *precs, bp.alias("brevity_penalty"))
-    mean_log = sum((F.log(F.col(f"precision_{n}")) for n in range(1, order + 1)), F.lit(0.0)) / order
+    mean_log = sum((F.log(F.greatest(F.col(f"precision_{n}"), F.lit(1e-300))) for n in range(1, order + 1)), F.lit(0.0)) / order
     any_match = sum((F.col(f"m_{n}") for n in range(1, order + 1)), F.lit(0)) > 0
     all_totals = F.least(*[F.col(f"t_{n}") for n in range(1, order + 1)]) > 0
     score = F.when(any_match & all_totals & (sys_len > 0), F.col("brevity_penalty") * F.exp(mean_log)).otherwise(
@@ -173,5 +176,5 @@ def perplexity(token_losses: DataFrame, batch_col: str = "batch_id") -> DataFram
     tot = per.agg(
         F.sum(F.col("_m") * F.col("_v")).alias("_s"), F.sum("_v").alias("n_tokens"), F.count(F.lit(1)).alias("n_batches")
     )
-    avg = F.col("_s") / F.col("n_tokens")
+    avg = F.try_divide(F.col("_s"), F.col("n_tokens"))
     return tot.select("n_batches", "n_tokens", avg.alias("avg_loss"), ppl_of(avg).alias("ppl"))

@@ -190,11 +190,11 @@ def encode_chars(df: DataFrame, key: str, text_col: str, vocab: DataFrame, out_c
     toks = (
         df.select(key, text_col)
         .repartition(key)
-        .select(key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(ENCODE_CHAR_RE), 0)).alias("k", "token"))
+        .select(key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(ENCODE_CHAR_RE), 0)).alias("_pos", "token"))
     )
     ided = lookup_ids(toks, vocab)
     out = ided.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda s: s["id"].cast("int")).alias(out_col)
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "id"))), lambda s: s["id"].cast("int")).alias(out_col)
     )
     # Rows whose text has no token at all still get an (empty) array.
     return df.select(key).distinct().join(out, key, "left").select(
