@@ -100,6 +100,25 @@ def merge_pair(ids: Column, left: int, right: int, new_id: int) -> Column:
     return F.when(F.array_contains(ids, left) & F.array_contains(ids, right), merged).otherwise(ids)
 
 
+def merge_pair_text(syms: Column, left: int, right: int, new_id: int) -> Column:
+    """``merge_pair`` on the delimited form " 12 45 7 ", left to right without
+    overlap, referencing the column once (chained merges stay linear).
+
+    left != right: occurrences cannot overlap; one literal ``replace`` pass
+    skips only an occurrence that directly follows a replaced one (its
+    leading delimiter was consumed), so a second pass merges exactly the
+    rest. left == right: a regex whose look-arounds do not consume the
+    delimiters gives " a a a " -> " aa a "."""
+    if left != right:
+        pat, rep = F.lit(f" {left} {right} "), F.lit(f" {new_id} ")
+        return F.replace(F.replace(syms, pat, rep), pat, rep)
+    return F.regexp_replace(syms, f"(?<= ){left} {right}(?= )", str(new_id))
+
+
+def _text_pairs(syms: Column) -> Column:
+    return adjacent_pairs(F.split(F.trim(syms), " "))
+
+
 @dataclass
 class BpeModel:
     """A trained BPE model: ``vocab`` token -> id, ``merges`` in rank order as
@@ -121,48 +140,116 @@ class BpeModel:
         return spark.createDataFrame(rows, "rank int, left string, right string, token string, id int, count long")
 
 
+def _head_and_bounds(counts: DataFrame, top: int) -> tuple[list, dict, dict]:
+    """One job: the ``top`` ranked pairs, and per symbol the max count of a
+    pair ending in it (``left_of``) or starting with it (``right_of``). The
+    per-symbol rows are bounded by the vocabulary size; both branches share
+    the pair-count exchange."""
+    head = counts.orderBy(F.desc("n"), "l", "r").limit(top).select(F.lit("H").alias("kind"), "l", "r", "n")
+    side = F.explode(
+        F.array(
+            F.struct(F.lit("L").alias("kind"), F.col("r").alias("sym"), F.col("n").alias("n")),
+            F.struct(F.lit("R").alias("kind"), F.col("l").alias("sym"), F.col("n").alias("n")),
+        )
+    )
+    bounds = (
+        counts.select(side.alias("x"))
+        .select("x.*")
+        .groupBy("kind", "sym")
+        .agg(F.max("n").alias("n"))
+        .select("kind", F.col("sym").alias("l"), F.lit(-1).alias("r"), "n")
+    )
+    rows = head.unionByName(bounds).collect()
+    ranked = sorted((r for r in rows if r["kind"] == "H"), key=lambda r: (-r["n"], r["l"], r["r"]))
+    left_of = {r["l"]: r["n"] for r in rows if r["kind"] == "L"}
+    right_of = {r["l"]: r["n"] for r in rows if r["kind"] == "R"}
+    return ranked, left_of, right_of
+
+
 def train_bpe(
     words: DataFrame,
     vocab_size: int = VOCAB_SIZE,
     min_frequency: int = MIN_FREQUENCY,
     max_merges: int | None = None,
-    checkpoint_every: int = 10,
+    checkpoint_every: int = 5,
+    candidates_per_round: int = 64,
+    on_round=None,
 ) -> BpeModel:
     """Exact BPE training over a ``(word, freq)`` table.
 
-    One round = one pair-count aggregation (partial + final) plus an ordered
-    ``limit(1)``; the word table is persisted per round and written to the
-    shared checkpoint folder every ``checkpoint_every`` rounds.
+    Each round aggregates adjacent-pair counts once (partial + final) and
+    takes the ranked head of that table. The first pair is the next merge.
+    Later pairs of the head are merged in the same round only while that
+    provably equals merging one at a time: merging (a, b) only lowers counts
+    of pairs that contain a or b, and a new pair (x, ab) / (ab, y) counts at
+    most the old max count of (x, a) / (b, y). So the next ranked pair is
+    still next if it shares no symbol with the pairs merged this round and its
+    count is strictly above every such bound. The word table is persisted per round and written to the shared checkpoint folder every
+    ``checkpoint_every`` rounds.
     """
-    spark = words.sparkSession
-    words = words.select("word", F.col("freq").cast("long").alias("freq"))
-    alpha = alphabet(words)
+    words = cut_lineage(words.select("word", F.col("freq").cast("long").alias("freq")))
+    alpha = cut_lineage(alphabet(words))
     model = BpeModel(vocab={t: i for i, t in enumerate(SPECIALS)})
     for token, i in alpha.orderBy("id").collect():  # bounded by Unicode size
         model.vocab[token] = int(i)
+    inv = model.id_to_token
     # Words as id arrays: explode characters, broadcast-join the alphabet
-    # (bounded), regroup by word (already partitioned by word).
-    exploded = words.select("word", "freq", F.posexplode(chars("word")).alias("k", "token"))
+    # (bounded), regroup by word.
+    exploded = words.select("word", "freq", F.posexplode(chars("word")).alias("_pos", "token"))
     joined = exploded.join(F.broadcast(alpha), "token")
     state = joined.groupBy("word", "freq").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda s: s["id"].cast("int")).alias("ids")
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "id"))), lambda s: s["id"].cast("int")).alias("ids")
+    )
+    # Delimited text form " 12 45 7 ": merges are built-in regex replaces.
+    state = cut_lineage(
+        state.where(F.size("ids") > 1).select(
+            "word", "freq", F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" ")).alias("syms")
+        )
     )
-    state = cut_lineage(state.where(F.size("ids") > 1))
     previous = None
     rounds = 0
-    while len(model.vocab) < vocab_size and (max_merges is None or rounds < max_merges):
-        counts = pair_counts(state, "ids")
-        best = counts.orderBy(F.desc("n"), "l", "r").limit(1).collect()
-        if not best or best[0]["n"] < max(min_frequency, 1):
+    floor = max(min_frequency, 1)
+
+    def room() -> bool:
+        return len(model.vocab) < vocab_size and (max_merges is None or len(model.merges) < max_merges)
+
+    while room():
+        counts = (
+            state.select(F.explode(_text_pairs(F.col("syms"))).alias("p"), "freq")
+            .groupBy(F.col("p.l").cast("int").alias("l"), F.col("p.r").cast("int").alias("r"))
+            .agg(F.sum("freq").alias("n"))
+        )
+        head, left_of, right_of = _head_and_bounds(counts, candidates_per_round)
+        if not head or head[0]["n"] < floor:
             break
-        left, right, n = int(best[0]["l"]), int(best[0]["r"]), int(best[0]["n"])
-        inv = model.id_to_token
-        token = inv[left] + inv[right]
-        new_id = model.vocab.get(token, len(model.vocab))
-        model.vocab.setdefault(token, new_id)
-        model.merges.append((left, right, new_id, n))
+        accepted, touched, bound = [], set(), -1
+        for row in head:
+            left, right, n = int(row["l"]), int(row["r"]), int(row["n"])
+            if not room() or n < floor:
+                break
+            if accepted and (left in touched or right in touched or n <= bound):
+                break
+            token = inv[left] + inv[right]
+            reused = token in model.vocab
+            new_id = model.vocab.get(token, len(model.vocab))
+            if not reused:
+                model.vocab[token] = new_id
+                inv[new_id] = token
+            model.merges.append((left, right, new_id, n))
+            accepted.append((left, right, new_id))
+            touched |= {left, right}
+            bound = max(bound, left_of.get(left, 0), right_of.get(right, 0))
+            if reused:  # pairs with an existing token may grow: stop here
+                break
         rounds += 1
-        nxt = state.withColumn("ids", merge_pair(F.col("ids"), left, right, new_id)).where(F.size("ids") > 1)
+        if on_round is not None:
+            on_round(rounds, len(accepted))
+        # One projection per merge: nesting them would repeat the inner
+        # expression (it is referenced several times) at every level.
+        nxt = state
+        for left, right, new_id in accepted:
+            nxt = nxt.withColumn("syms", merge_pair_text(F.col("syms"), left, right, new_id))
+        nxt = nxt.where(F.trim("syms").contains(" "))  # words left with one symbol drop out
         if rounds % checkpoint_every == 0:
             nxt = cut_lineage(nxt)
         else:

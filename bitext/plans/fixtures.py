@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from bitext.functions.text import is_blank
 from bitext.operators.positions import broadcast_if_small, dense_position
-from bitext.session import read_table
+from bitext.session import read_table, spread
 
 # Multipliers that make composite ids unique (turn < 1000, line < 1000,
 # document line < 100000).
@@ -47,7 +47,7 @@ def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mono(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")).select(
         (F.col("doc_id") * MONO_DOC + F.col("pos")).alias("line_id"), "text"
     )

@@ -68,3 +68,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Rebalance a scan that has fewer partitions than the cluster has cores
+    (e.g. one large row group read by a single task) before per-row heavy
+    work. A no-op for sources that already split into enough partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * factor)
+    return df
