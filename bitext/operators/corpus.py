@@ -99,22 +99,31 @@ def epoch_order(df: DataFrame, epoch_col: str = "epoch", id_col: str = "pair_id"
     return dense_position(keyed, ["_skey", id_col], group_cols=[epoch_col], pos_col="pos").drop("_skey")
 
 
+def split_size(size: int | float, n_rows: Column) -> Column:
+    """An absolute row count (the reference's form), or a fraction of N given
+    as a float in (0, 1): ``floor(size * N)``."""
+    if isinstance(size, float) and 0 < size < 1:
+        return F.floor(F.lit(size) * n_rows).cast("long")
+    return F.lit(int(size)).cast("long")
+
+
 def split_membership(
     pos: Column,
     n_rows: Column,
-    sanity_size: int = SANITY_SIZE,
-    main_size: int = MAIN_TRAIN_SIZE,
-    test_size: int = TEST_SIZE,
+    sanity_size: int | float = SANITY_SIZE,
+    main_size: int | float = MAIN_TRAIN_SIZE,
+    test_size: int | float = TEST_SIZE,
 ) -> Column:
     """Array of split names a position belongs to (sanity and test may
     overlap when N < sanity + test)."""
-    test_start = F.greatest(F.lit(0), n_rows - test_size)
-    remain_end = F.least(F.lit(sanity_size + main_size), test_start)
+    s, m, t = (split_size(x, n_rows) for x in (sanity_size, main_size, test_size))
+    test_start = F.greatest(F.lit(0), n_rows - t)
+    remain_end = F.least(s + m, test_start)
     return F.filter(
         F.array(
-            F.when(pos < F.least(F.lit(sanity_size), n_rows), F.lit(SPLIT_SANITY)),
+            F.when(pos < F.least(s, n_rows), F.lit(SPLIT_SANITY)),
             F.when(pos >= test_start, F.lit(SPLIT_TEST)),
-            F.when((pos >= sanity_size) & (pos < remain_end), F.lit(SPLIT_PRODUCTION)),
+            F.when((pos >= s) & (pos < remain_end), F.lit(SPLIT_PRODUCTION)),
         ),
         lambda x: x.isNotNull(),
     )
@@ -122,9 +131,9 @@ def split_membership(
 
 def split_corpus(
     pairs: DataFrame,
-    sanity_size: int = SANITY_SIZE,
-    main_size: int = MAIN_TRAIN_SIZE,
-    test_size: int = TEST_SIZE,
+    sanity_size: int | float = SANITY_SIZE,
+    main_size: int | float = MAIN_TRAIN_SIZE,
+    test_size: int | float = TEST_SIZE,
     seed: int = SEED,
     min_len: int = MIN_LEN,
     max_len: int = MAX_LEN,
@@ -133,6 +142,9 @@ def split_corpus(
 ) -> DataFrame:
     """L1: filter -> seeded shuffle -> position -> split rows -> clean.
 
+    Sizes are row counts as in the reference, or fractions of the filtered
+    row count N (floats in (0, 1)).
+
     One output row per (pair, split) membership:
     ``split, pos, pair_id, src, tgt``. Cleaning runs after the split ranges are
     taken, as in the reference, so a split can be smaller than its range.

@@ -73,59 +73,59 @@ def beam_search(
     """Run the search. ``starts``: (sent_id, beam, score, seq). ``expand``
     maps live beams to (sent_id, beam, score, seq, token, logp) candidates.
 
+    Each step is one job that writes this step's finished hypotheses and the
+    next live beams (with the sentence's running finished count ``nf``) to
+    the shared checkpoint folder; the next step reads the live rows back.
+
     Returns one row per sentence: sent_id, seq, score, kind ('finished' or
     'live'), step."""
     k = beam_size
     nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    out_path = scratch_path(spark, "beam-out")
-    live = starts.repartition(nparts, "sent_id")
+    out_path = scratch_path(spark, "beam-steps")
+    live = starts.withColumn("nf", F.lit(0).cast("long")).repartition(nparts, "sent_id")
     for step in range(1, max_steps + 1):
-        cands = expand(live)
+        cands = expand(live.drop("nf")).join(live.select("sent_id", "beam", "nf"), ["sent_id", "beam"])
         w_beam = Window.partitionBy("sent_id", "beam").orderBy(F.desc("logp"), "token")
-        top = cands.withColumn("rank", F.row_number().over(w_beam)).where(F.col("rank") <= k)
-        top = top.select(
-            "sent_id",
-            "beam",
-            "rank",
-            "token",
-            (F.col("score") + F.col("logp")).alias("score"),
-            F.concat("seq", F.array("token")).alias("seq"),
-        )
-        fin = top.where(F.col("token") == EOS_ID).select(
-            "sent_id",
-            F.lit(step).alias("step"),
-            "beam",
-            "rank",
-            "seq",
-            length_normalised(F.col("score"), F.size("seq"), alpha).alias("score"),
-            F.lit("finished").alias("kind"),
+        top = (
+            cands.withColumn("rank", F.row_number().over(w_beam))
+            .where(F.col("rank") <= k)
+            .select(
+                "sent_id",
+                "beam",
+                "rank",
+                "token",
+                "nf",
+                (F.col("score") + F.col("logp")).alias("score"),
+                F.concat("seq", F.array("token")).alias("seq"),
+            )
         )
-        w_sent = Window.partitionBy("sent_id").orderBy(F.desc("score"), "beam", "rank")
-        nxt = (
-            top.where(F.col("token") != EOS_ID)
-            .withColumn("_r", F.row_number().over(w_sent))
-            .where(F.col("_r") <= k)
-            .select("sent_id", (F.col("_r") - 1).alias("beam"), "score", "seq")
+        is_eos = F.col("token") == EOS_ID
+        w_all = Window.partitionBy("sent_id")
+        # Live candidates rank after the finished ones so that the first k
+        # ranks of the non-EOS rows are their own order.
+        w_sent = Window.partitionBy("sent_id").orderBy(is_eos.asc(), F.desc("score"), "beam", "rank")
+        ranked = top.withColumn("_nf", F.col("nf") + F.sum(is_eos.cast("long")).over(w_all)).withColumn(
+            "_r", F.row_number().over(w_sent)
         )
-        best_live = nxt.where(F.col("beam") == 0).select(
+        out = ranked.where(is_eos | ((F.col("_r") <= k) & (F.col("_nf") < k))).select(
             "sent_id",
             F.lit(step).alias("step"),
-            "beam",
-            F.lit(0).alias("rank"),
+            F.when(is_eos, F.col("beam")).otherwise(F.col("_r") - 1).alias("beam"),
+            F.when(is_eos, F.col("rank")).otherwise(F.lit(0)).alias("rank"),
             "seq",
-            "score",
-            F.lit("live").alias("kind"),
+            F.when(is_eos, length_normalised(F.col("score"), F.size("seq"), alpha))
+            .otherwise(F.col("score"))
+            .alias("score"),
+            F.when(is_eos, F.lit("finished")).otherwise(F.lit("live")).alias("kind"),
+            F.col("_nf").alias("nf"),
         )
-        fin.unionByName(best_live).write.mode("append").parquet(out_path)
-        # Sentences with >= k finished so far stop.
-        fin_counts = spark.read.parquet(out_path).where(F.col("kind") == "finished").groupBy("sent_id").agg(
-            F.count(F.lit(1)).alias("_nf")
+        step_path = f"{out_path}/step={step}"
+        out.write.mode("overwrite").parquet(step_path)
+        live = (
+            spark.read.parquet(step_path)
+            .where(F.col("kind") == "live")
+            .select("sent_id", "beam", "score", "seq", "nf")
         )
-        done = fin_counts.where(F.col("_nf") >= k).select("sent_id")
-        nxt = nxt.join(done, "sent_id", "left_anti")
-        live_path = scratch_path(spark, f"beam-live-{step}")
-        nxt.repartition(nparts, "sent_id").write.mode("overwrite").parquet(live_path)
-        live = spark.read.parquet(live_path)
         if live.limit(1).count() == 0:
             break
     res = spark.read.parquet(out_path)
@@ -133,9 +133,10 @@ def beam_search(
     best_fin = (
         res.where(F.col("kind") == "finished").withColumn("_r", F.row_number().over(w_fin)).where(F.col("_r") == 1)
     )
+    # No finished hypothesis -> best live beam of the latest step that had one.
     w_live = Window.partitionBy("sent_id").orderBy(F.desc("step"))
     best_live = (
-        res.where(F.col("kind") == "live")
+        res.where((F.col("kind") == "live") & (F.col("beam") == 0))
         .join(best_fin.select("sent_id"), "sent_id", "left_anti")
         .withColumn("_r", F.row_number().over(w_live))
         .where(F.col("_r") == 1)

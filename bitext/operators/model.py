@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitext.functions.text import EOS_ID, PAD_ID, SOS_ID, UNK_ID
-from bitext.operators.positions import broadcast_if_small
+from bitext.operators.positions import BROADCAST_MAX_ROWS, broadcast_if_small
 from bitext.session import cut_lineage
 
 DELTA = 1.0  # add-delta smoothing of the bigram LM
@@ -68,6 +68,7 @@ class BigramLM:
         such as the beam search read them every step)."""
         self.obs = cut_lineage(self.obs)
         self.ctx = cut_lineage(self.ctx)
+        self._obs_bcast = self.obs.count() <= BROADCAST_MAX_ROWS
         return self
 
     @property
@@ -78,6 +79,8 @@ class BigramLM:
         """Attach log p(next | prev) to every row (observed, else back-off,
         else uniform for an unseen context). ``ctx`` has at most V rows."""
         o = self.obs.select(F.col("prev").alias(prev_col), F.col("next").alias(next_col), F.col("logp").alias("_lp"))
+        if getattr(self, "_obs_bcast", False):  # size checked in materialize()
+            o = F.broadcast(o)
         c = self.ctx.select(F.col("prev").alias(prev_col), F.col("backoff").alias("_bo"))
         j = df.join(o, [prev_col, next_col], "left").join(F.broadcast(c), prev_col, "left")
         return j.withColumn(out, F.coalesce("_lp", "_bo", F.lit(self.uniform_logp))).drop("_lp", "_bo")
@@ -149,16 +152,25 @@ def lexical_em(
 
 
 def translation_candidates(
-    sents: DataFrame, table: DataFrame, key: str = "sent_id", src_col: str = "src_ids", top_c: int = CANDIDATES
+    sents: DataFrame,
+    table: DataFrame,
+    key: str = "sent_id",
+    src_col: str = "src_ids",
+    top_c: int = CANDIDATES,
+    always: tuple[int, ...] = (),
 ) -> DataFrame:
     """K3: ``p_tm(t | sent) = mean over source positions of t(t | s_i)``, top
-    ``top_c`` per sentence by (score desc, token asc), never PAD/UNK/SOS."""
+    ``top_c`` per sentence by (score desc, token asc), never PAD/UNK/SOS;
+    tokens in ``always`` are kept whatever their rank."""
     src = token_table(sents, key, src_col, "s")
     slen = sents.select(key, F.size(src_col).alias("_slen"))
     j = src.join(table, "s").where(~F.col("t").isin(*NEVER_CANDIDATE))
     sc = j.groupBy(key, "t").agg(F.sum(F.col("s_n") * F.col("prob")).alias("_sum"))
     sc = sc.join(slen, key).withColumn("score", F.col("_sum") / F.col("_slen"))
     w = Window.partitionBy(key).orderBy(F.desc("score"), "t")
-    return sc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_c).select(
+    keep = F.col("rank") <= top_c
+    if always:
+        keep = keep | F.col("t").isin(*always)
+    return sc.withColumn("rank", F.row_number().over(w)).where(keep).select(
         key, "rank", F.col("t").alias("token"), "score"
     )

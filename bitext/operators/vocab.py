@@ -260,6 +260,39 @@ def train_bpe(
     return model
 
 
+def save_model(spark: SparkSession, model: BpeModel, path: str) -> None:
+    """A4 save: ``vocab(token, id)`` and ``merges(rank, left_id, right_id,
+    id, count)`` as Parquet (bounded by ``vocab_size``)."""
+    model.vocab_df(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/vocab")
+    rows = [(r, a, b, c, n) for r, (a, b, c, n) in enumerate(model.merges)]
+    spark.createDataFrame(rows, "rank int, left_id int, right_id int, id int, count long").coalesce(1).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/merges")
+
+
+def load_model(spark: SparkSession, path: str) -> BpeModel:
+    """A4 load (raises if the model was never saved)."""
+    vocab = {r["token"]: int(r["id"]) for r in spark.read.parquet(f"{path}/vocab").collect()}
+    merges = [
+        (int(r["left_id"]), int(r["right_id"]), int(r["id"]), int(r["count"]))
+        for r in spark.read.parquet(f"{path}/merges").orderBy("rank").collect()
+    ]
+    return BpeModel(vocab=vocab, merges=merges)
+
+
+def load_or_build(spark: SparkSession, path: str, build) -> BpeModel:
+    """A4 load-or-build: reuse a saved model at ``path``, else ``build()`` it
+    and save it there."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return load_model(spark, path)
+    except AnalysisException:
+        model = build()
+        save_model(spark, model, path)
+        return model
+
+
 def lookup_ids(tokens: DataFrame, vocab: DataFrame, unk_id: int = UNK_ID) -> DataFrame:
     """``token -> id`` by a left join on the vocabulary; unknown -> [UNK].
     The vocabulary is bounded by ``vocab_size``, so it is broadcast."""

@@ -9,9 +9,10 @@ from bitext.operators import corpus as C
 from bitext.plans import fixtures as fx
 from bitext.plans import sql_fixtures as S
 
-# Split sizes for the driver queries (the tables hold ~10^2..10^3 filtered
-# pairs, the reference's defaults are for 20M pairs).
-SANITY, MAIN, TEST = 40, 30, 20
+# Split sizes for the driver queries as fractions of the filtered row count,
+# so every split grows with the data (the reference's absolute defaults are
+# for a 20M-pair corpus; absolute sizes are covered in tests/).
+SANITY, MAIN, TEST = 0.5, 0.3, 0.2
 
 
 def _split(spark, sf_dir):
@@ -109,10 +110,12 @@ SPLIT_CTE = f""",
 f AS (SELECT * FROM line_pairs WHERE {P1}),
 p AS (SELECT *, CAST(row_number() OVER (ORDER BY md5('42:' || pair_id), pair_id) - 1 AS BIGINT) AS pos,
              count(*) OVER () AS n FROM f),
+sz AS (SELECT *, CAST(floor({SANITY} * n) AS BIGINT) AS s_n, CAST(floor({MAIN} * n) AS BIGINT) AS m_n,
+              CAST(floor({TEST} * n) AS BIGINT) AS t_n FROM p),
 m AS (
-  SELECT 'sanity' AS split, * FROM p WHERE pos < least({SANITY}, n)
-  UNION ALL SELECT 'test' AS split, * FROM p WHERE pos >= greatest(0, n - {TEST})
-  UNION ALL SELECT 'production' AS split, * FROM p WHERE pos >= {SANITY} AND pos < least({SANITY + MAIN}, greatest(0, n - {TEST}))),
+  SELECT 'sanity' AS split, * FROM sz WHERE pos < least(s_n, n)
+  UNION ALL SELECT 'test' AS split, * FROM sz WHERE pos >= greatest(0, n - t_n)
+  UNION ALL SELECT 'production' AS split, * FROM sz WHERE pos >= s_n AND pos < least(s_n + m_n, greatest(0, n - t_n))),
 splits AS (
   SELECT split, pos, pair_id, {clean('src')} AS src, {clean('tgt')} AS tgt FROM m
   WHERE {clean('src')} <> '' AND {clean('tgt')} <> '')"""

@@ -28,12 +28,12 @@ def r6(c):
 def _data(spark, sf_dir):
     """Encoded pairs (char vocabulary) split into train (sanity +
     production) and test rows, plus the vocabulary size."""
-    vocab = q_vocab.char_vocab(spark, sf_dir)
-    enc = q_vocab.encoded_pairs(spark, sf_dir)
+    vocab = cut_lineage(q_vocab.char_vocab(spark, sf_dir))
+    enc = q_vocab.encoded_pairs(spark, sf_dir, vocab=vocab)
     splits = q_corpus.split_corpus(spark, sf_dir)
     train_ids = splits.where(F.col("split").isin("sanity", "production")).select("pair_id").distinct()
-    train = enc.join(train_ids, "pair_id", "left_semi")
-    test = enc.join(splits.where(F.col("split") == "test").select("pair_id", "pos"), "pair_id")
+    train = cut_lineage(enc.join(train_ids, "pair_id", "left_semi"))
+    test = cut_lineage(enc.join(splits.where(F.col("split") == "test").select("pair_id", "pos"), "pair_id"))
     return vocab, train, test
 
 
@@ -152,19 +152,15 @@ class Translator:
     def __init__(self, spark, sf_dir, em_rounds=3):
         self.spark = spark
         vocab, train, test = _data(spark, sf_dir)
-        self.vocab = cut_lineage(vocab)
+        self.vocab = vocab
         self.test = test
         self.lm = K.BigramLM(train, "tgt_ids", self.vocab.count()).materialize()
         self.table = K.lexical_em(train, rounds=em_rounds)
 
     def decode(self, sents, repeat=K.PENALTY, block=None, max_steps=24, alpha=D.ALPHA_INFER):
         spark = self.spark
-        top = K.translation_candidates(sents, self.table, top_c=TOP_C).select("sent_id", "token", "score")
-        # [EOS] always competes, with its own lexical score.
-        eos = K.translation_candidates(sents, self.table.where(F.col("t") == EOS_ID), top_c=1).select(
-            "sent_id", "token", "score"
-        )
-        cands = top.unionByName(eos).groupBy("sent_id", "token").agg(F.max("score").alias("score"))
+        # Top-c lexical tokens plus [EOS], which always competes.
+        cands = K.translation_candidates(sents, self.table, top_c=TOP_C, always=(EOS_ID,))
         cands = cands.select("sent_id", "token", F.log(F.greatest("score", F.lit(1e-12))).alias("tm_logp"))
         cands = cut_lineage(cands.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sent_id"))
         expand = D.translation_expander(cands, self.lm, K.LAMBDA, repeat_penalty=repeat, ngram_block=block)

@@ -26,10 +26,10 @@ def char_vocab(spark, sf_dir):
     return V.char_vocab(spark, _word_counts(spark, sf_dir))
 
 
-def encoded_pairs(spark, sf_dir, pairs=None, template=True, max_len=Q.MAX_LEN):
+def encoded_pairs(spark, sf_dir, pairs=None, template=True, max_len=Q.MAX_LEN, vocab=None):
     """(pair_id, src_ids, tgt_ids) with the character vocabulary."""
     pairs = pairs if pairs is not None else fx.line_pairs(spark, sf_dir)
-    vocab = char_vocab(spark, sf_dir)
+    vocab = vocab if vocab is not None else char_vocab(spark, sf_dir)
     s = V.encode_chars(pairs, "pair_id", "src", vocab, "src_ids")
     t = V.encode_chars(pairs, "pair_id", "tgt", vocab, "tgt_ids")
     out = pairs.select("pair_id").join(s, "pair_id").join(t, "pair_id")
@@ -92,12 +92,33 @@ def train_model(spark, sf_dir, merges=BPE_MERGES):
     return V.train_bpe(_word_counts(spark, sf_dir), max_merges=merges)
 
 
+def model_path(spark, sf_dir, merges=BPE_MERGES):
+    """Where the tokenizer for these inputs lives: the shared checkpoint
+    folder, keyed by the input files (path, size, mtime) and merge count."""
+    import hashlib
+    import os
+
+    from bitext.session import ensure_checkpoint_dir
+
+    parts = [str(merges)]
+    for name in ("documents", "conversations"):
+        f = os.path.join(sf_dir, f"{name}.parquet")
+        st = os.stat(f) if os.path.exists(f) else None
+        parts.append(f"{os.path.abspath(f)}:{st.st_size if st else 0}:{st.st_mtime_ns if st else 0}")
+    key = hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/bitext-tokenizer-{key}"
+
+
 def bpe_train(spark, sf_dir):
-    return train_model(spark, sf_dir).merges_df(spark)
+    """D4 + A4 save: always trains, then saves the model for later encodes."""
+    model = train_model(spark, sf_dir)
+    V.save_model(spark, model, model_path(spark, sf_dir))
+    return model.merges_df(spark)
 
 
 def bpe_encode(spark, sf_dir):
-    model = train_model(spark, sf_dir)
+    """J2 with A4 load-or-build (the reference's get_or_build_tokenizer)."""
+    model = V.load_or_build(spark, model_path(spark, sf_dir), lambda: train_model(spark, sf_dir))
     lp = fx.line_pairs(spark, sf_dir)
     return lp.select(
         "pair_id",
