@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from bitext.functions.text import (
     NON_WS_CHAR_RE,
     PRE_TOKEN_RE,
+    PRE_WS_BODY,
     SPECIALS,
     UNK_ID,
     chars,
@@ -78,10 +79,21 @@ def alphabet(words: DataFrame) -> DataFrame:
     return ch.select("token", (F.row_number().over(Window.orderBy("token")) + len(SPECIALS) - 1).alias("id"))
 
 
-def char_vocab(spark: SparkSession, words: DataFrame) -> DataFrame:
-    """D5 with zero merges: specials + alphabet as ``(token, id)``."""
+def text_alphabet(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """The same alphabet straight from the texts: the characters of all
+    pre-tokens are exactly the characters that are not pre-tokenizer
+    whitespace (one pass, partial distinct per task)."""
+    body = F.regexp_replace(F.col(text_col), f"[{PRE_WS_BODY}]", "")
+    ch = texts.select(F.explode(chars(body)).alias("token")).where(F.col("token") != "").distinct()
+    return ch.select("token", (F.row_number().over(Window.orderBy("token")) + len(SPECIALS) - 1).alias("id"))
+
+
+def char_vocab(spark: SparkSession, words: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """D5 with zero merges: specials + alphabet as ``(token, id)``, from a word
+    table or directly from texts."""
     specials = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIALS)], "token string, id int")
-    return specials.unionByName(alphabet(words).select("token", F.col("id").cast("int").alias("id")))
+    alpha = alphabet(words) if words is not None else text_alphabet(texts)
+    return specials.unionByName(alpha.select("token", F.col("id").cast("int").alias("id")))
 
 
 def merge_pair(ids: Column, left: int, right: int, new_id: int) -> Column:

@@ -23,7 +23,7 @@ def _word_counts(spark, sf_dir):
 
 
 def char_vocab(spark, sf_dir):
-    return V.char_vocab(spark, _word_counts(spark, sf_dir))
+    return V.char_vocab(spark, texts=fx.vocab_corpus(spark, sf_dir))
 
 
 def encoded_pairs(spark, sf_dir, pairs=None, template=True, max_len=Q.MAX_LEN, vocab=None):
