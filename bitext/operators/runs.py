@@ -196,6 +196,12 @@ def experiment_report(runs: DataFrame, report_epoch: int = REPORT_EPOCH) -> Data
     )
 
 
+def examples(hyps: DataFrame, refs: DataFrame, n: int = 3) -> DataFrame:
+    """The first ``n`` (reference, prediction) pairs by sentence id; the
+    limit is the feature (a printed sample), taken after an ordered sort."""
+    return refs.join(hyps, "sent_id").orderBy("sent_id").limit(n).select("sent_id", "ref", "hyp")
+
+
 def loss_curves(epochs: DataFrame) -> DataFrame:
     """Wide epoch metrics -> long curves (run, epoch, curve, loss)."""
     return epochs.select("run", "epoch", "train_loss", "val_loss").unpivot(

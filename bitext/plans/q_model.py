@@ -188,8 +188,11 @@ def translate_beam(spark, sf_dir):
 
     res, vocab = _translate(spark, sf_dir)
     text = detokenize(res, "sent_id", "seq", vocab, "inference")
-    return res.join(text, "sent_id").select(
-        "sent_id", F.array_join("seq", " ").alias("seq"), r6("score").alias("score"), "kind", "step", "text"
+    # output in input order.
+    return (
+        res.join(text, "sent_id")
+        .select("sent_id", F.array_join("seq", " ").alias("seq"), r6("score").alias("score"), "kind", "step", "text")
+        .orderBy("sent_id")
     )
 
 

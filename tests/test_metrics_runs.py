@@ -181,3 +181,37 @@ def test_request_filter_quit_ends_session(spark):
     got = sorted((r.session_id, r.request_id, r.text) for r in R.filter_requests(df).collect())
     # " q " is not a quit word (no strip before the check), "Q" is.
     assert got == [(1, 0, "hi"), (2, 0, "q")]
+
+
+def test_read_corpus_takes_train_split_and_renames(spark, tmp_path):
+    from bitext.sources.corpus import read_corpus
+
+    rows = [("train", "你好", "Hello"), ("validation", "再见", "Bye"), ("train", None, "x")]
+    spark.createDataFrame(rows, "split string, text_zh string, text_en string").coalesce(1).write.parquet(
+        str(tmp_path / "ds")
+    )
+    got = sorted((r.pair_id, r.src, r.tgt) for r in read_corpus(spark, str(tmp_path / "ds")).collect())
+    assert got == [(0, "你好", "Hello"), (1, None, "x")]
+
+
+def test_scalar_log_sink_appends(spark, tmp_path):
+    steps = spark.createDataFrame(
+        [("r", 1, 0, 1, 0.5, 1e-4), ("r", 1, 1, 2, 0.4, 1e-4)],
+        "run string, epoch int, batch long, step long, loss double, learning_rate double",
+    )
+    epochs = spark.createDataFrame([("r", 1, 0.45, 0.5)], "run string, epoch int, train_loss double, val_loss double")
+    s = R.scalar_log(steps, epochs)
+    path = str(tmp_path / "scalars")
+    L.write_scalars(s, path)
+    L.write_scalars(s, path)
+    back = spark.read.parquet(path)
+    assert back.count() == 2 * s.count() == 12
+    assert {r.tag for r in back.select("tag").distinct().collect()} == {
+        "Train/Loss_Step", "Train/Learning_Rate", "Train/Loss_Epoch", "Val/Loss_Epoch"
+    }
+
+
+def test_examples_first_three(spark):
+    h = spark.createDataFrame([(i, f"h{i}") for i in range(5, 0, -1)], "sent_id long, hyp string")
+    r = spark.createDataFrame([(i, f"r{i}") for i in range(6)], "sent_id long, ref string")
+    assert [x.sent_id for x in R.examples(h, r).collect()] == [1, 2, 3]
