@@ -269,6 +269,9 @@ def train_bpe(
         if previous is not None:
             previous.unpersist()
         previous, state = state, nxt
+    for df in (previous, state):  # release the cached word tables
+        if df is not None:
+            df.unpersist()
     return model
 
 
