@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from bitext.functions.text import EOS_ID, SOS_ID
 from bitext.operators.model import log_softmax
+from bitext.operators.positions import broadcast_if_small
 from bitext.operators.sequences import blocked_next
 from bitext.session import scratch_path
 
@@ -148,11 +149,13 @@ def beam_search(
 def lm_expander(lm_cands: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """K1-only expansion: the candidates of a beam are the observed
     successors of its last token, ``lm_cands(prev, token, logp)`` already
-    normalised over those successors."""
+    normalised over those successors. The table (observed bigrams, at most
+    V^2) is broadcast only after its size is checked."""
+    table = broadcast_if_small(lm_cands)
 
     def expand(live: DataFrame) -> DataFrame:
         l2 = live.withColumn("prev", F.element_at("seq", -1))
-        return l2.join(F.broadcast(lm_cands), "prev").select("sent_id", "beam", "score", "seq", "token", "logp")
+        return l2.join(table, "prev").select("sent_id", "beam", "score", "seq", "token", "logp")
 
     return expand
 
