@@ -72,7 +72,8 @@ def beam_search(
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Run the search. ``starts``: (sent_id, beam, score, seq). ``expand``
-    maps live beams to (sent_id, beam, score, seq, token, logp) candidates.
+    maps live beams to (sent_id, beam, score, seq, token, logp) candidates,
+    passing through any other live column (the running count ``nf``).
 
     Each step is one job that writes this step's finished hypotheses and the
     next live beams (with the sentence's running finished count ``nf``) to
@@ -85,7 +86,7 @@ def beam_search(
     out_path = scratch_path(spark, "beam-steps")
     live = starts.withColumn("nf", F.lit(0).cast("long")).repartition(nparts, "sent_id")
     for step in range(1, max_steps + 1):
-        cands = expand(live.drop("nf")).join(live.select("sent_id", "beam", "nf"), ["sent_id", "beam"])
+        cands = expand(live)
         w_beam = Window.partitionBy("sent_id", "beam").orderBy(F.desc("logp"), "token")
         top = (
             cands.withColumn("rank", F.row_number().over(w_beam))
@@ -146,6 +147,11 @@ def beam_search(
     return best_fin.select(*cols).unionByName(best_live.select(*cols))
 
 
+def _carry(live: DataFrame) -> list[str]:
+    """Beam columns an expander passes through (plus the search's own ``nf``)."""
+    return ["sent_id", "beam", "score", "seq"] + (["nf"] if "nf" in live.columns else [])
+
+
 def lm_expander(lm_cands: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """K1-only expansion: the candidates of a beam are the observed
     successors of its last token, ``lm_cands(prev, token, logp)`` already
@@ -155,7 +161,7 @@ def lm_expander(lm_cands: DataFrame) -> Callable[[DataFrame], DataFrame]:
 
     def expand(live: DataFrame) -> DataFrame:
         l2 = live.withColumn("prev", F.element_at("seq", -1))
-        return l2.join(table, "prev").select("sent_id", "beam", "score", "seq", "token", "logp")
+        return l2.join(table, "prev").select(*_carry(live), "token", "logp")
 
     return expand
 
@@ -184,6 +190,6 @@ def translation_expander(
         if ngram_block:
             j = block_ngrams(j, ngram_block)
         j = log_softmax(j, ["sent_id", "beam"], "logit", "logp")
-        return j.select("sent_id", "beam", "score", "seq", "token", "logp")
+        return j.select(*_carry(live), "token", "logp")
 
     return expand
