@@ -133,7 +133,7 @@ ORACLE = {
     SELECT CAST(row_number() OVER (ORDER BY md5('42:' || pair_id), pair_id) - 1 AS BIGINT) AS pos, pair_id,
            count(*) OVER () AS n_rows FROM f""",
     "epoch_shuffle": W
-    + f""", f AS (SELECT pair_id, e AS epoch FROM line_pairs, range(1, 4) r(e) WHERE {P1})
+    + f""", f AS (SELECT pair_id, CAST(e AS INTEGER) AS epoch FROM line_pairs, range(1, 4) r(e) WHERE {P1})
     SELECT epoch, CAST(row_number() OVER (PARTITION BY epoch ORDER BY md5('42:' || epoch || ':' || pair_id), pair_id) - 1
            AS BIGINT) AS pos, pair_id FROM f""",
     "split_corpus": W + SPLIT_CTE + " SELECT * FROM splits",

@@ -307,7 +307,7 @@ ORACLE = {
     "perplexity": BASE
     + """,
     pb AS (SELECT batch_id, avg(-lm_logp) AS m, count(*) AS v FROM ts GROUP BY batch_id),
-    pt AS (SELECT count(*) AS n_batches, sum(v) AS n_tokens, sum(m * v) / sum(v) AS a FROM pb)
+    pt AS (SELECT count(*) AS n_batches, CAST(sum(v) AS BIGINT) AS n_tokens, sum(m * v) / sum(v) AS a FROM pb)
     SELECT n_batches, n_tokens, round(a, 6) AS avg_loss,
            round(CASE WHEN a < 100 THEN exp(a) ELSE 'infinity'::DOUBLE END, 6) AS ppl FROM pt""",
     "smoothed_nll": BASE

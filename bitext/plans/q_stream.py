@@ -53,7 +53,7 @@ QUERIES = {
 
 ORACLE = {
     "stream_metrics": """SELECT event_type AS run, CAST(day(ts) AS INTEGER) AS epoch, count(*) AS n_batches,
-    round(avg(ln(value / 100.0 + 1.0)), 6) AS train_loss, sum(user_id + 1) AS n_tokens FROM events GROUP BY 1, 2""",
+    round(avg(ln(value / 100.0 + 1.0)), 6) AS train_loss, CAST(sum(user_id + 1) AS BIGINT) AS n_tokens FROM events GROUP BY 1, 2""",
     "stream_pair_filter": q_corpus.ORACLE["pair_clean"].replace(
         "WHERE " + q_corpus.clean("src"), f"WHERE {q_corpus.P1} AND " + q_corpus.clean("src"), 1
     ),
