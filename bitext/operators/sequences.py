@@ -87,18 +87,27 @@ def detokenize(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, variant:
     token are dropped), order kept by position, joined by spaces, then
     ``" ##"`` removed; the ``inference`` variant also tightens ``" ."`` and
     ``" ,"``. The vocabulary is bounded by ``vocab_size`` -> broadcast."""
-    exploded = df.select(key, F.posexplode(strip_ids(ids_col)).alias("_pos", "_id"))
+    exploded = (
+        df.select(key, ids_col)
+        .repartition(key)
+        .select(key, F.posexplode_outer(strip_ids(ids_col)).alias("_pos", "_id"))
+    )
+    # Left join + null filter inside collect_list = inner-join semantics while
+    # every input row (key unique) keeps its output row; the regroup reuses
+    # the key partitioning.
     toks = exploded.join(
-        F.broadcast(vocab.select(F.col("id").alias("_id"), F.col("token").alias("_tok"))), "_id"
-    ).where(F.col("_tok").isNotNull())
+        F.broadcast(vocab.select(F.col("id").alias("_id"), F.col("token").alias("_tok"))), "_id", "left"
+    )
     grouped = toks.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_tok"))), lambda s: s["_tok"]).alias("_t")
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("_tok").isNotNull(), F.struct("_pos", "_tok")))),
+            lambda s: s["_tok"],
+        ).alias("_t")
     )
     text = F.replace(F.array_join("_t", " "), F.lit(" ##"), F.lit(""))
     if variant == "inference":
         text = F.replace(F.replace(text, F.lit(" ."), F.lit(".")), F.lit(" ,"), F.lit(","))
-    out = grouped.select(key, text.alias("_text"))
-    return df.select(key).join(out, key, "left").select(key, F.coalesce("_text", F.lit("")).alias("text"))
+    return grouped.select(key, text.alias("text"))
 
 
 def blocked_next(ids: Column | str, n: int = NGRAM) -> Column:

@@ -316,26 +316,46 @@ def lookup_ids(tokens: DataFrame, vocab: DataFrame, unk_id: int = UNK_ID) -> Dat
     )
 
 
-def encode_chars(df: DataFrame, key: str, text_col: str, vocab: DataFrame, out_col: str = "ids") -> DataFrame:
-    """Character-level encode (BPE with no merges): special-token literals
-    first, then each non-whitespace character; lookup by join; the ids are
-    reassembled per row in position order. The table is hash-partitioned on
-    ``key`` once, so the regroup after the (narrow) broadcast join needs no
-    second shuffle."""
+def encode_chars(
+    df: DataFrame,
+    key: str,
+    text_col: str | list[str],
+    vocab: DataFrame,
+    out_col: str | list[str] = "ids",
+) -> DataFrame:
+    """Character-level encode (BPE with no merges) of one or more text
+    columns: special-token literals first, then each non-whitespace
+    character; lookup by a broadcast join on the vocabulary (bounded);
+    [UNK] for unknown characters.
+
+    One pass for all columns: the rows are hash-partitioned on ``key`` (which
+    must be unique) once; the explode and the broadcast join keep that
+    partitioning, so the regroup by ``key`` needs no second shuffle. Texts
+    without tokens keep their row with an empty array (outer explode)."""
+    cols = [text_col] if isinstance(text_col, str) else list(text_col)
+    outs = [out_col] if isinstance(out_col, str) else list(out_col)
+    sides = F.array(
+        *[
+            F.struct(F.lit(i).alias("_side"), F.regexp_extract_all(F.col(c), F.lit(ENCODE_CHAR_RE), 0).alias("_t"))
+            for i, c in enumerate(cols)
+        ]
+    )
     toks = (
-        df.select(key, text_col)
+        df.select(key, *cols)
         .repartition(key)
-        .select(key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(ENCODE_CHAR_RE), 0)).alias("_pos", "token"))
-    )
-    ided = lookup_ids(toks, vocab)
-    out = ided.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "id"))), lambda s: s["id"].cast("int")).alias(out_col)
+        .select(key, F.explode(sides).alias("_s"))
+        .select(key, "_s._side", F.posexplode_outer("_s._t").alias("_pos", "token"))
     )
-    # Rows whose text has no token at all still get an (empty) array.
-    return df.select(key).distinct().join(out, key, "left").select(
-        key, F.coalesce(F.col(out_col), F.array().cast("array<int>")).alias(out_col)
+    ided = toks.join(F.broadcast(vocab.select("token", "id")), "token", "left").withColumn(
+        "id", F.when(F.col("token").isNotNull(), F.coalesce(F.col("id"), F.lit(UNK_ID)))
     )
 
+    def ids_of(i: int) -> Column:
+        picked = F.collect_list(F.when((F.col("_side") == i) & F.col("token").isNotNull(), F.struct("_pos", "id")))
+        return F.transform(F.array_sort(picked), lambda s: s["id"].cast("int"))
+
+    return ided.groupBy(key).agg(*[ids_of(i).alias(o) for i, o in enumerate(outs)])
+
 
 def _bpe_word(word: str, vocab: dict, ranks: dict, unk_id: int) -> list[int]:
     """Apply merges to one pre-token: lowest rank first, left to right."""

@@ -30,9 +30,7 @@ def encoded_pairs(spark, sf_dir, pairs=None, template=True, max_len=Q.MAX_LEN, v
     """(pair_id, src_ids, tgt_ids) with the character vocabulary."""
     pairs = pairs if pairs is not None else fx.line_pairs(spark, sf_dir)
     vocab = vocab if vocab is not None else char_vocab(spark, sf_dir)
-    s = V.encode_chars(pairs, "pair_id", "src", vocab, "src_ids")
-    t = V.encode_chars(pairs, "pair_id", "tgt", vocab, "tgt_ids")
-    out = pairs.select("pair_id").join(s, "pair_id").join(t, "pair_id")
+    out = V.encode_chars(pairs, "pair_id", ["src", "tgt"], vocab, ["src_ids", "tgt_ids"])
     if template:
         out = out.select(
             "pair_id",
