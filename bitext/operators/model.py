@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitext.functions.text import EOS_ID, PAD_ID, SOS_ID, UNK_ID
+from bitext.functions.text import PAD_ID, SOS_ID, UNK_ID
 from bitext.operators.positions import BROADCAST_MAX_ROWS, broadcast_if_small
 from bitext.session import cut_lineage
 

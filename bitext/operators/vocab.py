@@ -96,22 +96,6 @@ def char_vocab(spark: SparkSession, words: DataFrame | None = None, texts: DataF
     return specials.unionByName(alpha.select("token", F.col("id").cast("int").alias("id")))
 
 
-def merge_pair(ids: Column, left: int, right: int, new_id: int) -> Column:
-    """Replace adjacent (left, right) by new_id, left to right, no overlap.
-    The merged id never equals ``left``, so a fresh merge is never reused."""
-    empty = F.array().cast("array<int>")
-
-    def step(acc, x):
-        n = F.size(acc)
-        hit = (n > 0) & (F.element_at(acc, -1) == F.lit(left)) & (x == F.lit(right))
-        return F.when(hit, F.concat(F.slice(acc, 1, n - 1), F.array(F.lit(new_id)))).otherwise(
-            F.concat(acc, F.array(x))
-        )
-
-    merged = F.aggregate(ids, empty, step)
-    return F.when(F.array_contains(ids, left) & F.array_contains(ids, right), merged).otherwise(ids)
-
-
 def merge_pair_text(syms: Column, left: int, right: int, new_id: int) -> Column:
     """``merge_pair`` on the delimited form " 12 45 7 ", left to right without
     overlap, referencing the column once (chained merges stay linear).

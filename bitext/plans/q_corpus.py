@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bitext.functions.text import py_strip
 from bitext.operators import corpus as C
 from bitext.plans import fixtures as fx
 from bitext.plans import sql_fixtures as S

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitext.operators.corpus import clean_pairs, filter_pairs
-from bitext.operators.runs import filter_requests
+from bitext.operators.runs import QUIT_WORDS, filter_requests
 from bitext.plans.fixtures import PAIR_CONV, PAIR_TURN
 from bitext.session import scratch_path
 
@@ -98,19 +98,32 @@ def stream_pairs(spark: SparkSession, source: str) -> DataFrame:
 
 
 def stream_translate(
-    spark: SparkSession, source: str, translate: Callable[[DataFrame], DataFrame]
+    spark: SparkSession,
+    source: str,
+    translate: Callable[[DataFrame], DataFrame],
+    max_files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Requests (session_id, request_id, text) arrive; each micro-batch is
-    filtered (quit words end a session within the batch, blanks skipped) and
-    handed to ``translate`` (a batch function, so it may join and iterate),
-    whose output is appended."""
+    filtered (a quit word ends its session, blanks are skipped) and handed to
+    ``translate`` (a batch function, so it may join and iterate), whose output
+    is appended. Sessions ended by a quit word are kept in a table next to the
+    output, so a quit also drops that session's requests in later batches."""
     schema = "session_id long, request_id long, text string"
-    req = spark.readStream.schema(schema).parquet(source)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    req = reader.parquet(source)
     out = scratch_path(spark, "stream-translate")
+    ended_path = f"{out}-ended"
+    spark.createDataFrame([], "session_id long").write.mode("overwrite").parquet(ended_path)
 
     def sink(batch: DataFrame, _epoch_id: int) -> None:
-        kept = filter_requests(batch)
+        ended = spark.read.parquet(ended_path)
+        live = batch.join(ended, "session_id", "left_anti")
+        kept = filter_requests(live)
         translate(kept).write.mode("append").parquet(out)
+        quits = live.where(F.lower("text").isin(*QUIT_WORDS)).select("session_id").distinct()
+        quits.write.mode("append").parquet(ended_path)
 
     _run(req.writeStream.foreachBatch(sink), spark, "translate")
     return spark.read.parquet(out)
