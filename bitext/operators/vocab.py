@@ -97,8 +97,10 @@ def char_vocab(spark: SparkSession, words: DataFrame | None = None, texts: DataF
 
 
 def merge_pair_text(syms: Column, left: int, right: int, new_id: int) -> Column:
-    """``merge_pair`` on the delimited form " 12 45 7 ", left to right without
-    overlap, referencing the column once (chained merges stay linear).
+    """Merge adjacent (left, right) into ``new_id`` on the delimited form
+    " 12 45 7 ", left to right without overlap, referencing the column once
+    (chained merges stay linear). The merged id differs from both parts, so a
+    replacement never creates a new occurrence.
 
     left != right: occurrences cannot overlap; one literal ``replace`` pass
     skips only an occurrence that directly follows a replaced one (its
