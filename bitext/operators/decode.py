@@ -2,7 +2,7 @@
 
 All sentences advance together, one Spark step per decode position:
 
-1. live beams ``(sent_id, beam, score, seq, last)`` meet their candidate
+1. live beams ``(sent_id, beam, score, seq)`` meet their candidate
    next tokens through ``expand(live)`` (a join), which returns
    ``logp`` already normalised per beam;
 2. top ``k`` per beam by (logp desc, token asc)              (E1)
@@ -12,12 +12,13 @@ All sentences advance together, one Spark step per decode position:
    which is Python's stable sort over the reference's loop order (E2, F5);
 5. a sentence stops once it has >= k finished hypotheses.
 
-Finished rows and the best live beam of each step are appended to a table in
-the shared checkpoint folder; the live set is written there every step, so
-lineage stays one step deep. At the end each sentence takes its best finished
-hypothesis (ties: earlier step, beam, rank), else its best live beam of the
-latest step that had one (G3: a step that leaves nothing keeps the previous
-live set).
+Each step is one job that writes the step's finished hypotheses and next
+live beams (carrying the sentence's running finished count) to the shared
+checkpoint folder; the next step reads the live rows back, so lineage stays
+one step deep and a lost executor costs at most one step. At the end each
+sentence takes its best finished hypothesis (ties: earlier step, beam, rank),
+else its best live beam of the latest step that had one (G3: a step that
+leaves nothing keeps the previous live set).
 """
 
 from __future__ import annotations
