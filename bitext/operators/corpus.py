@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitext.functions.text import char_count, is_blank, py_strip, word_count
-from bitext.operators.positions import dense_position
+from bitext.operators.positions import bucketed_position, dense_position, md5_bucket
 
 # --- Fixed values: the reference's defaults ---------------------------------
 MIN_LEN = 4
@@ -81,22 +81,24 @@ def shuffle_key(id_col: str = "pair_id", seed: int | str = SEED) -> Column:
 def shuffled_positions(
     df: DataFrame, id_col: str = "pair_id", seed: int | str = SEED, num_partitions: int | None = None
 ) -> DataFrame:
-    """F1 + E6: 0-based ``pos`` in seeded shuffle order and ``n_rows`` = N."""
-    keyed = df.withColumn("_skey", shuffle_key(id_col, seed))
-    out = dense_position(
-        keyed, ["_skey", id_col], pos_col="pos", count_col="n_rows", num_partitions=num_partitions
-    )
-    return out.drop("_skey")
+    """F1 + E6: 0-based ``pos`` in seeded shuffle order and ``n_rows`` = N.
+    The md5 key's hex prefix is a uniform, order-preserving bucket, so the
+    positions need no sampled range bounds and no materialisation.
+    ``num_partitions`` is kept for API compatibility (buckets decide)."""
+    keyed = df.withColumn("_skey", shuffle_key(id_col, seed)).withColumn("_bkt", md5_bucket(F.col("_skey")))
+    out = bucketed_position(keyed, ["_bkt"], ["_skey", id_col], pos_col="pos", count_col="n_rows")
+    return out.drop("_skey", "_bkt")
 
 
 def epoch_order(df: DataFrame, epoch_col: str = "epoch", id_col: str = "pair_id", seed: int = SEED) -> DataFrame:
     """fresh shuffle per epoch = same key with the epoch in the salt; the
-    rank is per epoch, so it partitions by epoch on range bounds."""
+    rank is per epoch; md5-prefix buckets split every epoch over many tasks."""
     keyed = df.withColumn(
         "_skey",
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(epoch_col).cast("string"), F.col(id_col).cast("string"))),
-    )
-    return dense_position(keyed, ["_skey", id_col], group_cols=[epoch_col], pos_col="pos").drop("_skey")
+    ).withColumn("_bkt", md5_bucket(F.col("_skey")))
+    out = bucketed_position(keyed, ["_bkt"], ["_skey", id_col], group_cols=[epoch_col], pos_col="pos")
+    return out.drop("_skey", "_bkt")
 
 
 def split_size(size: int | float, n_rows: Column) -> Column:

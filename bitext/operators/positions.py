@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from bitext.session import scratch_path
 
+# Hex digits of an md5 key used as its bucket: 16^4 = 65536 uniform buckets.
+MD5_BUCKET_DIGITS = 4
+
 # Broadcast the offsets table only below this many rows.
 BROADCAST_MAX_ROWS = 2_000_000
 
@@ -83,3 +86,47 @@ def dense_position(
         pos_col, (F.col("_mid") - F.col("_first") + F.col("_off")).cast("long")
     )
     return out.drop("_pid", "_mid", "_first", "_off")
+
+
+def md5_bucket(key: Column, digits: int = MD5_BUCKET_DIGITS) -> Column:
+    """Order-preserving uniform bucket of a lowercase hex md5 string."""
+    return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
+
+
+def bucketed_position(
+    df: DataFrame,
+    bucket_cols: list[str],
+    order_cols: list[str],
+    group_cols: list[str] | None = None,
+    pos_col: str = "pos",
+    count_col: str | None = None,
+    max_offset_rows: int = BROADCAST_MAX_ROWS,
+) -> DataFrame:
+    """Dense 0-based positions when the order has a deterministic,
+    order-preserving bucket (the ordering is ``bucket_cols`` then
+    ``order_cols``, a total order): md5-prefix buckets of a shuffle key,
+    (file, block) for file lines.
+
+    Position = rows in earlier buckets of the group (cumulative counts on a
+    table of one row per (group, bucket), broadcast after a size check) +
+    ``row_number`` inside the bucket. Both passes compute the same buckets
+    from the data, so nothing is sampled or materialised; one shuffle places
+    each bucket in one task, and buckets are small by construction (uniform
+    hash prefix, or one file block)."""
+    group_cols = list(group_cols or [])
+    counts = df.groupBy(*group_cols, *bucket_cols).agg(F.count(F.lit(1)).alias("_cnt"))
+    order_b = [F.col(c) for c in bucket_cols]
+    w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy(*order_b)
+    offsets = counts.withColumn(
+        "_off", F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
+    if count_col:
+        total_w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
+        offsets = offsets.withColumn(count_col, F.sum("_cnt").over(total_w))
+    offsets = broadcast_if_small(offsets.drop("_cnt"), max_offset_rows)
+    inner = Window.partitionBy(*group_cols, *bucket_cols).orderBy(*[F.col(c) for c in order_cols])
+    ranked = df.withColumn("_rn", F.row_number().over(inner))
+    out = ranked.join(offsets, [*group_cols, *bucket_cols]).withColumn(
+        pos_col, (F.col("_off") + F.col("_rn") - 1).cast("long")
+    )
+    return out.drop("_rn", "_off")

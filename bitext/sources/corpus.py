@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitext.operators.positions import dense_position
+from bitext.operators.positions import bucketed_position
 
 SRC_COL, TGT_COL = "text_zh", "text_en"
 
@@ -37,7 +37,7 @@ def read_corpus(
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_row"),
         )
-        df = dense_position(df, ["_file", "_block", "_row"], pos_col="pair_id")
+        df = bucketed_position(df, ["_file", "_block"], ["_row"], pos_col="pair_id")
         id_col = "pair_id"
     return df.select(
         F.col(id_col).cast("long").alias("pair_id"),

@@ -7,8 +7,9 @@ the lines in ``pos`` order; ``\\n`` and ``\\r`` are removed first (X10).
 Scan (A2): the line number of a row is its rank by (file name, block start,
 row order inside the block). ``_metadata`` gives the first two; the third is
 ``monotonically_increasing_id`` inside the scan task, which follows file
-order. Ranks come from ``dense_position`` (range partitions + offsets), so no
-single task sees the whole file set.
+order. A file block is a natural bucket (bounded by the split size), so ranks
+are block offsets plus a row number inside the block; no single task sees the
+whole file set.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from bitext.functions.text import py_strip
 from bitext.operators.corpus import clean_text
-from bitext.operators.positions import dense_position
+from bitext.operators.positions import bucketed_position
 
 
 def write_parallel_text(
@@ -50,7 +51,7 @@ def read_lines(spark: SparkSession, path: str, group_cols: list[str] | None = No
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    out = dense_position(raw, ["_file", "_block", "_row"], group_cols=group_cols, pos_col="line_no")
+    out = bucketed_position(raw, ["_file", "_block"], ["_row"], group_cols=group_cols, pos_col="line_no")
     return out.drop("_file", "_block", "_row")
 
 
