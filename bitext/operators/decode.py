@@ -71,6 +71,7 @@ def beam_search(
     alpha: float = ALPHA_EVAL,
     max_steps: int = MAX_STEPS,
     num_partitions: int | None = None,
+    check_every: int = 4,
 ) -> DataFrame:
     """Run the search. ``starts``: (sent_id, beam, score, seq). ``expand``
     maps live beams to (sent_id, beam, score, seq, token, logp) candidates,
@@ -129,7 +130,9 @@ def beam_search(
             .where(F.col("kind") == "live")
             .select("sent_id", "beam", "score", "seq", "nf")
         )
-        if live.limit(1).count() == 0:
+        # Emptiness probe every few steps: a step over no live beams is a
+        # cheap no-op, a probe is a job.
+        if step % check_every == 0 and live.limit(1).count() == 0:
             break
     res = spark.read.parquet(out_path)
     w_fin = Window.partitionBy("sent_id").orderBy(F.desc("score"), "step", "beam", "rank")
