@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitext.functions.text import ngrams, remove_ws, tokenize_13a
+from bitext.functions.text import remove_ws, tokenize_13a
 
 # --- Fixed values: library defaults ------------------------------------------
 BLEU_ORDER = 4
@@ -24,22 +24,17 @@ PPL_CAP = 100.0
 # ---------------------------------------------------------------------------
 
 
-def _gram_counts(df: DataFrame, key: str, grams: Column, name: str) -> DataFrame:
-    """(key, n, gram, <name>) counts from an array<struct<n, g>> column."""
-    return (
-        df.select(key, F.explode(grams).alias("x"))
-        .groupBy(key, F.col("x.n").alias("n"), F.col("x.g").alias("gram"))
-        .agg(F.count(F.lit(1)).alias(name))
+def _word_gram_counts(df: DataFrame, key: str, tokens: str, order: int, name: str) -> DataFrame:
+    """(key, n, gram, <name>) word n-gram counts, n = 1..order, from
+    generators and ``slice``/``array_join`` (code-generated, no lambdas)."""
+    rows = (
+        df.select(key, F.col(tokens).alias("_t"), F.size(tokens).alias("_len"))
+        .select(key, "_t", "_len", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n"))
+        .where(F.col("_len") >= F.col("n"))
+        .select(key, "_t", "n", F.explode(F.sequence(F.lit(1), F.col("_len") - F.col("n") + 1)).alias("_i"))
+        .select(key, "n", F.array_join(F.expr("slice(_t, _i, n)"), " ").alias("gram"))
     )
-
-
-def _tag(n: int):
-    """Element function for ``transform`` (one argument: the element)."""
-    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
-
-
-def _all_word_grams(tokens: Column, order: int) -> Column:
-    return F.flatten(F.array(*[F.transform(ngrams(tokens, n), _tag(n)) for n in range(1, order + 1)]))
+    return rows.groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias(name))
 
 
 def align_predictions(hyps: DataFrame, refs: DataFrame) -> DataFrame:
@@ -52,8 +47,8 @@ def bleu_stats(pairs: DataFrame, order: int = BLEU_ORDER) -> DataFrame:
     tok = pairs.select(
         "sent_id", tokenize_13a("hyp").alias("h"), tokenize_13a("ref").alias("r")
     )
-    hg = _gram_counts(tok, "sent_id", _all_word_grams(F.col("h"), order), "hc")
-    rg = _gram_counts(tok, "sent_id", _all_word_grams(F.col("r"), order), "rc")
+    hg = _word_gram_counts(tok, "sent_id", "h", order, "hc")
+    rg = _word_gram_counts(tok, "sent_id", "r", order, "rc")
     # One long table of (kind, n, v), folded by a single global aggregate.
     matches = hg.join(rg, ["sent_id", "n", "gram"]).select(
         F.lit("m").alias("kind"), "n", F.least("hc", "rc").cast("long").alias("v")
