@@ -1,4 +1,4 @@
-"""Column expressions for text: strip, word counts, pre-tokenizer, 13a, n-grams.
+"""Column expressions for text: strip, word counts, pre-tokenizer, 13a.
 
 All of these are built-in Spark expressions (Java regex), so they stay inside
 whole-stage codegen. The regex strings are also valid RE2, which lets the
@@ -106,28 +106,6 @@ def tokenize_13a(col: Column | str) -> Column:
     return py_split(s)
 
 
-def ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
-    """All contiguous n-grams of an array, joined by ``sep`` (empty if short)."""
-    return F.when(
-        F.size(tokens) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - n + 1),
-            lambda i: F.array_join(F.slice(tokens, i, n), sep),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def char_ngrams(text: Column, n: int) -> Column:
-    """All contiguous character n-grams of a string (code points)."""
-    return F.when(
-        F.length(text) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.length(text) - n + 1),
-            lambda i: F.substring(text, i, n),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-
-
 def remove_ws(col: Column | str) -> Column:
     """``''.join(s.split())``."""
     return F.regexp_replace(_c(col), PY_WS, "")
