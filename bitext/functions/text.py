@@ -53,7 +53,7 @@ def py_strip(col: Column | str) -> Column:
 
 def py_split(col: Column | str) -> Column:
     """Python ``str.split()``: words separated by runs of Python whitespace."""
-    return F.filter(F.split(_c(col), f"{PY_WS}+"), lambda x: x != F.lit(""))
+    return F.array_remove(F.split(_c(col), f"{PY_WS}+"), "")
 
 
 def word_count(col: Column | str) -> Column:

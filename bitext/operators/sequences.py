@@ -99,10 +99,9 @@ def detokenize(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, variant:
         F.broadcast(vocab.select(F.col("id").alias("_id"), F.col("token").alias("_tok"))), "_id", "left"
     )
     grouped = toks.groupBy(key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("_tok").isNotNull(), F.struct("_pos", "_tok")))),
-            lambda s: s["_tok"],
-        ).alias("_t")
+        F.array_sort(F.collect_list(F.when(F.col("_tok").isNotNull(), F.struct("_pos", "_tok"))))
+        .getField("_tok")
+        .alias("_t")
     )
     text = F.replace(F.array_join("_t", " "), F.lit(" ##"), F.lit(""))
     if variant == "inference":

@@ -196,7 +196,7 @@ def train_bpe(
     exploded = words.select("word", "freq", F.posexplode(chars("word")).alias("_pos", "token"))
     joined = exploded.join(F.broadcast(alpha), "token")
     state = joined.groupBy("word", "freq").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "id"))), lambda s: s["id"].cast("int")).alias("ids")
+        F.array_sort(F.collect_list(F.struct("_pos", "id"))).getField("id").cast("array<int>").alias("ids")
     )
     # Delimited text form " 12 45 7 ": merges are built-in regex replaces.
     state = cut_lineage(
@@ -338,7 +338,7 @@ def encode_chars(
 
     def ids_of(i: int) -> Column:
         picked = F.collect_list(F.when((F.col("_side") == i) & F.col("token").isNotNull(), F.struct("_pos", "id")))
-        return F.transform(F.array_sort(picked), lambda s: s["id"].cast("int"))
+        return F.array_sort(picked).getField("id").cast("array<int>")
 
     return ided.groupBy(key).agg(*[ids_of(i).alias(o) for i, o in enumerate(outs)])
 
