@@ -308,6 +308,7 @@ def encode_chars(
     text_col: str | list[str],
     vocab: DataFrame,
     out_col: str | list[str] = "ids",
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Character-level encode (BPE with no merges) of one or more text
     columns: special-token literals first, then each non-whitespace
@@ -317,7 +318,8 @@ def encode_chars(
     One pass for all columns: the rows are hash-partitioned on ``key`` (which
     must be unique) once; the explode and the broadcast join keep that
     partitioning, so the regroup by ``key`` needs no second shuffle. Texts
-    without tokens keep their row with an empty array (outer explode)."""
+    without tokens keep their row with an empty array (outer explode).
+    ``keep`` columns are carried through (one value per key)."""
     cols = [text_col] if isinstance(text_col, str) else list(text_col)
     outs = [out_col] if isinstance(out_col, str) else list(out_col)
     sides = F.array(
@@ -326,11 +328,12 @@ def encode_chars(
             for i, c in enumerate(cols)
         ]
     )
+    keep = list(keep or [])
     toks = (
-        df.select(key, *cols)
+        df.select(key, *keep, *cols)
         .repartition(key)
-        .select(key, F.explode(sides).alias("_s"))
-        .select(key, "_s._side", F.posexplode_outer("_s._t").alias("_pos", "token"))
+        .select(key, *keep, F.explode(sides).alias("_s"))
+        .select(key, *keep, "_s._side", F.posexplode_outer("_s._t").alias("_pos", "token"))
     )
     ided = toks.join(F.broadcast(vocab.select("token", "id")), "token", "left").withColumn(
         "id", F.when(F.col("token").isNotNull(), F.coalesce(F.col("id"), F.lit(UNK_ID)))
@@ -340,7 +343,9 @@ def encode_chars(
         picked = F.collect_list(F.when((F.col("_side") == i) & F.col("token").isNotNull(), F.struct("_pos", "id")))
         return F.array_sort(picked).getField("id").cast("array<int>")
 
-    return ided.groupBy(key).agg(*[ids_of(i).alias(o) for i, o in enumerate(outs)])
+    return ided.groupBy(key).agg(
+        *[F.first(c).alias(c) for c in keep], *[ids_of(i).alias(o) for i, o in enumerate(outs)]
+    )
 
 
 def _bpe_word(word: str, vocab: dict, ranks: dict, unk_id: int) -> list[int]:

@@ -26,14 +26,20 @@ def r6(c):
 
 
 def _data(spark, sf_dir):
-    """Encoded pairs (char vocabulary) split into train (sanity +
-    production) and test rows, plus the vocabulary size."""
+    """The character vocabulary and the encoded train (sanity + production,
+    disjoint ranges) and test rows. Only split rows are encoded; cleaning
+    touches whitespace only, which encoding drops, so ids equal those of the
+    raw lines."""
     vocab = cut_lineage(q_vocab.char_vocab(spark, sf_dir))
-    enc = q_vocab.encoded_pairs(spark, sf_dir, vocab=vocab)
-    splits = q_corpus.split_corpus(spark, sf_dir)
-    train_ids = splits.where(F.col("split").isin("sanity", "production")).select("pair_id").distinct()
-    train = cut_lineage(enc.join(train_ids, "pair_id", "left_semi"))
-    test = cut_lineage(enc.join(splits.where(F.col("split") == "test").select("pair_id", "pos"), "pair_id"))
+    splits = cut_lineage(q_corpus.split_corpus(spark, sf_dir))
+    train = cut_lineage(
+        q_vocab.encoded_pairs(
+            spark, sf_dir, pairs=splits.where(F.col("split").isin("sanity", "production")), vocab=vocab
+        )
+    )
+    test = cut_lineage(
+        q_vocab.encoded_pairs(spark, sf_dir, pairs=splits.where(F.col("split") == "test"), vocab=vocab, keep=["pos"])
+    )
     return vocab, train, test
 
 

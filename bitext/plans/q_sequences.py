@@ -14,8 +14,7 @@ BATCH = 8  # batch size for the padding query
 def _train_batches(spark, sf_dir):
     """The sanity split, encoded, truncated and batched by position."""
     split = q_corpus.split_corpus(spark, sf_dir).where(F.col("split") == "sanity")
-    enc = q_vocab.encoded_pairs(spark, sf_dir, pairs=split.select("pair_id", "src", "tgt"))
-    rows = split.select("pos", "pair_id").join(enc, "pair_id")
+    rows = q_vocab.encoded_pairs(spark, sf_dir, pairs=split, keep=["pos"])
     return Q.pad_batches(Q.assign_batches(rows, "pos", BATCH))
 
 

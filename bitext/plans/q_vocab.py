@@ -26,14 +26,16 @@ def char_vocab(spark, sf_dir):
     return V.char_vocab(spark, texts=fx.vocab_corpus(spark, sf_dir))
 
 
-def encoded_pairs(spark, sf_dir, pairs=None, template=True, max_len=Q.MAX_LEN, vocab=None):
-    """(pair_id, src_ids, tgt_ids) with the character vocabulary."""
+def encoded_pairs(spark, sf_dir, pairs=None, template=True, max_len=Q.MAX_LEN, vocab=None, keep=None):
+    """(pair_id, *keep, src_ids, tgt_ids) with the character vocabulary."""
     pairs = pairs if pairs is not None else fx.line_pairs(spark, sf_dir)
     vocab = vocab if vocab is not None else char_vocab(spark, sf_dir)
-    out = V.encode_chars(pairs, "pair_id", ["src", "tgt"], vocab, ["src_ids", "tgt_ids"])
+    keep = list(keep or [])
+    out = V.encode_chars(pairs, "pair_id", ["src", "tgt"], vocab, ["src_ids", "tgt_ids"], keep=keep)
     if template:
         out = out.select(
             "pair_id",
+            *keep,
             Q.truncate(Q.with_template("src_ids"), max_len).alias("src_ids"),
             Q.truncate(Q.with_template("tgt_ids"), max_len).alias("tgt_ids"),
         )
