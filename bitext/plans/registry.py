@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-import importlib
+from bitext.plans import q_corpus, q_io, q_metrics, q_model, q_runs, q_sequences, q_stream, q_vocab
 
-MODULES = [
-    "bitext.plans.q_corpus",
-    "bitext.plans.q_io",
-    "bitext.plans.q_runs",
-    "bitext.plans.q_vocab",
-    "bitext.plans.q_sequences",
-    "bitext.plans.q_metrics",
-    "bitext.plans.q_model",
-    "bitext.plans.q_stream",
-]
-
-
-def _load():
-    queries, oracle = {}, {}
-    for name in MODULES:
-        try:
-            mod = importlib.import_module(name)
-        except ModuleNotFoundError as exc:  # module not written yet
-            if exc.name == name:
-                continue
-            raise
-        queries.update(getattr(mod, "QUERIES", {}))
-        oracle.update(getattr(mod, "ORACLE", {}))
-    return queries, oracle
+MODULES = [q_corpus, q_io, q_runs, q_vocab, q_sequences, q_metrics, q_model, q_stream]
 
 
 def queries():
-    return _load()[0]
+    out = {}
+    for mod in MODULES:
+        out.update(mod.QUERIES)
+    return out
 
 
 def oracle_sql():
-    return _load()[1]
+    out = {}
+    for mod in MODULES:
+        out.update(getattr(mod, "ORACLE", {}))
+    return out
