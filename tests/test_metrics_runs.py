@@ -215,3 +215,16 @@ def test_examples_first_three(spark):
     h = spark.createDataFrame([(i, f"h{i}") for i in range(5, 0, -1)], "sent_id long, hyp string")
     r = spark.createDataFrame([(i, f"r{i}") for i in range(6)], "sent_id long, ref string")
     assert [x.sent_id for x in R.examples(h, r).collect()] == [1, 2, 3]
+
+
+def test_report_row_choice_and_ppl_cap(spark):
+    rows = []
+    for run, n in (("r9", 9), ("r10", 10), ("r11", 11)):
+        for e in range(1, n + 1):
+            val = 99.9 if (run, e) == ("r10", 10) else (100.0 if (run, e) == ("r11", 10) else 1.0)
+            rows.append((run, e, 0.5, val))
+    df = spark.createDataFrame(rows, "run string, epoch int, train_loss double, val_loss double")
+    rep = {r.run: (r.epoch, r.ppl) for r in R.experiment_report(df).collect()}
+    assert rep["r9"] == (9, pytest.approx(math.e))  # fewer than 10 -> last
+    assert rep["r10"][0] == 10 and rep["r10"][1] == pytest.approx(math.exp(99.9))
+    assert rep["r11"] == (10, math.inf)  # 10th row of 11; val_loss 100 -> inf
