@@ -145,7 +145,8 @@ def lexical_em(
             counts = w.join(zt, [key, "t"]).withColumn("_c", F.col("t_n") * F.col("_w") / F.col("_z"))
         st = counts.groupBy("s", "t").agg(F.sum("_c").alias("_c"))
         tot = st.groupBy("s").agg(F.sum("_c").alias("_tot"))
-        table = st.join(broadcast_if_small(tot), "s").select("s", "t", (F.col("_c") / F.col("_tot")).alias("prob"))
+        # One row per distinct source token: bounded by the vocabulary size.
+        table = st.join(F.broadcast(tot), "s").select("s", "t", (F.col("_c") / F.col("_tot")).alias("prob"))
         if checkpoint_every and (r + 1) % checkpoint_every == 0:
             table = cut_lineage(table)
     return table
