@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitext.functions.text import char_count, is_blank, py_strip, word_count
-from bitext.operators.positions import bucketed_position, dense_position, md5_bucket
+from bitext.operators.positions import MD5_BUCKET_DIGITS, bucketed_position, dense_position, md5_bucket
 
 # --- Fixed values: the reference's defaults ---------------------------------
 MIN_LEN = 4
@@ -86,7 +86,9 @@ def shuffled_positions(
     positions need no sampled range bounds and no materialisation.
     ``num_partitions`` is kept for API compatibility (buckets decide)."""
     keyed = df.withColumn("_skey", shuffle_key(id_col, seed)).withColumn("_bkt", md5_bucket(F.col("_skey")))
-    out = bucketed_position(keyed, ["_bkt"], ["_skey", id_col], pos_col="pos", count_col="n_rows")
+    out = bucketed_position(
+        keyed, ["_bkt"], ["_skey", id_col], pos_col="pos", count_col="n_rows", offsets_bound=16**MD5_BUCKET_DIGITS
+    )
     return out.drop("_skey", "_bkt")
 
 

@@ -101,6 +101,7 @@ def bucketed_position(
     pos_col: str = "pos",
     count_col: str | None = None,
     max_offset_rows: int = BROADCAST_MAX_ROWS,
+    offsets_bound: int | None = None,
 ) -> DataFrame:
     """Dense 0-based positions when the order has a deterministic,
     order-preserving bucket (the ordering is ``bucket_cols`` then
@@ -112,7 +113,9 @@ def bucketed_position(
     ``row_number`` inside the bucket. Both passes compute the same buckets
     from the data, so nothing is sampled or materialised; one shuffle places
     each bucket in one task, and buckets are small by construction (uniform
-    hash prefix, or one file block)."""
+    hash prefix, or one file block). ``offsets_bound`` is a proven bound on
+    the number of (group, bucket) rows (e.g. 16^4 md5 buckets without
+    groups); below ``max_offset_rows`` it skips the size check."""
     group_cols = list(group_cols or [])
     counts = df.groupBy(*group_cols, *bucket_cols).agg(F.count(F.lit(1)).alias("_cnt"))
     order_b = [F.col(c) for c in bucket_cols]
@@ -123,7 +126,11 @@ def bucketed_position(
     if count_col:
         total_w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
         offsets = offsets.withColumn(count_col, F.sum("_cnt").over(total_w))
-    offsets = broadcast_if_small(offsets.drop("_cnt"), max_offset_rows)
+    offsets = offsets.drop("_cnt")
+    if offsets_bound is not None and offsets_bound <= max_offset_rows:
+        offsets = F.broadcast(offsets)
+    else:
+        offsets = broadcast_if_small(offsets, max_offset_rows)
     inner = Window.partitionBy(*group_cols, *bucket_cols).orderBy(*[F.col(c) for c in order_cols])
     ranked = df.withColumn("_rn", F.row_number().over(inner))
     out = ranked.join(offsets, [*group_cols, *bucket_cols]).withColumn(
