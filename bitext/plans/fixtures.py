@@ -55,12 +55,9 @@ def mono(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vocab_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: both sides of the pairs plus the monolingual lines, one text column."""
-    lp = line_pairs(spark, sf_dir)
-    return (
-        lp.select(F.col("src").alias("text"))
-        .unionAll(lp.select(F.col("tgt").alias("text")))
-        .unionAll(mono(spark, sf_dir).select("text"))
-    )
+    # Both sides in one pass over the pairs (one self-join evaluation).
+    sides = line_pairs(spark, sf_dir).select(F.explode(F.array("src", "tgt")).alias("text"))
+    return sides.unionAll(mono(spark, sf_dir).select("text"))
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
