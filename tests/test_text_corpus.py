@@ -115,3 +115,20 @@ def test_empty_guard(spark):
     df = spark.createDataFrame([(1, "ab", "cd")], "pair_id long, src string, tgt string")
     with pytest.raises(ValueError):
         C.ensure_not_empty(C.filter_pairs(df))
+
+
+def test_read_lines_across_split_blocks(spark, tmp_path):
+    from bitext.sources.text_files import read_lines
+
+    lines = [f"line {i} " + "x" * (i % 97) for i in range(20000)]
+    path = tmp_path / "big.txt"
+    path.write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 * 1024))
+    try:
+        df = read_lines(spark, str(path))
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 4  # really split into blocks
+        got = {r.line_no: r.text for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == dict(enumerate(lines))
