@@ -2,8 +2,9 @@
 
 * ``stream_epoch_rollup``  metric log arriving as files -> per (run, epoch)
   roll-up, complete mode, each micro-batch overwrites the result table.
-* ``stream_pairs``         conversation turns arriving as files -> stream-stream
-  join of user and next assistant turn -> pair filter + clean, append mode.
+* ``stream_pairs``         conversation turns arriving as files -> user and next
+  assistant turn met by a stateful operator (state only for unmatched
+  halves) -> pair filter + clean, append mode.
 * ``stream_translate``     requests arriving as files -> ``foreachBatch`` runs
   the request filter and the beam decoder on each micro-batch.
 
@@ -73,19 +74,58 @@ def stream_epoch_rollup(spark: SparkSession, source: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def stream_pairs(spark: SparkSession, source: str) -> DataFrame:
-    """User turn joined with the next assistant turn as both arrive
-    (stream-stream inner join), lines paired, then the batch filter and
-    cleaning expressions; append mode to a Parquet sink."""
-    conv = spark.readStream.schema(CONVERSATIONS_SCHEMA).parquet(source)
-    user = conv.where(F.col("role") == "user").select("conv_id", "turn", F.split("text", "\n", -1).alias("s"))
-    asst = conv.where(F.col("role") == "assistant").select(
-        F.col("conv_id").alias("a_conv"), (F.col("turn") - 1).alias("a_turn"), F.split("text", "\n", -1).alias("t")
+TURN_STATE = "user_text string, asst_text string"
+TURN_PAIRS = "conv_id long, turn long, user_text string, asst_text string"
+
+
+def _pair_turns(key, batches, state):
+    """Per (conv_id, user turn): keep whichever half has arrived; emit the
+    pair once both are there and drop the state. A key holds at most one
+    user and one assistant row, so no key is hot and matched turns leave no
+    state behind."""
+    import pandas as pd
+
+    user, asst = state.get if state.exists else (None, None)
+    for pdf in batches:
+        for role, text in zip(pdf["role"], pdf["text"]):
+            if role == "user":
+                user = text
+            else:
+                asst = text
+    if user is not None and asst is not None:
+        state.remove()
+        yield pd.DataFrame({"conv_id": [key[0]], "turn": [key[1]], "user_text": [user], "asst_text": [asst]})
+    else:
+        state.update((user, asst))
+
+
+def stream_pairs(spark: SparkSession, source: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A user turn meets the next assistant turn as both arrive, through a
+    custom stateful operator keyed by (conv_id, user turn)
+    (``applyInPandasWithState``); lines are then paired and the batch filter
+    and cleaning expressions applied; append mode to a Parquet sink."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    reader = spark.readStream.schema(CONVERSATIONS_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    conv = reader.parquet(source)
+    keyed = conv.where(F.col("role").isin("user", "assistant") & F.col("text").isNotNull()).select(
+        "conv_id",
+        F.when(F.col("role") == "assistant", F.col("turn") - 1).otherwise(F.col("turn")).alias("turn"),
+        "role",
+        "text",
     )
-    joined = user.join(asst, (F.col("conv_id") == F.col("a_conv")) & (F.col("turn") == F.col("a_turn")))
-    lines = joined.select("conv_id", "turn", F.posexplode(F.arrays_zip("s", "t")).alias("line", "z")).where(
-        F.col("z.s").isNotNull() & F.col("z.t").isNotNull()
+    turns = keyed.groupBy("conv_id", "turn").applyInPandasWithState(
+        _pair_turns, TURN_PAIRS, TURN_STATE, "append", GroupStateTimeout.NoTimeout
     )
+    lines = turns.select(
+        "conv_id",
+        "turn",
+        F.posexplode(F.arrays_zip(F.split("user_text", "\n", -1).alias("s"), F.split("asst_text", "\n", -1).alias("t"))).alias(
+            "line", "z"
+        ),
+    ).where(F.col("z.s").isNotNull() & F.col("z.t").isNotNull())
     pairs = lines.select(
         (F.col("conv_id") * PAIR_CONV + F.col("turn") * PAIR_TURN + F.col("line")).alias("pair_id"),
         F.col("z.s").alias("src"),
