@@ -215,9 +215,12 @@ def scalar_log(steps: DataFrame, epochs: DataFrame, accumulation_steps: int = 1)
     steps only, at the global update counter."""
     a = accumulation_steps
     upd = steps.where(F.pmod(F.col("batch") + 1, F.lit(a)) == 0)
-    w = Window.partitionBy("run").orderBy("step")
     if a != 1:
-        upd = upd.withColumn("step", F.row_number().over(w))
+        # Update-step counter per run; a run can hold a large share of the
+        # log, so dense positions (range partitions), not a per-run window.
+        from bitext.operators.positions import dense_position
+
+        upd = dense_position(upd, ["step"], group_cols=["run"], pos_col="_k").withColumn("step", F.col("_k") + 1)
     step_long = upd.select(
         "run",
         F.col("step").cast("long").alias("step"),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bitext.operators import runs as R
+from bitext.operators.positions import dense_position
 from bitext.plans import fixtures as fx
 from bitext.plans import q_corpus, q_runs
 from bitext.plans import sql_fixtures as S
@@ -32,9 +32,9 @@ def parallel_text_roundtrip(spark, sf_dir):
     """Each source row meets its line: rank of pos within the split = line_no."""
     splits, base = _written_text(spark, sf_dir)
     back = TF.read_parallel_text(spark, base)
-    ranked = splits.withColumn(
-        "line_no", F.row_number().over(Window.partitionBy("split").orderBy("pos")) - 1
-    )
+    # Rank of pos within its split (a split is up to half the corpus, so no
+    # window partitioned by split): range-partitioned dense positions.
+    ranked = dense_position(splits, ["pos"], group_cols=["split"], pos_col="line_no")
     j = ranked.alias("a").join(back.alias("b"), ["split", "line_no"], "full")
     return j.select(
         "split",

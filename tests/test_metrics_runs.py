@@ -228,3 +228,16 @@ def test_report_row_choice_and_ppl_cap(spark):
     assert rep["r9"] == (9, pytest.approx(math.e))  # fewer than 10 -> last
     assert rep["r10"][0] == 10 and rep["r10"][1] == pytest.approx(math.exp(99.9))
     assert rep["r11"] == (10, math.inf)  # 10th row of 11; val_loss 100 -> inf
+
+
+def test_scalar_log_update_steps_with_accumulation(spark):
+    steps = spark.createDataFrame(
+        [("r", 1, b, b + 1, 0.1 * b, 1e-4) for b in range(7)],
+        "run string, epoch int, batch long, step long, loss double, learning_rate double",
+    )
+    epochs = spark.createDataFrame([("r", 1, 0.3, 0.4)], "run string, epoch int, train_loss double, val_loss double")
+    got = sorted(
+        (r.step, round(r.value, 9))
+        for r in R.scalar_log(steps, epochs, accumulation_steps=3).where("tag = 'Train/Loss_Step'").collect()
+    )
+    assert got == [(1, 0.2), (2, 0.5)]  # batches 2 and 5 are update steps 1 and 2
