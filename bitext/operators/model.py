@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitext.functions.text import PAD_ID, SOS_ID, UNK_ID
+from bitext.functions.text import EOS_ID, PAD_ID, SOS_ID, UNK_ID
 from bitext.operators.positions import BROADCAST_MAX_ROWS, broadcast_if_small
 from bitext.session import cut_lineage
 
@@ -159,19 +159,86 @@ def translation_candidates(
     src_col: str = "src_ids",
     top_c: int = CANDIDATES,
     always: tuple[int, ...] = (),
+    hot: tuple[int, ...] = (SOS_ID, EOS_ID),
 ) -> DataFrame:
     """K3: ``p_tm(t | sent) = mean over source positions of t(t | s_i)``, top
     ``top_c`` per sentence by (score desc, token asc), never PAD/UNK/SOS;
-    tokens in ``always`` are kept whatever their rank."""
+    tokens in ``always`` are kept whatever their rank (if they score > 0).
+
+    Tokens in ``hot`` ([SOS], [EOS]) occur in nearly every sentence; joining
+    them per sentence would emit sentences x vocabulary rows. Their share of a
+    score depends only on the sentence's counts of them (its signature s), so
+    it is one ranked table per signature (bounded by the vocabulary). A target
+    outside the sentence's own ("cold") candidates scores hot_s(t) / len, so
+    among the first ``top_c + n_cold`` targets of the signature's ranking at
+    least ``top_c`` are outside the cold set and outrank every later one:
+    the exact top-c lies in the cold candidates plus that prefix."""
     src = token_table(sents, key, src_col, "s")
     slen = sents.select(key, F.size(src_col).alias("_slen"))
-    j = src.join(table, "s").where(~F.col("t").isin(*NEVER_CANDIDATE))
-    sc = j.groupBy(key, "t").agg(F.sum(F.col("s_n") * F.col("prob")).alias("_sum"))
-    sc = sc.join(slen, key).withColumn("score", F.col("_sum") / F.col("_slen"))
+    tab = table.where(~F.col("t").isin(*NEVER_CANDIDATE)).select("s", "t", "prob")
+    hcols = [f"_h{i}" for i in range(len(hot))]
+    sig = src.groupBy(key).agg(
+        *[F.coalesce(F.max(F.when(F.col("s") == h, F.col("s_n"))), F.lit(0)).alias(c) for h, c in zip(hot, hcols)]
+    )
+    cold = (
+        src.where(~F.col("s").isin(*hot))
+        .join(tab, "s")
+        .groupBy(key, "t")
+        .agg(F.sum(F.col("s_n") * F.col("prob")).alias("_cold"))
+    )
+    n_cold = cold.groupBy(key).agg(F.count(F.lit(1)).alias("_ncold"))
+    # Hot table per signature: signatures are few (counts of the hot tokens,
+    # at most max_len each), rows per signature at most the vocabulary.
+    hot_t = (
+        tab.where(F.col("s").isin(*hot))
+        .groupBy("t")
+        .agg(*[F.sum(F.when(F.col("s") == h, F.col("prob")).otherwise(F.lit(0.0))).alias(f"_p{i}") for i, h in enumerate(hot)])
+    )
+    sigs = [tuple(r) for r in sig.select(*hcols).distinct().collect()]
+    per_sig = [
+        hot_t.select(
+            *[F.lit(v).cast("long").alias(c) for v, c in zip(sg, hcols)],
+            "t",
+            sum((F.lit(float(v)) * F.col(f"_p{i}") for i, v in enumerate(sg)), F.lit(0.0)).alias("_hot"),
+        ).where(F.col("_hot") > 0)
+        for sg in sigs
+    ]
+    if per_sig:
+        ranked_hot = per_sig[0]
+        for df in per_sig[1:]:
+            ranked_hot = ranked_hot.unionByName(df)
+    else:
+        ranked_hot = hot_t.select(*[F.lit(0).cast("long").alias(c) for c in hcols], "t", F.lit(0.0).alias("_hot")).where(
+            F.lit(False)
+        )
+    rank_w = Window.partitionBy(*hcols).orderBy(F.desc("_hot"), "t")
+    ranked_hot = broadcast_if_small(ranked_hot.withColumn("_rank", F.row_number().over(rank_w)))
+    # Per sentence: the first top_c + n_cold targets of its signature.
+    sent_info = sig.join(n_cold, key, "left").select(key, *hcols, F.coalesce("_ncold", F.lit(0)).alias("_ncold"))
+    prefix = (
+        sent_info.select(key, *hcols, F.explode(F.sequence(F.lit(1), F.col("_ncold") + top_c)).alias("_rank"))
+        .join(ranked_hot.select(*hcols, "_rank", "t"), [*hcols, "_rank"])
+        .select(key, "t", F.lit(0.0).alias("_cold"))
+    )
+    extra = []
+    if always:
+        extra = [sent_info.select(key, F.explode(F.array(*[F.lit(a) for a in always])).alias("t"), F.lit(0.0).alias("_cold"))]
+    cands = cold.select(key, "t", "_cold").unionByName(prefix)
+    for df in extra:
+        cands = cands.unionByName(df)
+    cands = cands.groupBy(key, "t").agg(F.sum("_cold").alias("_cold"))
+    scored = (
+        cands.join(sent_info.select(key, *hcols), key)
+        .join(ranked_hot.select(*hcols, "t", "_hot"), [*hcols, "t"], "left")
+        .join(slen, key)
+        .withColumn("_sum", F.col("_cold") + F.coalesce("_hot", F.lit(0.0)))
+        .where(F.col("_sum") > 0)
+        .withColumn("score", F.col("_sum") / F.col("_slen"))
+    )
     w = Window.partitionBy(key).orderBy(F.desc("score"), "t")
     keep = F.col("rank") <= top_c
     if always:
         keep = keep | F.col("t").isin(*always)
-    return sc.withColumn("rank", F.row_number().over(w)).where(keep).select(
+    return scored.withColumn("rank", F.row_number().over(w)).where(keep).select(
         key, "rank", F.col("t").alias("token"), "score"
     )
