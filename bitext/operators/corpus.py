@@ -2,7 +2,8 @@
 
 Input is a pair table ``(pair_id, src, tgt)``. Every step is a column
 expression or a partitioned operator; the only ordering work is the dense
-position of the shuffled corpus, done with range partitions (positions.py).
+position of the shuffled corpus, done with md5-prefix buckets (positions.py):
+no sampled bounds, no materialisation, no single-task window.
 """
 
 from __future__ import annotations
