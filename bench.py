@@ -39,12 +39,18 @@ def main() -> None:
     # JIT / codegen warm-up on the smallest scale factor (not timed).
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm_dir):
-        qs["split_corpus"](spark, warm_dir).write.format("noop").mode("overwrite").save()
-    times = {}
+        try:
+            qs["split_corpus"](spark, warm_dir).write.format("noop").mode("overwrite").save()
+        except Exception:  # noqa: BLE001 - warm-up is best effort
+            pass
+    times, errors = {}, {}
     for name in names:
         t0 = time.time()
-        qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+        try:
+            qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - t0, 3)
+        except Exception as exc:  # noqa: BLE001 - report and keep the one-line contract
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(
         json.dumps(
@@ -54,6 +60,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": times,
                 "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
+                **({"errors": errors} if errors else {}),
             }
         )
     )
