@@ -241,3 +241,14 @@ def test_scalar_log_update_steps_with_accumulation(spark):
         for r in R.scalar_log(steps, epochs, accumulation_steps=3).where("tag = 'Train/Loss_Step'").collect()
     )
     assert got == [(1, 0.2), (2, 0.5)]  # batches 2 and 5 are update steps 1 and 2
+
+
+def test_config_overlay_nulls_keep_base(spark):
+    over = spark.createDataFrame(
+        [("baseline_100k", 0.3, 6, None), ("ablation_3layers", 0.3, 3, 10)],
+        "exp_name string, dropout double, n_layers int, num_epochs int",
+    )
+    got = {r.exp_name: r for r in R.config_overlay(over).collect()}
+    assert got["baseline_100k"].num_epochs == R.BASE_CONFIG["num_epochs"]  # null -> base
+    assert got["ablation_3layers"].num_epochs == 10 and got["ablation_3layers"].n_layers == 3
+    assert got["ablation_3layers"].batch_size == R.BASE_CONFIG["batch_size"]  # absent -> base
