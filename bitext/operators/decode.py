@@ -135,7 +135,9 @@ def beam_search(
         # cheap no-op, a probe is a job.
         if step % check_every == 0 and live.limit(1).count() == 0:
             break
-    res = reduce(DataFrame.unionByName, steps)
+    # One table of all steps' rows (a few per sentence and step), so the final
+    # selection plans one scan instead of one branch per step.
+    res = cut_lineage(reduce(DataFrame.unionByName, steps))
     w_fin = Window.partitionBy("sent_id").orderBy(F.desc("score"), "step", "beam", "rank")
     best_fin = (
         res.where(F.col("kind") == "finished").withColumn("_r", F.row_number().over(w_fin)).where(F.col("_r") == 1)
