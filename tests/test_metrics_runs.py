@@ -252,3 +252,12 @@ def test_config_overlay_nulls_keep_base(spark):
     assert got["baseline_100k"].num_epochs == R.BASE_CONFIG["num_epochs"]  # null -> base
     assert got["ablation_3layers"].num_epochs == 10 and got["ablation_3layers"].n_layers == 3
     assert got["ablation_3layers"].batch_size == R.BASE_CONFIG["batch_size"]  # absent -> base
+
+
+def test_read_corpus_json_with_id_column(spark, tmp_path):
+    from bitext.sources.corpus import read_corpus
+
+    rows = [(10, "早上好", "Good morning"), (11, "谢谢", "Thanks")]
+    spark.createDataFrame(rows, "id long, text_zh string, text_en string").coalesce(1).write.json(str(tmp_path / "js"))
+    got = sorted(tuple(r) for r in read_corpus(spark, str(tmp_path / "js"), fmt="json", id_col="id").collect())
+    assert got == [(10, "早上好", "Good morning"), (11, "谢谢", "Thanks")]
