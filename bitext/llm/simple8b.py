@@ -47,14 +47,21 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint64), np.zeros(0, np.uint64)
-    place = np.arange(n)
-    block_end = np.minimum((place // BLOCK + 1) * BLOCK, n)
-    selector = np.zeros(n, np.uint8)
-    for k in range(len(SELECTORS) - 1, 0, -1):  # the widest first; what holds more overrides it
+    block_end = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
+    # The widest id among the next 1, 2, 3 ... ids of the block; places beyond its end are zeros and fit anywhere.
+    bits_of = np.zeros((blocks, BLOCK + SELECTORS[1][0]), np.uint8)
+    width = np.zeros(blocks * BLOCK, np.uint8)
+    width[:n] = np.frexp(ids.astype(np.float64))[1]
+    bits_of[:, :BLOCK] = width.reshape(blocks, BLOCK)
+    widest, span = bits_of[:, :BLOCK].copy(), 1
+    selector = np.zeros((blocks, BLOCK), np.uint8)
+    for k in range(len(SELECTORS) - 1, 0, -1):  # from few wide ids to many narrow ones, which override them
         count, bits = SELECTORS[k]
-        wide = np.flatnonzero(ids >> np.uint64(bits))
-        nearest = np.append(wide, n)[np.searchsorted(wide, place)]  # the next id that doesn't fit
-        selector[(nearest >= np.minimum(place + count, block_end)) & (nearest > place)] = k
+        while span < count:
+            np.maximum(widest, bits_of[:, span : span + BLOCK], out=widest)
+            span += 1
+        selector[widest <= bits] = k
+    selector = selector.reshape(-1)[:n]
     step = np.array([c for c, _ in SELECTORS])[selector]
     at, last = np.arange(blocks) * BLOCK, np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
     chosen = np.zeros(n, bool)
