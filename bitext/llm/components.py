@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,20 +44,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             return labels
 
 
-def forest(n: int, left, right) -> list[tuple[int, int]]:
-    """A spanning forest of a small graph over 0..n-1 by union-find: at most n - 1 of its edges."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for x, y in zip(left, right):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            kept.append((x, y))
-    return kept
+def star_edges(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The components of a task's own small graph over 0..n-1, as (node, smallest node) rows: at most n - 1 edges that
+    connect what the given ones do."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, left, least)
+        np.minimum.at(new, right, least)
+        np.minimum.at(new, label, new)  # a root follows the least of its members
+        new = new[new]
+        if np.array_equal(new, label):
+            own = np.flatnonzero(label != np.arange(n))
+            return np.stack([own, label[own]], axis=1)
+        label = new

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, slices, utf8, words
-from .components import connected_components, forest
+from .components import connected_components, star_edges
 
 #: Fingerprints that a leaf is meant to hold, and levels of the tree at most (65,535 inner nodes of 9 bytes).
 LEAF = 512
@@ -170,8 +170,7 @@ def hamming_forest(fps: DataFrame, bits: int) -> DataFrame:
         fp, home = leaf.column("fp").to_numpy().view(np.uint64), leaf.column("home").to_numpy()
         left, right = pairs_within(np.sort(fp[home]), np.sort(fp[~home]), bits) if home.any() else (fp[:0], fp[:0])
         nodes, ends = np.unique(np.concatenate([left, right]), return_inverse=True)
-        kept = forest(len(nodes), ends[: len(left)].tolist(), ends[len(left) :].tolist())
-        links = nodes[np.array(kept, np.int64).reshape(-1, 2)].view(np.int64)
+        links = nodes[star_edges(len(nodes), ends[: len(left)], ends[len(left) :])].view(np.int64)
         return pa.table([pa.array(np.ascontiguousarray(links[:, 0])), pa.array(np.ascontiguousarray(links[:, 1]))], ["src", "dst"])
 
     routed = fps.select("fp").mapInArrow(route, "leaf long, fp long, home boolean")

@@ -1,4 +1,7 @@
-"""Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams."""
+"""Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
+
+Single words are hashed whole and by their first 4, 5 and 6 characters: inflected and compound forms, of which each is
+rare, share a stem."""
 
 from __future__ import annotations
 
@@ -13,10 +16,12 @@ from .common import distinct_slices, saved, slices, utf8, words
 
 #: Hashed features: 4 M, so the weights are 16 MB at most.
 FEATURE_BITS = 22
+#: Lengths of the stems.
+STEMS = (4, 5, 6)
 #: Labelled documents that the model is fitted to at most (those with the smallest id hashes); documented bound.
 TRAIN_ROWS = 16_000
 #: Learning rate, its smoothing, L1, L2, and passes over the sample.
-ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 1.5, 1.0, 3
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 5.0, 1.0, 2
 
 #: A word is a run of ASCII letters and digits and of characters beyond ASCII.
 GAP = np.ones(256, bool)
@@ -24,15 +29,22 @@ GAP[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hashed feature of each word, word pair, and pair with one word skipped, of the lower-cased texts."""
+    """Row and hashed feature of each word, stem, word pair, and pair with one word skipped, of the lower-cased
+    texts."""
     raw, at = utf8(pc.utf8_lower(column.cast(pa.large_string())))
     starts, ends, bounds = words(raw, at, GAP[raw])
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     codes, distinct = distinct_slices(raw, starts, ends)
-    word = np.array([xxhash.xxh64_intdigest(w, 1) for w in distinct.to_pylist()], np.uint64)[codes]
+    digest = xxhash.xxh64_intdigest
+    word = np.array([digest(w, 1) for w in distinct.to_pylist()], np.uint64)[codes]
     row = np.repeat(np.arange(len(at) - 1), np.diff(bounds))
     rows, found = [row], [word * np.uint64(0x9E3779B97F4A7C15)]
+    texts = [w.decode("utf-8", "replace") for w in distinct.to_pylist()]
+    for size in STEMS:
+        longer = np.array([len(t) > size for t in texts], bool)[codes]
+        rows.append(row[longer])
+        found.append(np.array([digest(t[:size], size) for t in texts], np.uint64)[codes[longer]] * np.uint64(0x9E3779B97F4A7C15))
     for skip, odd in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9)):
         same = row[skip:] == row[:-skip]
         rows.append(row[skip:][same])
