@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embdedup, linededup, packing, simhash, simple8b, topk, toxicity
+import corpus_pipeline
+
+from . import embdedup, lexicon, linededup, lmscore, packing, simhash, simple8b, topk, toxicity, urlfilter
 from .common import scratch, table
 
 
@@ -48,6 +50,26 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+#: (host, path, verdict) of the production rules.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, scored by a model of the good ones against one of all."""
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lexicon.encode_decode(table(spark, sf_dir, "documents"), bpe_path())
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2048 ids."""
     rows = packing.pack(table(spark, sf_dir, "documents"), bpe_path(), window=2048, end_id=1)
@@ -62,7 +84,11 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
+    "op7_url_filter": op7_url_filter,
+    "op8_lm_score": op8_lm_score,
+    "op9_bpe_lexicon": op9_bpe_lexicon,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -86,4 +112,15 @@ links AS (
 reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT vec_id, CAST((SELECT count(*) FROM links WHERE links.a = c.vec_id) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM c""",
+    # The pages of the given tables have no canonical links or redirects, so that a url without a rule is allowed.
+    "op7_url_filter": """
+WITH p AS (
+  SELECT page_id, coalesce(lower(regexp_extract(url, '://([^/?#]*)', 1)), '') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(h, p, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u AS (SELECT DISTINCT host, path FROM p),
+m AS (
+  SELECT u.host, u.path, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS said
+  FROM u JOIN r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p) GROUP BY ALL)
+SELECT page_id, p.host, p.path, rule, coalesce(said, 'allow') AS verdict FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path""",
 }
