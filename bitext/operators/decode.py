@@ -39,6 +39,7 @@ BEAM = 4
 ALPHA_EVAL = 0.7
 ALPHA_INFER = 1.0
 MAX_STEPS = 100
+MAX_STEPS_INFER = 128
 
 
 def length_normalised(score: Column, length: Column, alpha: float) -> Column:
@@ -55,13 +56,10 @@ def start_beams(sents: DataFrame, key: str = "sent_id") -> DataFrame:
     )
 
 
-def block_ngrams(cands: DataFrame, n: int = 3) -> DataFrame:
-    """Drop candidates that would repeat an n-gram of the beam's prefix
-    (left anti join with the blocked (sent, beam, token) set)."""
-    blocked = cands.select("sent_id", "beam", "seq").dropDuplicates(["sent_id", "beam"]).select(
-        "sent_id", "beam", F.explode(blocked_next("seq", n)).alias("token")
-    )
-    return cands.join(blocked, ["sent_id", "beam", "token"], "left_anti")
+def block_ngrams(live: DataFrame, n: int = 3) -> DataFrame:
+    """Live beams with the tokens that would repeat an n-gram of their
+    prefix, computed once per beam, before it meets its candidates."""
+    return live.withColumn("_blocked", blocked_next("seq", n))
 
 
 def beam_search(
@@ -86,8 +84,10 @@ def beam_search(
     'live'), step."""
     k = beam_size
     nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    steps = []
-    live = starts.withColumn("nf", F.lit(0).cast("long")).repartition(nparts, "sent_id")
+    # The step number is a column, so every step's code is the same and is compiled once.
+    live = starts.withColumns({"nf": F.lit(0).cast("long"), "step": F.lit(0)}).repartition(nparts, "sent_id")
+    # Step 0: the start beams, the answer of a sentence that has no candidate.
+    steps = [live.select("sent_id", "step", "beam", F.lit(0).alias("rank"), "seq", "score", F.lit("live").alias("kind"), "nf")]
     for step in range(1, max_steps + 1):
         cands = expand(live)
         w_beam = Window.partitionBy("sent_id", "beam").orderBy(F.desc("logp"), "token")
@@ -100,6 +100,7 @@ def beam_search(
                 "rank",
                 "token",
                 "nf",
+                "step",
                 (F.col("score") + F.col("logp")).alias("score"),
                 F.concat("seq", F.array("token")).alias("seq"),
             )
@@ -114,7 +115,7 @@ def beam_search(
         )
         out = ranked.where(is_eos | ((F.col("_r") <= k) & (F.col("_nf") < k))).select(
             "sent_id",
-            F.lit(step).alias("step"),
+            (F.col("step") + 1).alias("step"),
             F.when(is_eos, F.col("beam")).otherwise(F.col("_r") - 1).alias("beam"),
             F.when(is_eos, F.col("rank")).otherwise(F.lit(0)).alias("rank"),
             "seq",
@@ -130,7 +131,7 @@ def beam_search(
         # 1.5x faster over 24 steps.
         out = cut_lineage(out)
         steps.append(out)
-        live = out.where(F.col("kind") == "live").select("sent_id", "beam", "score", "seq", "nf")
+        live = out.where(F.col("kind") == "live").select("sent_id", "beam", "score", "seq", "nf", "step")
         # Emptiness probe every few steps: a step over no live beams is a
         # cheap no-op, a probe is a job.
         if step % check_every == 0 and live.limit(1).count() == 0:
@@ -155,8 +156,8 @@ def beam_search(
 
 
 def _carry(live: DataFrame) -> list[str]:
-    """Beam columns an expander passes through (plus the search's own ``nf``)."""
-    return ["sent_id", "beam", "score", "seq"] + (["nf"] if "nf" in live.columns else [])
+    """Beam columns an expander passes through (plus the search's own counters)."""
+    return ["sent_id", "beam", "score", "seq"] + [c for c in ("nf", "step") if c in live.columns]
 
 
 def lm_expander(lm_cands: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -180,22 +181,23 @@ def translation_expander(
     repeat_penalty: float | None = None,
     ngram_block: int | None = None,
 ) -> Callable[[DataFrame], DataFrame]:
-    """K4 expansion: the sentence's candidate tokens (top-c of K3 plus
-    [EOS]) scored by ``lam * ln p_lm(t | last) + (1 - lam) * ln p_tm(t | sent)``;
+    """K4 expansion: the sentence's candidate tokens (all of K3's) scored by ``lam * ln p_lm(t | last) + (1 - lam) * ln p_tm(t | sent)``;
     optional soft repeat penalty on the last token (H9) and n-gram blocking
     (C7); then log-softmax per beam (E8). ``cands`` is (sent_id, token,
     tm_logp) and is co-partitioned with the live beams by sent_id."""
 
     def expand(live: DataFrame) -> DataFrame:
         l2 = live.withColumn("prev", F.element_at("seq", -1))
+        if ngram_block:
+            l2 = block_ngrams(l2, ngram_block)
         j = l2.join(cands, "sent_id")
+        if ngram_block:
+            j = j.where(~F.array_contains("_blocked", F.col("token")))
         j = lm.score(j, "prev", "token", "lm_logp")
         logit = lam * F.col("lm_logp") + (1 - lam) * F.col("tm_logp")
         if repeat_penalty:
             logit = logit - F.when(F.col("token") == F.col("prev"), F.lit(repeat_penalty)).otherwise(F.lit(0.0))
         j = j.withColumn("logit", logit)
-        if ngram_block:
-            j = block_ngrams(j, ngram_block)
         j = log_softmax(j, ["sent_id", "beam"], "logit", "logp")
         return j.select(*_carry(live), "token", "logp")
 

@@ -24,17 +24,21 @@ PPL_CAP = 100.0
 # ---------------------------------------------------------------------------
 
 
-def _word_gram_counts(df: DataFrame, key: str, tokens: str, order: int, name: str) -> DataFrame:
-    """(key, n, gram, <name>) word n-gram counts, n = 1..order, from
-    generators and ``slice``/``array_join`` (code-generated, no lambdas)."""
+def _gram_counts(pairs: DataFrame, size, gram: str, order: int) -> DataFrame:
+    """(sent_id, n, gram, h, r): how often each n-gram, n = 1..order, stands in
+    the hypothesis and in the reference of ``pairs(sent_id, h, r)``. Both sides
+    go through one explode and one aggregate, so nothing is joined; generators
+    and built-in functions only."""
+    side = F.explode(F.array(F.struct(F.lit(1).alias("hyp"), F.col("h").alias("t")), F.struct(F.lit(0).alias("hyp"), F.col("r").alias("t"))))
     rows = (
-        df.select(key, F.col(tokens).alias("_t"), F.size(tokens).alias("_len"))
-        .select(key, "_t", "_len", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n"))
+        pairs.select("sent_id", side.alias("x"))
+        .select("sent_id", "x.hyp", F.col("x.t").alias("_t"), size("x.t").alias("_len"))
+        .select("sent_id", "hyp", "_t", "_len", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n"))
         .where(F.col("_len") >= F.col("n"))
-        .select(key, "_t", "n", F.explode(F.sequence(F.lit(1), F.col("_len") - F.col("n") + 1)).alias("_i"))
-        .select(key, "n", F.array_join(F.expr("slice(_t, _i, n)"), " ").alias("gram"))
+        .select("sent_id", "hyp", "_t", "n", F.explode(F.sequence(F.lit(1), F.col("_len") - F.col("n") + 1)).alias("_i"))
+        .select("sent_id", "hyp", "n", F.expr(gram).alias("gram"))
     )
-    return rows.groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias(name))
+    return rows.groupBy("sent_id", "n", "gram").agg(F.sum("hyp").alias("h"), F.sum(1 - F.col("hyp")).alias("r"))
 
 
 def align_predictions(hyps: DataFrame, refs: DataFrame) -> DataFrame:
@@ -44,42 +48,18 @@ def align_predictions(hyps: DataFrame, refs: DataFrame) -> DataFrame:
 
 def bleu_stats(pairs: DataFrame, order: int = BLEU_ORDER) -> DataFrame:
     """One row: sys_len, ref_len, m_1..m_k (clipped matches), t_1..t_k."""
-    tok = pairs.select(
-        "sent_id", tokenize_13a("hyp").alias("h"), tokenize_13a("ref").alias("r")
-    )
-    hg = _word_gram_counts(tok, "sent_id", "h", order, "hc")
-    rg = _word_gram_counts(tok, "sent_id", "r", order, "rc")
-    # One long table of (kind, n, v), folded by a single global aggregate.
-    matches = hg.join(rg, ["sent_id", "n", "gram"]).select(
-        F.lit("m").alias("kind"), "n", F.least("hc", "rc").cast("long").alias("v")
-    )
-    lens = tok.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("sys").alias("kind"), F.lit(0).alias("n"), F.size("h").cast("long").alias("v")),
-                F.struct(F.lit("ref").alias("kind"), F.lit(0).alias("n"), F.size("r").cast("long").alias("v")),
-                *[
-                    F.struct(
-                        F.lit("t").alias("kind"),
-                        F.lit(n).alias("n"),
-                        F.greatest(F.size("h") - (n - 1), F.lit(0)).cast("long").alias("v"),
-                    )
-                    for n in range(1, order + 1)
-                ],
-            )
-        ).alias("x")
-    ).select("x.kind", "x.n", "x.v")
-    long = lens.unionByName(matches)
-
-    def total(kind, n):
-        cond = (F.col("kind") == kind) & (F.col("n") == n)
-        return F.coalesce(F.sum(F.when(cond, F.col("v"))), F.lit(0)).cast("long")
-
-    return long.agg(
-        total("sys", 0).alias("sys_len"),
-        total("ref", 0).alias("ref_len"),
+    tok = pairs.select("sent_id", tokenize_13a("hyp").alias("h"), tokenize_13a("ref").alias("r"))
+    grams = _gram_counts(tok, F.size, "array_join(slice(_t, _i, n), ' ')", order)
+
+    def total(col, n):
+        return F.coalesce(F.sum(F.when(F.col("n") == n, F.col(col))), F.lit(0)).cast("long")
+
+    # The lengths are the counts of 1-grams; every token starts one.
+    return grams.withColumn("m", F.least("h", "r")).agg(
+        total("h", 1).alias("sys_len"),
+        total("r", 1).alias("ref_len"),
         *[total("m", n).alias(f"m_{n}") for n in range(1, order + 1)],
-        *[total("t", n).alias(f"t_{n}") for n in range(1, order + 1)],
+        *[total("h", n).alias(f"t_{n}") for n in range(1, order + 1)],
     )
 
 
@@ -114,30 +94,12 @@ def corpus_bleu(hyps: DataFrame, refs: DataFrame, order: int = BLEU_ORDER) -> Da
     return bleu_from_stats(bleu_stats(align_predictions(hyps, refs), order), order)
 
 
-def _char_gram_counts(df: DataFrame, key: str, text: str, order: int, name: str) -> DataFrame:
-    """(key, n, gram, <name>) character n-gram counts, n = 1..order, built
-    with generators and ``substring`` (code-generated, no lambdas)."""
-    rows = (
-        df.select(key, F.col(text).alias("_t"), F.length(text).alias("_len"))
-        .select(key, "_t", "_len", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n"))
-        .where(F.col("_len") >= F.col("n"))
-        .select(key, "_t", "n", F.explode(F.sequence(F.lit(1), F.col("_len") - F.col("n") + 1)).alias("_i"))
-        .select(key, "n", F.expr("substring(_t, _i, n)").alias("gram"))
-    )
-    return rows.groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias(name))
-
-
 def chrf_stats(pairs: DataFrame, order: int = CHRF_ORDER) -> DataFrame:
     """Per order n: H_n (hyp n-grams, counted 0 where the sentence's ref has
     none of that order), R_n, M_n (clipped matches), summed over sentences."""
     s = pairs.select("sent_id", remove_ws("hyp").alias("h"), remove_ws("ref").alias("r"))
-    hg = _char_gram_counts(s, "sent_id", "h", order, "hc")
-    rg = _char_gram_counts(s, "sent_id", "r", order, "rc")
-    j = hg.join(rg, ["sent_id", "n", "gram"], "full")
-    per = j.groupBy("sent_id", "n").agg(
-        F.sum(F.coalesce("hc", F.lit(0))).alias("h"),
-        F.sum(F.coalesce("rc", F.lit(0))).alias("r"),
-        F.sum(F.least(F.coalesce("hc", F.lit(0)), F.coalesce("rc", F.lit(0)))).alias("m"),
+    per = _gram_counts(s, F.length, "substring(_t, _i, n)", order).groupBy("sent_id", "n").agg(
+        F.sum("h").alias("h"), F.sum("r").alias("r"), F.sum(F.least("h", "r")).alias("m")
     )
     return per.groupBy("n").agg(
         F.sum(F.when(F.col("r") > 0, F.col("h")).otherwise(F.lit(0))).alias("hyp"),

@@ -152,6 +152,20 @@ def lexical_em(
     return table
 
 
+def translation_support(
+    sents: DataFrame, table: DataFrame, key: str = "sent_id", src_col: str = "src_ids"
+) -> DataFrame:
+    """Every token that K2 can translate some token of the sentence to, with
+    ``p_tm(t | sent)`` as in K3 (never PAD/UNK/SOS): ``(key, token, score)``.
+    What the decoder ranks; other tokens have probability 0. At most a
+    vocabulary of rows per sentence, as the reference's logits."""
+    src = token_table(sents, key, src_col, "s")
+    slen = sents.select(key, F.size(src_col).alias("_slen"))
+    tab = table.where(~F.col("t").isin(*NEVER_CANDIDATE)).select("s", F.col("t").alias("token"), "prob")
+    sums = src.join(tab, "s").groupBy(key, "token").agg(F.sum(F.col("s_n") * F.col("prob")).alias("_sum"))
+    return sums.join(slen, key).where("_sum > 0").select(key, "token", (F.col("_sum") / F.col("_slen")).alias("score"))
+
+
 def translation_candidates(
     sents: DataFrame,
     table: DataFrame,

@@ -237,8 +237,9 @@ def scalar_log(steps: DataFrame, epochs: DataFrame, accumulation_steps: int = 1)
 
 
 def config_overlay(overrides: DataFrame, base: dict | None = None) -> DataFrame:
-    """Each experiment row's non-null overrides replace the base value.
-    The base is one literal row, so no join is needed: ``coalesce(col, lit)``."""
+    """Each experiment row's non-null overrides replace the base value;
+    override keys that the base lacks are kept as they are. The base is one
+    literal row, so no join is needed: ``coalesce(col, lit)``."""
     base = dict(base or BASE_CONFIG)
     cols = [F.col("exp_name")]
     for key, value in base.items():
@@ -246,4 +247,5 @@ def config_overlay(overrides: DataFrame, base: dict | None = None) -> DataFrame:
             cols.append(F.coalesce(F.col(key), F.lit(value)).alias(key))
         else:
             cols.append(F.lit(value).alias(key))
-    return overrides.select(*cols)
+    extra = [F.col(c) for c in overrides.columns if c != "exp_name" and c not in base]
+    return overrides.select(*cols, *extra)

@@ -82,6 +82,11 @@ def strip_ids(ids: Column | str, drop: tuple[int, ...] = (SOS_ID, EOS_ID, PAD_ID
     return F.filter(_c(ids), lambda x: ~x.isin(*drop))
 
 
+def tighten(text: Column) -> Column:
+    """P12, inference variant: no space before a full stop or a comma."""
+    return F.replace(F.replace(text, F.lit(" ."), F.lit(".")), F.lit(" ,"), F.lit(","))
+
+
 def detokenize(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, variant: str = "evaluate") -> DataFrame:
     """Ids -> tokens by an inner join on the vocabulary (ids with no
     token are dropped), order kept by position, joined by spaces, then
@@ -105,7 +110,7 @@ def detokenize(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, variant:
     )
     text = F.replace(F.array_join("_t", " "), F.lit(" ##"), F.lit(""))
     if variant == "inference":
-        text = F.replace(F.replace(text, F.lit(" ."), F.lit(".")), F.lit(" ,"), F.lit(","))
+        text = tighten(text)
     return grouped.select(key, text.alias("text"))
 
 

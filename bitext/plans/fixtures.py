@@ -22,10 +22,17 @@ from bitext.functions.text import is_blank
 from bitext.operators.positions import broadcast_if_small, dense_position
 from bitext.session import read_table, spread
 
-# Multipliers that make composite ids unique (turn < 1000, line < 1000,
-# document line < 100000).
-PAIR_CONV, PAIR_TURN = 1_000_000, 1_000
-MONO_DOC = 100_000
+# Multipliers of composite ids: 16 bits each for turn and line of a pair, 31
+# for a document's line. A row beyond them fails instead of sharing an id.
+PAIR_CONV, PAIR_TURN = 1 << 32, 1 << 16
+MONO_DOC = 1 << 31
+
+
+def pair_id(conv="conv_id", turn="turn", line="line"):
+    conv, turn, line = F.col(conv), F.col(turn), F.col(line)
+    fits = turn.between(0, PAIR_TURN - 1) & line.between(0, PAIR_TURN - 1) & conv.between(0, (1 << 31) - 1)
+    beyond = F.raise_error(F.lit("conversation, turn or line number is too large for a pair id"))
+    return F.when(fits, conv * PAIR_CONV + turn * PAIR_TURN + line).otherwise(beyond.cast("long"))
 
 
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +47,7 @@ def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", F.posexplode(F.arrays_zip("s", "t")).alias("line", "z")
     )
     return zipped.where(F.col("z.s").isNotNull() & F.col("z.t").isNotNull()).select(
-        (F.col("conv_id") * PAIR_CONV + F.col("turn") * PAIR_TURN + F.col("line")).alias("pair_id"),
+        pair_id().alias("pair_id"),
         F.col("z.s").alias("src"),
         F.col("z.t").alias("tgt"),
     )

@@ -7,7 +7,6 @@ import math
 
 from pyspark.sql import functions as F
 
-from bitext.functions.text import EOS_ID
 from bitext.operators import decode as D
 from bitext.operators import metrics as M
 from bitext.operators import model as K
@@ -126,11 +125,14 @@ def beam_topk_step(spark, sf_dir):
 
 
 def beam_decode(spark, sf_dir):
-    """K1-only beam search from [SOS]: k=4, alpha=0.7, 3 steps."""
-    lm, _, _ = _lm(spark, sf_dir)
-    starts = D.start_beams(spark.range(1).select(F.col("id").alias("sent_id")))
+    """K1-only beam search, k=4, alpha=0.7: each test target is continued from
+    its [SOS] and first token to the evaluation's step limit."""
+    lm, _, test = _lm(spark, sf_dir)
+    starts = test.where(F.size("tgt_ids") > 2).select(
+        F.col("pair_id").alias("sent_id"), F.lit(0).alias("beam"), F.lit(0.0).alias("score"), F.slice("tgt_ids", 1, 2).alias("seq")
+    )
     cands = cut_lineage(_lm_cands(lm))
-    res = D.beam_search(spark, starts, D.lm_expander(cands), D.BEAM, D.ALPHA_EVAL, max_steps=3)
+    res = D.beam_search(spark, starts, D.lm_expander(cands), D.BEAM, D.ALPHA_EVAL, max_steps=D.MAX_STEPS)
     return res.select("sent_id", F.array_join("seq", " ").alias("seq"), r6("score").alias("score"), "kind", "step")
 
 
@@ -155,7 +157,7 @@ class Translator:
     once; ``decode`` runs the beam search for (sent_id, src_ids) rows and
     ``translate_text`` encodes raw text first."""
 
-    def __init__(self, spark, sf_dir, em_rounds=3):
+    def __init__(self, spark, sf_dir, em_rounds=EM_ROUNDS):
         self.spark = spark
         vocab, train, test = _data(spark, sf_dir)
         self.vocab = vocab
@@ -163,21 +165,19 @@ class Translator:
         self.lm = K.BigramLM(train, "tgt_ids", self.vocab.count()).materialize()
         self.table = K.lexical_em(train, rounds=em_rounds)
 
-    def decode(self, sents, repeat=K.PENALTY, block=None, max_steps=24, alpha=D.ALPHA_INFER):
+    def decode(self, sents, repeat=K.PENALTY, block=None, max_steps=D.MAX_STEPS_INFER, alpha=D.ALPHA_INFER):
         spark = self.spark
-        # Top-c lexical tokens plus [EOS], which always competes.
-        cands = K.translation_candidates(sents, self.table, top_c=TOP_C, always=(EOS_ID,))
-        cands = cands.select("sent_id", "token", F.log(F.greatest("score", F.lit(1e-12))).alias("tm_logp"))
+        cands = K.translation_support(sents, self.table).select("sent_id", "token", F.log("score").alias("tm_logp"))
         cands = cut_lineage(cands.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sent_id"))
         expand = D.translation_expander(cands, self.lm, K.LAMBDA, repeat_penalty=repeat, ngram_block=block)
         return D.beam_search(spark, D.start_beams(sents), expand, D.BEAM, alpha, max_steps=max_steps)
 
     def translate_text(self, df, key, text_col, **kw):
         from bitext.operators import vocab as V
-        from bitext.operators.sequences import detokenize, truncate, with_template
+        from bitext.operators.sequences import detokenize, with_template
 
         ids = V.encode_chars(df, key, text_col, self.vocab, "src_ids")
-        sents = ids.select(F.col(key).alias("sent_id"), truncate(with_template("src_ids")).alias("src_ids"))
+        sents = ids.select(F.col(key).alias("sent_id"), with_template("src_ids").alias("src_ids"))
         res = self.decode(sents, **kw)
         text = detokenize(res, "sent_id", "seq", self.vocab, "inference")
         return res.join(text, "sent_id").withColumnRenamed("sent_id", key)
@@ -203,7 +203,7 @@ def translate_beam(spark, sf_dir):
 
 
 def beam_decode_blocked(spark, sf_dir):
-    res, _ = _translate(spark, sf_dir, repeat=None, block=3, alpha=D.ALPHA_EVAL)
+    res, _ = _translate(spark, sf_dir, repeat=None, block=3, alpha=D.ALPHA_EVAL, max_steps=D.MAX_STEPS)
     return res.select("sent_id", F.array_join("seq", " ").alias("seq"), r6("score").alias("score"), "kind", "step")
 
 
@@ -256,34 +256,72 @@ lsm AS (SELECT prev, next AS token, logp - mx - ln(sum(exp(logp - mx)) OVER (PAR
 )
 
 
-def beam_sql(steps: int = 3, k: int = 4, alpha: float = 0.7) -> str:
-    """K1-only beam search from [SOS], unrolled ``steps`` times."""
-    parts = [", l0 AS (SELECT 0 AS beam, 0.0 AS score, [2] AS seq), f0 AS (SELECT 0 AS step, 0 AS beam, 0 AS rk, [2] AS seq, 0.0 AS score WHERE false)"]
-    for s in range(1, steps + 1):
-        stop = " + ".join(f"(SELECT count(*) FROM f{j})" for j in range(0, s))
-        parts.append(
-            f""",
-e{s} AS (SELECT l.beam, c.token, l.score + c.logp AS score, list_append(l.seq, c.token) AS seq,
-               row_number() OVER (PARTITION BY l.beam ORDER BY c.logp DESC, c.token) AS rk
-        FROM l{s - 1} l JOIN lsm c ON c.prev = l.seq[len(l.seq)] WHERE ({stop}) < {k}),
-t{s} AS (SELECT * FROM e{s} WHERE rk <= {k}),
-f{s} AS (SELECT {s} AS step, beam, rk, seq, score / pow(len(seq), {alpha}) AS score FROM t{s} WHERE token = 3),
-l{s} AS (SELECT beam, score, seq FROM (
-           SELECT row_number() OVER (ORDER BY score DESC, beam, rk) - 1 AS beam, score, seq FROM t{s} WHERE token <> 3)
-         WHERE beam < {k})"""
-        )
-    fin = " UNION ALL ".join(f"SELECT * FROM f{s}" for s in range(1, steps + 1))
-    live = " UNION ALL ".join(f"SELECT {s} AS step, score, seq FROM l{s} WHERE beam = 0" for s in range(1, steps + 1))
-    parts.append(
-        f""",
-fin AS ({fin}),
-live AS ({live}),
-best AS (SELECT 'finished' AS kind, step, score, seq FROM fin ORDER BY score DESC, step, beam, rk LIMIT 1),
-fb AS (SELECT 'live' AS kind, step, score, seq FROM live WHERE NOT EXISTS (SELECT 1 FROM fin) ORDER BY step DESC LIMIT 1)
-SELECT CAST(0 AS BIGINT) AS sent_id, array_to_string(seq, ' ') AS seq, round(score, 6) AS score, kind, step
-FROM (SELECT * FROM best UNION ALL SELECT * FROM fb)"""
-    )
-    return "".join(parts)
+def beam_sql(starts: str, expansion: str, steps: int, k: int, alpha: float) -> str:
+    """Beam search as one recursive query: the rows of a step are its finished
+    hypotheses and next live beams. ``starts``: (sent_id, seq). ``expansion``
+    gives (step, sent_id, beam, score, seq, nf0, token, logp) from the live
+    rows of ``beam``; it must stop at the last step."""
+    return f""",
+beam(step, sent_id, kind, beam, rk, score, seq, nf) AS (
+  SELECT 0, sent_id, 'live', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE), seq, CAST(0 AS HUGEINT) FROM ({starts})
+  UNION ALL
+  SELECT step + 1, sent_id, CASE WHEN token = 3 THEN 'finished' ELSE 'live' END, CASE WHEN token = 3 THEN beam ELSE r - 1 END,
+         CASE WHEN token = 3 THEN rk ELSE 0 END, CASE WHEN token = 3 THEN score / pow(len(seq), {alpha}) ELSE score END, seq, nf
+  FROM (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY token = 3, score DESC, beam, rk) AS r,
+               nf0 + sum(CASE WHEN token = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY sent_id) AS nf
+        FROM (SELECT step, sent_id, beam, nf0, token, score + logp AS score, list_append(seq, token) AS seq, rk
+              FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, beam ORDER BY logp DESC, token) AS rk
+                    FROM ({expansion})) WHERE rk <= {k}))
+  WHERE token = 3 OR (r <= {k} AND nf < {k})),
+fin AS (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, step, beam, rk) AS r FROM beam WHERE kind = 'finished'),
+liv AS (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY step DESC) AS r FROM beam
+        WHERE kind = 'live' AND beam = 0 AND sent_id NOT IN (SELECT sent_id FROM fin)),
+decoded AS (SELECT sent_id, seq, score, kind, step FROM fin WHERE r = 1 UNION ALL SELECT sent_id, seq, score, kind, step FROM liv WHERE r = 1)"""
+
+
+LM_EXPANSION = """SELECT l.step, l.sent_id, l.beam, l.score, l.seq, l.nf AS nf0, c.token, c.logp
+  FROM beam l JOIN lsm c ON c.prev = l.seq[len(l.seq)] WHERE l.kind = 'live' AND l.step < {steps}"""
+
+
+def translation_expansion(steps: int, penalty: float = 0.0, block: int = 0) -> str:
+    """K4's expansion over ``cand(sent_id, token, tm)`` and the bigram model."""
+    repeats = ""
+    if block:
+        n = block
+        repeats = f""" AND NOT (len(l.seq) >= {n} AND list_contains(list_transform(
+          list_filter(range(1, len(l.seq) - {n - 2}), lambda i: l.seq[i:i + {n - 2}] = l.seq[len(l.seq) - {n - 2}:len(l.seq)]),
+          lambda i: l.seq[i + {n - 1}]), c.token))"""
+    return f"""SELECT step, sent_id, beam, score, seq, nf0, token, logit - mx - ln(sum(exp(logit - mx)) OVER (PARTITION BY sent_id, beam)) AS logp
+  FROM (SELECT *, max(logit) OVER (PARTITION BY sent_id, beam) AS mx FROM (
+    SELECT l.step, l.sent_id, l.beam, l.score, l.seq, l.nf AS nf0, c.token,
+           0.5 * coalesce(o.logp, x.backoff, -ln((SELECT v FROM vsize))) + 0.5 * c.tm
+           - CASE WHEN c.token = l.seq[len(l.seq)] THEN {penalty} ELSE 0.0 END AS logit
+    FROM beam l JOIN cand c ON c.sent_id = l.sent_id
+    LEFT JOIN obs o ON o.prev = l.seq[len(l.seq)] AND o.next = c.token
+    LEFT JOIN ctx x ON x.prev = l.seq[len(l.seq)]
+    WHERE l.kind = 'live' AND l.step < {steps}{repeats}))"""
+
+
+def candidates_sql(sents: str) -> str:
+    """``cand(sent_id, token, tm)`` of ``sents(sent_id, src_ids)``."""
+    return f""",
+sents AS ({sents}),
+s_tok AS (SELECT sent_id, s, count(*) AS s_n FROM (SELECT sent_id, unnest(src_ids) AS s FROM sents) GROUP BY ALL),
+cand AS (SELECT a.sent_id, p.t AS token, ln(sum(a.s_n * p.prob) / any_value(len(e.src_ids))) AS tm
+         FROM s_tok a JOIN tab{EM_ROUNDS} p USING (s) JOIN sents e USING (sent_id) WHERE p.t NOT IN (0, 1, 2) GROUP BY a.sent_id, p.t)"""
+
+
+def detokenize_sql() -> str:
+    return """,
+dk AS (SELECT sent_id, seq, unnest(range(1, len(seq) + 1)) AS k FROM decoded),
+dj AS (SELECT d.sent_id, string_agg(v.token, ' ' ORDER BY d.k) AS t FROM dk d JOIN vocab v ON v.id = d.seq[d.k]
+       WHERE d.seq[d.k] NOT IN (0, 2, 3) GROUP BY d.sent_id),
+dtext AS (SELECT d.sent_id, replace(replace(replace(coalesce(t, ''), ' ##', ''), ' .', '.'), ' ,', ',') AS text
+          FROM decoded d LEFT JOIN dj USING (sent_id))"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def em_sql(rounds: int = 2) -> str:
@@ -338,7 +376,20 @@ ORACLE = {
     + """ SELECT prev, rank, token AS next, round(logp, 6) AS logp FROM (
     SELECT prev, token, logp, CAST(row_number() OVER (PARTITION BY prev ORDER BY logp DESC, token) AS INTEGER) AS rank
     FROM lsm) WHERE rank <= 4""",
-    "beam_decode": BASE + beam_sql(3, 4, 0.7),
+    "beam_decode": recursive(BASE)
+    + beam_sql("SELECT pair_id AS sent_id, tgt_ids[1:2] AS seq FROM test WHERE len(tgt_ids) > 2", LM_EXPANSION.format(steps=100), 100, 4, 0.7)
+    + " SELECT sent_id, array_to_string(seq, ' ') AS seq, round(score, 6) AS score, kind, step FROM decoded",
+    "translate_beam": recursive(BASE)
+    + em_sql(EM_ROUNDS)
+    + candidates_sql("SELECT pair_id AS sent_id, src_ids FROM test")
+    + beam_sql("SELECT sent_id, [2] AS seq FROM sents", translation_expansion(128, penalty=10.0), 128, 4, 1.0)
+    + detokenize_sql()
+    + " SELECT sent_id, array_to_string(seq, ' ') AS seq, round(score, 6) AS score, kind, step, text FROM decoded JOIN dtext USING (sent_id)",
+    "beam_decode_blocked": recursive(BASE)
+    + em_sql(EM_ROUNDS)
+    + candidates_sql("SELECT pair_id AS sent_id, src_ids FROM test")
+    + beam_sql("SELECT sent_id, [2] AS seq FROM sents", translation_expansion(100, block=3), 100, 4, 0.7)
+    + " SELECT sent_id, array_to_string(seq, ' ') AS seq, round(score, 6) AS score, kind, step FROM decoded",
     "lexical_em": BASE + em_sql(2) + " SELECT s, t, round(prob, 6) AS prob FROM tab2",
     "translation_candidates": BASE
     + em_sql(2)

@@ -84,6 +84,7 @@ def config_overlay(spark, sf_dir):
         F.max_by("learning_rate", "epoch").alias("lr"),
         F.lit(None).cast("double").alias("dropout"),
         F.lit(None).cast("int").alias("n_layers"),
+        F.sum("n_batches").alias("total_steps"),
     )
     o = R.config_overlay(over)
     return o.withColumn("lr", r6("lr"))
@@ -158,5 +159,5 @@ ORACLE = {
     + """ SELECT run AS exp_name, CAST(max(n_batches) AS BIGINT) AS batch_size, 1 AS accumulation_steps,
     CAST(count(*) AS BIGINT) AS num_epochs, 32000 AS vocab_size, 128 AS max_len, 512 AS d_model, 6 AS n_layers, 8 AS n_heads,
     2048 AS d_ff, 0.3::DOUBLE AS dropout, round(arg_max(learning_rate, epoch), 6) AS lr, 1e-4 AS weight_decay,
-    0.1::DOUBLE AS label_smoothing FROM epochs GROUP BY run""",
+    0.1::DOUBLE AS label_smoothing, CAST(sum(n_batches) AS BIGINT) AS total_steps FROM epochs GROUP BY run""",
 }

@@ -12,10 +12,12 @@ BATCH = 8  # batch size for the padding query
 
 
 def _train_batches(spark, sf_dir):
-    """The sanity split, encoded, truncated and batched by position."""
-    split = q_corpus.split_corpus(spark, sf_dir).where(F.col("split") == "sanity")
-    rows = q_vocab.encoded_pairs(spark, sf_dir, pairs=split, keep=["pos"])
-    return Q.pad_batches(Q.assign_batches(rows, "pos", BATCH))
+    """Every split, encoded whole and batched by position within the split
+    (positions are unique across splits, and a batch never spans two)."""
+    split = q_corpus.split_corpus(spark, sf_dir)
+    rows = q_vocab.encoded_pairs(spark, sf_dir, pairs=split, keep=["split", "pos"])
+    batched = Q.assign_batches(rows, "pos", BATCH).withColumn("part", F.struct("split", "batch_id"))
+    return Q.pad_batches(batched, "part")
 
 
 def js(c):
@@ -25,6 +27,7 @@ def js(c):
 def pad_batches(spark, sf_dir):
     b = _train_batches(spark, sf_dir)
     return b.select(
+        "split",
         "pos",
         "pair_id",
         "batch_id",
@@ -40,16 +43,15 @@ def shift_targets(spark, sf_dir):
     b = _train_batches(spark, sf_dir)
     tin, tout = Q.shift_targets("tgt_ids")
     return b.select(
-        "pos", "batch_id", F.array_join(tin, " ").alias("tgt_input"), F.array_join(tout, " ").alias("tgt_output")
+        "split", "pos", "batch_id", F.array_join(tin, " ").alias("tgt_input"), F.array_join(tout, " ").alias("tgt_output")
     )
 
 
 def detokenize(spark, sf_dir):
     enc = q_vocab.encoded_pairs(spark, sf_dir)
     vocab = q_vocab.char_vocab(spark, sf_dir)
-    ev = Q.detokenize(enc, "pair_id", "tgt_ids", vocab, "evaluate").withColumnRenamed("text", "text")
-    inf = Q.detokenize(enc, "pair_id", "tgt_ids", vocab, "inference").withColumnRenamed("text", "text_inference")
-    return ev.join(inf, "pair_id")
+    ev = Q.detokenize(enc, "pair_id", "tgt_ids", vocab, "evaluate")
+    return ev.withColumn("text_inference", Q.tighten(F.col("text")))
 
 
 def ngram_block(spark, sf_dir):
@@ -70,18 +72,18 @@ QUERIES = {
 BATCH_SQL = (
     S.with_(S.VOCAB_CORPUS)
     + q_corpus.SPLIT_CTE
-    + ", sanity AS (SELECT pos, pair_id, src, tgt FROM splits WHERE split = 'sanity')"
+    + ""
     + q_vocab.WC_CTE
-    + q_vocab.enc_cte("src").replace("FROM line_pairs)", "FROM sanity)")
-    + q_vocab.enc_cte("tgt").replace("FROM line_pairs)", "FROM sanity)")
+    + q_vocab.enc_cte("src").replace("FROM line_pairs)", "FROM splits)")
+    + q_vocab.enc_cte("tgt").replace("FROM line_pairs)", "FROM splits)")
     + f""",
-enc AS (SELECT lp.pos, lp.pair_id, coalesce(s.ids, []::INTEGER[]) AS src_ids, coalesce(t.ids, []::INTEGER[]) AS tgt_ids
-        FROM sanity lp LEFT JOIN src_e s USING (pair_id) LEFT JOIN tgt_e t USING (pair_id)),
-enct AS (SELECT pos, pair_id, CAST(floor(pos / {BATCH}) AS BIGINT) AS batch_id,
-                list_concat([2], src_ids, [3])[1:128] AS src_ids, list_concat([2], tgt_ids, [3])[1:128] AS tgt_ids FROM enc),
-padded AS (SELECT pos, pair_id, batch_id,
-                  list_resize(src_ids, max(len(src_ids)) OVER (PARTITION BY batch_id), 0) AS src_ids,
-                  list_resize(tgt_ids, max(len(tgt_ids)) OVER (PARTITION BY batch_id), 0) AS tgt_ids FROM enct)"""
+enc AS (SELECT lp.split, lp.pos, lp.pair_id, coalesce(s.ids, []::INTEGER[]) AS src_ids, coalesce(t.ids, []::INTEGER[]) AS tgt_ids
+        FROM splits lp LEFT JOIN src_e s USING (pair_id) LEFT JOIN tgt_e t USING (pair_id)),
+enct AS (SELECT split, pos, pair_id, CAST(floor(pos / {BATCH}) AS BIGINT) AS batch_id,
+                list_concat([2], src_ids, [3]) AS src_ids, list_concat([2], tgt_ids, [3]) AS tgt_ids FROM enc),
+padded AS (SELECT split, pos, pair_id, batch_id,
+                  list_resize(src_ids, max(len(src_ids)) OVER (PARTITION BY split, batch_id), 0) AS src_ids,
+                  list_resize(tgt_ids, max(len(tgt_ids)) OVER (PARTITION BY split, batch_id), 0) AS tgt_ids FROM enct)"""
 )
 
 
@@ -97,12 +99,12 @@ dt3 AS (SELECT e.pair_id, replace(coalesce(dt2.t, ''), ' ##', '') AS text FROM e
 
 ORACLE = {
     "pad_batches": BATCH_SQL
-    + f""" SELECT pos, pair_id, batch_id, {jl('src_ids')} AS src_ids, {jl('tgt_ids')} AS tgt_ids,
+    + f""" SELECT split, pos, pair_id, batch_id, {jl('src_ids')} AS src_ids, {jl('tgt_ids')} AS tgt_ids,
     {jl('list_transform(src_ids, lambda x: x <> 0)')} AS attention_mask,
     {jl('list_transform(src_ids, lambda x: x = 0)')} AS src_pad_mask,
     {jl('list_transform(tgt_ids, lambda x: x = 0)')} AS tgt_pad_mask FROM padded""",
     "shift_targets": BATCH_SQL
-    + f""" SELECT pos, batch_id, {jl('tgt_ids[1:len(tgt_ids) - 1]')} AS tgt_input,
+    + f""" SELECT split, pos, batch_id, {jl('tgt_ids[1:len(tgt_ids) - 1]')} AS tgt_input,
     {jl('tgt_ids[2:len(tgt_ids)]')} AS tgt_output FROM padded""",
     "detokenize": q_vocab.ENC
     + DETOK

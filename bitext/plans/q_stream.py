@@ -22,7 +22,9 @@ def stream_metrics(spark, sf_dir):
 
 
 def stream_pair_filter(spark, sf_dir):
-    return ST.stream_pairs(spark, _table_glob(sf_dir, "conversations"))
+    landing = scratch_path(spark, "pairs-landing")
+    fx.line_pairs(spark, sf_dir).write.mode("overwrite").parquet(landing)
+    return ST.stream_pairs(spark, landing)
 
 
 def stream_translate(spark, sf_dir):
@@ -35,8 +37,8 @@ def stream_translate(spark, sf_dir):
     tr = Translator(spark, sf_dir)
 
     def translate(batch):
-        keyed = batch.withColumn("rid", F.col("session_id") * 1000 + F.col("request_id"))
-        out = tr.translate_text(keyed, "rid", "text", max_steps=12).withColumnRenamed("text", "translation")
+        keyed = batch.withColumn("rid", F.concat_ws(":", "session_id", "request_id"))
+        out = tr.translate_text(keyed, "rid", "text").withColumnRenamed("text", "translation")
         return keyed.join(out, "rid").select(
             "session_id", "request_id", F.col("text").alias("request"), F.array_join("seq", " ").alias("seq"),
             F.round("score", 6).alias("score"), "kind", "step", "translation"

@@ -26,19 +26,19 @@ def char_vocab(spark, sf_dir):
     return V.char_vocab(spark, texts=fx.vocab_corpus(spark, sf_dir))
 
 
-def encoded_pairs(spark, sf_dir, pairs=None, template=True, max_len=Q.MAX_LEN, vocab=None, keep=None):
-    """(pair_id, *keep, src_ids, tgt_ids) with the character vocabulary."""
+def encoded_pairs(spark, sf_dir, pairs=None, template=True, max_len=None, vocab=None, keep=None):
+    """(pair_id, *keep, src_ids, tgt_ids) with the character vocabulary; whole
+    texts unless ``max_len`` cuts them."""
     pairs = pairs if pairs is not None else fx.line_pairs(spark, sf_dir)
     vocab = vocab if vocab is not None else char_vocab(spark, sf_dir)
     keep = list(keep or [])
     out = V.encode_chars(pairs, "pair_id", ["src", "tgt"], vocab, ["src_ids", "tgt_ids"], keep=keep)
     if template:
-        out = out.select(
-            "pair_id",
-            *keep,
-            Q.truncate(Q.with_template("src_ids"), max_len).alias("src_ids"),
-            Q.truncate(Q.with_template("tgt_ids"), max_len).alias("tgt_ids"),
-        )
+        def side(name):
+            ids = Q.with_template(name)
+            return (Q.truncate(ids, max_len) if max_len else ids).alias(name)
+
+        out = out.select("pair_id", *keep, side("src_ids"), side("tgt_ids"))
     return out
 
 
@@ -78,7 +78,7 @@ def encode_template(spark, sf_dir):
 
 
 def encode_truncate(spark, sf_dir):
-    e = encoded_pairs(spark, sf_dir)
+    e = encoded_pairs(spark, sf_dir, max_len=Q.MAX_LEN)
     return e.select(
         "pair_id",
         F.size("tgt_ids").alias("n_tgt"),
@@ -165,8 +165,7 @@ ENC = (
     + """,
 enc AS (SELECT lp.pair_id, coalesce(s.ids, []::INTEGER[]) AS src_ids, coalesce(t.ids, []::INTEGER[]) AS tgt_ids
         FROM line_pairs lp LEFT JOIN src_e s USING (pair_id) LEFT JOIN tgt_e t USING (pair_id)),
-enct AS (SELECT pair_id, list_concat([2], src_ids, [3])[1:128] AS src_ids, list_concat([2], tgt_ids, [3])[1:128] AS tgt_ids
-         FROM enc)"""
+enct AS (SELECT pair_id, list_concat([2], src_ids, [3]) AS src_ids, list_concat([2], tgt_ids, [3]) AS tgt_ids FROM enc)"""
 )
 
 
@@ -192,6 +191,6 @@ ORACLE = {
     {js("list_concat([2], tgt_ids, [3])")} AS tgt_ids,
     {js("list_concat([2], src_ids, [3], [2], tgt_ids, [3])")} AS pair_ids FROM enc""",
     "encode_truncate": ENC
-    + f""" SELECT pair_id, CAST(len(tgt_ids) AS INTEGER) AS n_tgt, list_contains(tgt_ids, 3) AS tgt_has_eos,
-    {js('src_ids')} AS src_ids, {js('tgt_ids')} AS tgt_ids FROM enct""",
+    + f""", cut AS (SELECT pair_id, src_ids[1:128] AS src_ids, tgt_ids[1:128] AS tgt_ids FROM enct) SELECT pair_id, CAST(len(tgt_ids) AS INTEGER) AS n_tgt, list_contains(tgt_ids, 3) AS tgt_has_eos,
+    {js('src_ids')} AS src_ids, {js('tgt_ids')} AS tgt_ids FROM cut""",
 }

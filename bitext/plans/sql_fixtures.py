@@ -42,13 +42,13 @@ lp0 AS (
   WHERE u.role = 'user' AND a.role = 'assistant'),
 lp1 AS (SELECT conv_id, turn, s, t, unnest(range(0, least(len(s), len(t)))) AS i FROM lp0),
 line_pairs AS (
-  SELECT CAST(conv_id * 1000000 + turn * 1000 + i AS BIGINT) AS pair_id, s[i + 1] AS src, t[i + 1] AS tgt
+  SELECT CAST(conv_id * 4294967296 + turn * 65536 + i AS BIGINT) AS pair_id, s[i + 1] AS src, t[i + 1] AS tgt
   FROM lp1)"""
 
 MONO = """
 mono0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 mono1 AS (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM mono0),
-mono AS (SELECT CAST(doc_id * 100000 + i AS BIGINT) AS line_id, ls[i + 1] AS text FROM mono1)"""
+mono AS (SELECT CAST(doc_id * 2147483648 + i AS BIGINT) AS line_id, ls[i + 1] AS text FROM mono1)"""
 
 VOCAB_CORPUS = (
     LINE_PAIRS

@@ -23,7 +23,7 @@ from bitext.operators.positions import bucketed_position
 
 
 def write_parallel_text(
-    splits: DataFrame, base: str, num_partitions: int = 8, mode: str = "overwrite"
+    splits: DataFrame, base: str, num_partitions: int | None = None, mode: str = "overwrite"
 ) -> None:
     """Write ``<base>/src/split=<s>/part-*`` and ``<base>/tgt/split=<s>/...``.
 
@@ -32,7 +32,7 @@ def write_parallel_text(
     """
     ordered = (
         splits.select("split", "pos", clean_text("src").alias("src"), clean_text("tgt").alias("tgt"))
-        .repartitionByRange(num_partitions, "split", "pos")
+        .repartitionByRange(*([num_partitions] if num_partitions else []), "split", "pos")
         .sortWithinPartitions("split", "pos")
     )
     for side in ("src", "tgt"):

@@ -2,9 +2,8 @@
 
 * ``stream_epoch_rollup``  metric log arriving as files -> per (run, epoch)
   roll-up, complete mode, each micro-batch overwrites the result table.
-* ``stream_pairs``         conversation turns arriving as files -> user and next
-  assistant turn met by a stateful operator (state only for unmatched
-  halves) -> pair filter + clean, append mode.
+* ``stream_pairs``         sentence pairs arriving as files -> pair filter +
+  clean, stateless, append mode.
 * ``stream_translate``     requests arriving as files -> ``foreachBatch`` runs
   the request filter and the beam decoder on each micro-batch.
 
@@ -24,7 +23,6 @@ from pyspark.sql import types as T
 
 from bitext.operators.corpus import clean_pairs, filter_pairs
 from bitext.operators.runs import QUIT_WORDS, filter_requests
-from bitext.plans.fixtures import PAIR_CONV, PAIR_TURN
 from bitext.session import scratch_path
 
 EVENTS_SCHEMA = T.StructType(
@@ -37,14 +35,6 @@ EVENTS_SCHEMA = T.StructType(
         T.StructField("props", T.StringType()),
     ]
 )
-CONVERSATIONS_SCHEMA = T.StructType(
-    [
-        T.StructField("conv_id", T.LongType()),
-        T.StructField("turn", T.LongType()),
-        T.StructField("role", T.StringType()),
-        T.StructField("text", T.StringType()),
-    ]
-)
 
 
 def _run(query_builder, spark: SparkSession, name: str):
@@ -74,64 +64,14 @@ def stream_epoch_rollup(spark: SparkSession, source: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-TURN_STATE = "user_text string, asst_text string"
-TURN_PAIRS = "conv_id long, turn long, user_text string, asst_text string"
-
-
-def _pair_turns(key, batches, state):
-    """Per (conv_id, user turn): keep whichever half has arrived; emit the
-    pair once both are there and drop the state. A key holds at most one
-    user and one assistant row, so no key is hot and matched turns leave no
-    state behind."""
-    import pandas as pd
-
-    user, asst = state.get if state.exists else (None, None)
-    for pdf in batches:
-        for role, text in zip(pdf["role"], pdf["text"]):
-            if role == "user":
-                user = text
-            else:
-                asst = text
-    if user is not None and asst is not None:
-        state.remove()
-        yield pd.DataFrame({"conv_id": [key[0]], "turn": [key[1]], "user_text": [user], "asst_text": [asst]})
-    else:
-        state.update((user, asst))
-
-
 def stream_pairs(spark: SparkSession, source: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A user turn meets the next assistant turn as both arrive, through a
-    custom stateful operator keyed by (conv_id, user turn)
-    (``applyInPandasWithState``); lines are then paired and the batch filter
-    and cleaning expressions applied; append mode to a Parquet sink."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    reader = spark.readStream.schema(CONVERSATIONS_SCHEMA)
+    """Pair rows (pair_id, src, tgt) arrive as files; the batch filter and
+    cleaning expressions apply to each as it is. Stateless; append mode to a
+    Parquet sink, exactly once."""
+    reader = spark.readStream.schema("pair_id long, src string, tgt string")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    conv = reader.parquet(source)
-    keyed = conv.where(F.col("role").isin("user", "assistant") & F.col("text").isNotNull()).select(
-        "conv_id",
-        F.when(F.col("role") == "assistant", F.col("turn") - 1).otherwise(F.col("turn")).alias("turn"),
-        "role",
-        "text",
-    )
-    turns = keyed.groupBy("conv_id", "turn").applyInPandasWithState(
-        _pair_turns, TURN_PAIRS, TURN_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-    lines = turns.select(
-        "conv_id",
-        "turn",
-        F.posexplode(F.arrays_zip(F.split("user_text", "\n", -1).alias("s"), F.split("asst_text", "\n", -1).alias("t"))).alias(
-            "line", "z"
-        ),
-    ).where(F.col("z.s").isNotNull() & F.col("z.t").isNotNull())
-    pairs = lines.select(
-        (F.col("conv_id") * PAIR_CONV + F.col("turn") * PAIR_TURN + F.col("line")).alias("pair_id"),
-        F.col("z.s").alias("src"),
-        F.col("z.t").alias("tgt"),
-    )
-    out_df = clean_pairs(filter_pairs(pairs))
+    out_df = clean_pairs(filter_pairs(reader.parquet(source)))
     out = scratch_path(spark, "stream-pairs")
     _run(out_df.writeStream.outputMode("append").format("parquet").option("path", out), spark, "pairs")
     return spark.read.parquet(out)
@@ -154,16 +94,24 @@ def stream_translate(
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     req = reader.parquet(source)
     out = scratch_path(spark, "stream-translate")
+    _run(req.writeStream.foreachBatch(translate_sink(spark, out, translate)), spark, "translate")
+    return spark.read.parquet(out).drop("batch")
+
+
+def translate_sink(spark: SparkSession, out: str, translate: Callable[[DataFrame], DataFrame]):
+    """The sink of :func:`stream_translate`. A batch writes its rows and the
+    sessions it ends under ``batch=<id>`` with overwrite, and reads the ended
+    sessions of earlier batches only, so a replayed batch leaves the same rows."""
     ended_path = f"{out}-ended"
-    spark.createDataFrame([], "session_id long").write.mode("overwrite").parquet(ended_path)
+    spark.createDataFrame([], "session_id long").write.mode("overwrite").parquet(f"{ended_path}/batch=-1")
 
-    def sink(batch: DataFrame, _epoch_id: int) -> None:
-        ended = spark.read.parquet(ended_path)
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        ended = spark.read.parquet(ended_path).where(F.col("batch") < batch_id).select("session_id")
         live = batch.join(ended, "session_id", "left_anti")
-        kept = filter_requests(live)
-        translate(kept).write.mode("append").parquet(out)
+        translate(filter_requests(live)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         quits = live.where(F.lower("text").isin(*QUIT_WORDS)).select("session_id").distinct()
-        quits.write.mode("append").parquet(ended_path)
+        quits.write.mode("overwrite").parquet(f"{ended_path}/batch={batch_id}")
+        batch.unpersist()
 
-    _run(req.writeStream.foreachBatch(sink), spark, "translate")
-    return spark.read.parquet(out)
+    return sink

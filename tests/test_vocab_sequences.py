@@ -90,16 +90,13 @@ def test_pad_batches_polarity_and_short_last_batch(spark):
     assert out[2].batch_id == 1 and out[2].src_ids == [2, 7, 7, 7, 3]  # short last batch kept
 
 
-def _blocked_reference(seq, n=3):
-    """The reference's loop, as plain Python (brute force)."""
-    if len(seq) < n:
-        return []
-    ctx = tuple(seq[-(n - 1):])
-    out = set()
-    for step in range(len(seq) - (n - 1)):
-        if tuple(seq[step: step + n - 1]) == ctx:
-            out.add(seq[step + n - 1])
-    return sorted(out)
+def _followers(seq, n):
+    """What followed the last n-1 tokens wherever they stood before, from a map
+    of every context to its followers."""
+    after = {}
+    for context, token in ((tuple(seq[i - n + 1 : i]), seq[i]) for i in range(n - 1, len(seq))):
+        after.setdefault(context, set()).add(token)
+    return sorted(after.get(tuple(seq[len(seq) - n + 1 :]), ()))
 
 
 def test_ngram_block_matches_brute_force(spark):
@@ -110,7 +107,7 @@ def test_ngram_block_matches_brute_force(spark):
     df = spark.createDataFrame([(s,) for s in seqs], "s array<int>")
     for n in (2, 3, 4):
         got = [r.b for r in df.select(Q.blocked_next("s", n).alias("b")).collect()]
-        assert got == [_blocked_reference(s, n) for s in seqs]
+        assert got == [_followers(s, n) for s in seqs]
 
 
 def test_detokenize_keeps_repeats_and_drops_unknown_ids(spark):
