@@ -38,7 +38,7 @@ def links(pages: DataFrame) -> DataFrame:
     """``src, dst``: urls of the pages, and of the pages that their canonical links and refresh redirects name, made
     absolute."""
     tags = F.when(F.col("html").rlike(r"(?i)canonical|http-equiv"), F.regexp_extract_all("html", F.lit(TAG), F.lit(0)))
-    tag = pages.where("html is not null and url is not null").select("url", F.explode(tags).alias("tag"))
+    tag = pages.where("html is not null and url like '%://%'").select("url", F.explode(tags).alias("tag"))
     href = F.concat(*(F.regexp_extract("tag", HREF, k) for k in (1, 2, 3)))
     raw = F.when(F.col("tag").rlike(CANONICAL), href).when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", CONTENT_URL, 1))
     found = tag.select("url", F.trim(F.replace(raw, F.lit("&amp;"), F.lit("&"))).alias("to")).where("to <> ''")
@@ -79,7 +79,7 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
 
     Null urls and urls without ``://`` have an empty host and path and no alias; null html has no links; repeated rows
     are returned each; an empty table gives no rows; other columns are ignored."""
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64(node_of(F.col("url"))).alias("node"))
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.when(F.col("url").like("%://%"), F.xxhash64(node_of(F.col("url")))).alias("node"))
     rows = saved(match_rules(rows, rules), "pages")
     edges = links(pages)
     if redirects is not None:
