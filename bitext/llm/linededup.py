@@ -1,9 +1,9 @@
 """Line dedup: near-duplicate lines by MinHash, one line kept of each group.
 
 Lines become sets of character shingles and one-permutation MinHash signatures; lines that share a band are candidates,
-exact Jaccard similarity decides, and connected components make the groups. A bucket is never expanded into its pairs:
-its lines are held against its smallest line first, and only lines that this leaves in different components are held
-against each other.
+exact Jaccard similarity decides, and connected components make the groups. A bucket's pairs are never listed: each of
+its lines goes once to the task that compares it, where lines that are connected already are not compared again. Large
+buckets are cut into parts, of which every two meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ BANDS, ROWS = 10, 4
 #: Bits of the map by which the second scan knows candidates (8 MB; what is let through in error costs time only).
 MAP_BITS = 26
 
+#: Lines in a part of a bucket.
+TILE = 512
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -123,8 +126,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``h, line`` of the lines in ``wanted(h)``, from another scan of the documents. A bit map of fixed size keeps
-    nearly all other lines from being shuffled."""
+    """``h, line, bands`` of the lines in ``wanted(h)``, from another scan of the documents. A bit map of fixed size
+    keeps nearly all other lines from being shuffled."""
     slot = F.pmod("h", F.lit(1 << MAP_BITS))
     maps = wanted.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     bits = np.zeros(((1 << MAP_BITS) // 32768 + 2, 4096), np.uint8)  # 4 KB for each of 2,048 parts
@@ -138,38 +141,82 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 body, at, _, _ = line_slices(part.column("text"))
                 ids = line_ids(body, at)
                 slot = ids & ((1 << MAP_BITS) - 1)
-                # bucket numbers start at 1 for slots from 1 on; slot 0 has number 0, bit positions count in bucket
+                # numbers and places as bitmap_bucket_number and bitmap_bit_position give them
                 number = np.where(slot > 0, 1 + (slot - 1) // 32768, 0)
                 place = np.where(slot > 0, (slot - 1) % 32768, 0)
-                hit = np.flatnonzero((sent.value[number, place // 8] >> (place % 8).astype(np.uint8)) & 1)
-                _, once = np.unique(ids[hit], return_index=True)
-                hit = hit[once]
-                text = body.tobytes()
-                lines = [text[at[k] : at[k + 1]].decode("utf-8") for k in hit.tolist()]
-                yield pa.record_batch([pa.array(ids[hit]), pa.array(lines, pa.string())], ["h", "line"])
-
-    return docs.select("text").mapInArrow(find, "h long, line string").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the ``pairs(src, dst)`` of line ids whose shingle sets are similar enough, by exact comparison."""
-    wanted = saved(pairs.select(F.col("src").alias("h")).unionAll(pairs.select(F.col("dst").alias("h"))).distinct(), "wanted")
-    texts = saved(_texts(docs, wanted), "line-texts")
-    joined = pairs.join(texts.select(F.col("h").alias("src"), F.col("line").alias("a")), "src").join(texts.select(F.col("h").alias("dst"), F.col("line").alias("b")), "dst")
+                hit = (sent.value[number, place // 8] >> (place % 8).astype(np.uint8)) & 1 == 1
+                yield _banded(body, at, ids, hit, texts=True)
+
+    found = docs.select("text").mapInArrow(find, "h long, line string, bands array<long>")
+    return found.join(wanted, "h", "left_semi").dropDuplicates(["h"])
+
+
+def _banded(body: np.ndarray, at: np.ndarray, ids: np.ndarray, chosen: np.ndarray, texts: bool = False) -> pa.RecordBatch:
+    """Ids and bands of the chosen lines, each id once, and their texts if wanted."""
+    _, once = np.unique(ids, return_index=True)
+    own = np.zeros(len(ids), bool)
+    own[once] = True
+    own &= chosen
+    lengths = np.diff(at)
+    part, bounds = body[np.repeat(own, lengths)], np.append(0, np.cumsum(lengths[own]))
+    keys = band_keys(part, bounds)
+    columns = {"h": pa.array(ids[own])}
+    if texts:
+        text = part.tobytes()
+        columns["line"] = pa.array([text[a:b].decode("utf-8") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.string())
+    columns["bands"] = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
+    return pa.record_batch(list(columns.values()), list(columns))
+
+
+def _links(rows: pa.Table, band: int) -> list[tuple[int, int]]:
+    """Links that connect what is similar among a bucket's lines (``h, line, bands``). Pairs that share an earlier band
+    are left to that band's bucket."""
+    ids, bands = rows.column("h").to_numpy(), rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    sets = [shingles(x) for x in rows.column("line").to_pylist()]
+    where = int(np.flatnonzero(bands[0] == band)[0])
+    label, found = np.arange(len(ids)), []
+    for i in range(len(ids) - 1):
+        apart = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        apart = apart[(bands[apart, :where] != bands[i, :where]).all(axis=1)]
+        for j in apart.tolist():
+            if label[j] != label[i]:
+                common = len(sets[i] & sets[j])
+                if common >= SIMILARITY * (len(sets[i]) + len(sets[j]) - common):
+                    found.append((ids[i], ids[j]))
+                    label[label == label[j]] = label[i]
+    return found
+
+
+def _bucket_links(shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """``src, dst``: links between the lines of each bucket in ``shared(band, h)``."""
+    sizes = shared.groupBy("band").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    placed = shared.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("h", F.lit(1)), F.col("parts")))
+    # every two parts meet: a part alone only where the bucket has no other
+    last = F.col("parts") - 1
+    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).where("part <> other or parts = 1")
+    tiles = tiles.select("band", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "h").join(texts, "h")
+    n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = tiles.repartition(n, "band", "a", "b").sortWithinPartitions("band", "a", "b", "h").select("band", "a", "b", "h", "line", "bands")
 
     def compare(batches):
-        last, one = None, set()
+        carry = None
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                if a != last:
-                    last, one = a, shingles(a)
-                other = shingles(b)
-                common = len(one & other)
-                keep.append(common >= SIMILARITY * (len(one) + len(other) - common))
-            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+            table = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
+            ids = np.stack([table.column(c).to_numpy() for c in ("band", "a", "b")])
+            bounds = np.append(0, np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1)
+            yield from links(table, bounds)
+            carry = table.slice(bounds[-1])
+        if carry is not None:
+            yield from links(carry, np.array([0, carry.num_rows]))
+
+    def links(table, bounds):
+        band, found = table.column("band").to_numpy(), []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            found += _links(table.slice(a, b - a), band[a])
+        left, right = zip(*found) if found else ((), ())
+        yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["src", "dst"])
 
-    return saved(joined.select("src", "dst", "a", "b").mapInArrow(compare, "src long, dst long"), "line-links")
+    return saved(ordered.mapInArrow(compare, "src long, dst long"), "line-links")
 
 
 def line_groups(docs: DataFrame) -> DataFrame:
@@ -191,32 +238,19 @@ def line_groups(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 body, at, row, number = line_slices(part.column("text"))
                 ids = line_ids(body, at)
-                _, once = np.unique(ids, return_index=True)
-                once = np.sort(once)
-                lengths = np.diff(at)[once]
-                picked = np.zeros(len(ids), bool)
-                picked[once] = True
-                keys = band_keys(body[np.repeat(picked, np.diff(at))], np.append(0, np.cumsum(lengths)))
-                sizes = np.where(picked, BANDS, 0)
-                bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(keys.ravel()))
+                banded = _banded(body, at, ids, np.ones(len(ids), bool))
+                first = np.zeros(len(ids), np.int64)
+                first[np.unique(ids, return_index=True)[1]] = BANDS
+                bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(first)), pa.int32()), banded.column("bands").flatten())
                 take = pa.array(row)
                 yield pa.record_batch([part.column("doc_id").take(take), part.column("text_hash").take(take), pa.array(number), pa.array(ids), bands], ["doc_id", "text_hash", "line_no", "h", "bands"])
 
     lines = saved(keyed.mapInArrow(scan, "doc_id long, text_hash long, line_no long, h long, bands array<long>"), "lines")
     members = lines.select("h", F.explode("bands").alias("band"))
-    buckets = saved(members.groupBy("band").agg(F.min("h").alias("rep"), F.max("h").alias("other")).where("rep <> other").select("band", "rep"), "buckets")
-    shared = saved(members.join(buckets, "band").select("band", "rep", "h").distinct(), "bucket-lines")
-    stars = saved(shared.where("h <> rep").select(F.col("rep").alias("src"), F.col("h").alias("dst")).distinct(), "stars")
-    links = _verified(keyed, stars)
-    parts = connected_components(links)
-    # What its bucket's smallest line does not connect is held against the bucket's lines of other components.
-    placed = shared.join(parts.select(F.col("node").alias("h"), "component"), "h", "left").select("band", "rep", "h", F.coalesce("component", "h").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("band")
-    left = saved(placed.join(mixed, "band", "left_semi"), "mixed-buckets")
-    a, b = left.select("band", F.col("h").alias("src"), F.col("component").alias("ca"), "rep"), left.select("band", F.col("h").alias("dst"), F.col("component").alias("cb"))
-    rest = saved(a.join(b, "band").where("src < dst and ca <> cb and src <> rep").select("src", "dst").distinct(), "rest")
-    if not rest.isEmpty():
-        parts = connected_components(links.unionAll(_verified(keyed, rest)))
+    buckets = saved(members.groupBy("band").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("band"), "buckets")
+    shared = saved(members.join(buckets, "band").select("band", "h").distinct(), "bucket-lines")
+    texts = saved(_texts(keyed, shared.select("h").distinct()), "line-texts")
+    parts = connected_components(_bucket_links(shared, texts))
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "line_no")
     own = lines.groupBy("h").agg(F.min(first).alias("first")).join(parts.select(F.col("node").alias("h"), "component"), "h", "left").select("h", "first", F.coalesce("component", "h").alias("component"))
     own = saved(own, "first-lines")
