@@ -2,9 +2,8 @@
 
 The BPE state is the table of *distinct words* with their frequencies, not
 the corpus: word counting (a partial + final aggregate) shrinks it first.
-Each training round is one aggregation of adjacent-pair counts over that
-table and one array rewrite of the words that contain the chosen pair, both
-as built-in expressions. The learned model (merges, vocabulary) is bounded by
+Each training round is one aggregation of adjacent triples over that table
+and one pass that applies all merges the round could prove. The learned model (merges, vocabulary) is bounded by
 ``vocab_size`` and is the only thing that lives on the driver.
 
 Rule (P6): ids 0..3 are the specials, then the alphabet in code-point order,
@@ -16,6 +15,7 @@ is below ``min_frequency``.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -137,30 +137,97 @@ class BpeModel:
         return spark.createDataFrame(rows, "rank int, left string, right string, token string, id int, count long")
 
 
-def _head_and_bounds(counts: DataFrame, top: int) -> tuple[list, dict, dict]:
-    """One job: the ``top`` ranked pairs, and per symbol the max count of a
-    pair ending in it (``left_of``) or starting with it (``right_of``). The
-    per-symbol rows are bounded by the vocabulary size; both branches share
-    the pair-count exchange."""
-    head = counts.orderBy(F.desc("n"), "l", "r").limit(top).select(F.lit("H").alias("kind"), "l", "r", "n")
-    side = F.explode(
-        F.array(
-            F.struct(F.lit("L").alias("kind"), F.col("r").alias("sym"), F.col("n").alias("n")),
-            F.struct(F.lit("R").alias("kind"), F.col("l").alias("sym"), F.col("n").alias("n")),
-        )
-    )
-    bounds = (
-        counts.select(side.alias("x"))
-        .select("x.*")
-        .groupBy("kind", "sym")
-        .agg(F.max("n").alias("n"))
-        .select("kind", F.col("sym").alias("l"), F.lit(-1).alias("r"), "n")
-    )
-    rows = head.unionByName(bounds).collect()
-    ranked = sorted((r for r in rows if r["kind"] == "H"), key=lambda r: (-r["n"], r["l"], r["r"]))
-    left_of = {r["l"]: r["n"] for r in rows if r["kind"] == "L"}
-    right_of = {r["l"]: r["n"] for r in rows if r["kind"] == "R"}
-    return ranked, left_of, right_of
+class _Round:
+    """Which merges of a round equal merging one at a time.
+
+    ``head``: the most frequent pairs (l, r, n) in merge order (count, then
+    ids); every other pair comes after its last one. ``triples``: (x, a, b) -> n
+    where (x, a) or (a, b) is in the head: all with both there, and all with
+    at least the last head pair's count.
+
+    Merging (a, b) takes T(x, a, b) from (x, a) and T(a, b, y) from (b, y),
+    and makes (x, ab) and (ab, y) with at most those counts. That is exact
+    while a pair has lost neighbours on one side only and what took them was
+    untouched itself. A pair beyond that is known by its upper bound only, and
+    the round ends before it. A made pair ends the round too, after its own
+    merge if its count is exact: what surrounds it has not been counted."""
+
+    def __init__(self, head: list[tuple], triples: dict[tuple, int], complete: bool):
+        self.count = {(left, right): n for left, right, n in head}
+        self.last = None if complete or not head else (-head[-1][2], head[-1][0], head[-1][1])
+        self.sides: dict[tuple, set] = {}
+        self.vague: set[tuple] = set()
+        self.made: list[tuple] = []  # made pairs: merge-order key, and the neighbour if the count was exact
+        self.lefts: set[int] = set()  # symbols merged as left and as right parts
+        self.rights: set[int] = set()
+        self.over = False
+        self.runs = {a for x, a, b in triples if x == a == b}
+        self.before: dict[tuple, list] = {}
+        self.after: dict[tuple, list] = {}
+        for (x, a, b), n in triples.items():
+            self.before.setdefault((a, b), []).append((x, n))
+            self.after.setdefault((x, a), []).append((b, n))
+
+    def next(self) -> tuple | None:
+        """The next pair to merge and its count, or None at the round's end."""
+        if not self.count or self.over:
+            return None
+        key, pair = min(((-n, *p), p) for p, n in self.count.items())
+        if self.last is not None:
+            key = min(key, (*self.last[:2], self.last[2] + 1))  # what comes right after the head
+        if self.made and self.made[0][0] < key:
+            (n, left, right), neighbour, before = self.made[0]
+            self.over = True
+            lost = self.rights if before else self.lefts
+            return None if neighbour < 0 or neighbour in lost else ((left, right), -n)
+        if pair in self.vague or (self.last is not None and (-self.count[pair], *pair) > self.last):
+            return None
+        if pair[0] == pair[1] and pair[0] in self.runs:  # occurrences overlap: a round of its own
+            self.over = True
+            return None if self.lefts else (pair, self.count[pair])
+        return pair, self.count[pair]
+
+    def merge(self, pair: tuple, new_id: int) -> None:
+        if self.over:  # nothing follows
+            return
+        a, b = pair
+        exact = pair not in self.sides
+        del self.count[pair]
+        self.lefts.add(a)
+        self.rights.add(b)
+        for x, n in self.before.get(pair, ()):
+            heapq.heappush(self.made, ((-n, x, new_id), x if exact and x not in self.rights else -1, True))
+            self._touch((x, a), "right", n, exact)
+        for y, n in self.after.get(pair, ()):
+            heapq.heappush(self.made, ((-n, new_id, y), y if exact and y not in self.lefts else -1, False))
+            self._touch((b, y), "left", n, exact)
+
+    def _touch(self, pair: tuple, side: str, n: int, exact: bool) -> None:
+        if pair in self.count:
+            sides = self.sides.setdefault(pair, set())
+            sides.add(side)
+            if not exact or len(sides) > 1 or pair[0] in self.runs and pair[0] == pair[1]:
+                self.vague.add(pair)
+            if pair not in self.vague:
+                self.count[pair] -= n
+
+
+def _merge_ids(ids: list[int], ranks: dict) -> list[int]:
+    """Apply merges ``(left, right) -> (rank, merged id)`` to one word: lowest
+    rank first, left to right."""
+    while len(ids) > 1:
+        best = min((ranks[p] for p in zip(ids, ids[1:]) if p in ranks), default=None)
+        if best is None:
+            break
+        out: list[int] = []
+        for i in ids:
+            if out and out[-1] is not None and ranks.get((out[-1], i)) == best:
+                out[-1] = best[1]
+                out.append(None)  # the merged symbol takes no part again in this pass
+            else:
+                out.append(i)
+        ids = [i for i in out if i is not None]
+    return ids
 
 
 def train_bpe(
@@ -168,22 +235,20 @@ def train_bpe(
     vocab_size: int = VOCAB_SIZE,
     min_frequency: int = MIN_FREQUENCY,
     max_merges: int | None = None,
-    candidates_per_round: int = 64,
+    candidates_per_round: int = 1024,
     on_round=None,
 ) -> BpeModel:
     """Exact BPE training over a ``(word, freq)`` table.
 
-    Each round aggregates adjacent-pair counts once (partial + final) and
-    takes the ranked head of that table. The first pair is the next merge.
-    Later pairs of the head are merged in the same round only while that
-    provably equals merging one at a time: merging (a, b) only lowers counts
-    of pairs that contain a or b, and a new pair (x, ab) / (ab, y) counts at
-    most the old max count of (x, a) / (b, y). So the next ranked pair is
-    still next if it shares no symbol with the pairs merged this round and its
-    count is strictly above every such bound. The word table is written to
-    the shared checkpoint folder every round.
+    A round counts adjacent triples once (partial + final aggregate); pair
+    counts are their sums. The head of the pair counts and the triples around
+    it, both bounded by ``candidates_per_round``, tell which merges of the
+    round provably equal merging one at a time (:class:`_Round`). All of them
+    are applied in one pass over the word table, which is written to the
+    shared checkpoint folder every round.
     """
     words = cut_lineage(words.select("word", F.col("freq").cast("long").alias("freq")))
+    spark = words.sparkSession
     alpha = cut_lineage(alphabet(words))
     model = BpeModel(vocab={t: i for i, t in enumerate(SPECIALS)})
     for token, i in alpha.orderBy("id").collect():  # bounded by Unicode size
@@ -196,58 +261,67 @@ def train_bpe(
     state = joined.groupBy("word", "freq").agg(
         F.array_sort(F.collect_list(F.struct("_pos", "id"))).getField("id").cast("array<int>").alias("ids")
     )
-    # Delimited text form " 12 45 7 ": merges are built-in regex replaces.
-    state = cut_lineage(
-        state.where(F.size("ids") > 1).select(
-            "word", "freq", F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" ")).alias("syms")
-        )
-    )
+    state = cut_lineage(state.where(F.size("ids") > 1).select("freq", "ids"))
     rounds = 0
     floor = max(min_frequency, 1)
 
     def room() -> bool:
         return len(model.vocab) < vocab_size and (max_merges is None or len(model.merges) < max_merges)
 
+    def applied(ranks: dict):
+        def run(batches):
+            for pdf in batches:
+                pdf["ids"] = [_merge_ids(list(w), ranks) if any(p in ranks for p in zip(w, w[1:])) else w for w in map(list, pdf["ids"])]
+                yield pdf[[len(w) > 1 for w in pdf["ids"]]]  # words left with one symbol drop out
+
+        return run
+
     while room():
-        counts = (
-            state.select(F.explode(_text_pairs(F.col("syms"))).alias("p"), "freq")
-            .groupBy(F.col("p.l").cast("int").alias("l"), F.col("p.r").cast("int").alias("r"))
-            .agg(F.sum("freq").alias("n"))
+        # -1 stands before a word's first symbol.
+        at = F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("i")
+        triple = state.select("freq", "ids", at).select(
+            "freq",
+            F.when(F.col("i") > 1, F.expr("ids[i - 2]")).otherwise(F.lit(-1)).alias("x"),
+            F.expr("ids[i - 1]").alias("a"),
+            F.expr("ids[i]").alias("b"),
         )
-        head, left_of, right_of = _head_and_bounds(counts, candidates_per_round)
-        if not head or head[0]["n"] < floor:
+        counts = triple.groupBy("x", "a", "b").agg(F.sum("freq").alias("n")).persist()
+        pairs = counts.groupBy("a", "b").agg(F.sum("n").alias("n"))
+        head = [(r["a"], r["b"], r["n"]) for r in pairs.where(F.col("n") >= floor).orderBy(F.desc("n"), "a", "b").limit(candidates_per_round).collect()]
+        if not head:
+            counts.unpersist()
             break
-        accepted, touched, bound = [], set(), -1
-        for row in head:
-            left, right, n = int(row["l"]), int(row["r"]), int(row["n"])
-            if not room() or n < floor:
-                break
-            if accepted and (left in touched or right in touched or n <= bound):
+        least = head[-1][2]
+        keys = spark.createDataFrame([(left, right) for left, right, _ in head], "l int, r int")
+        near = (
+            counts.where("x >= 0")
+            .join(F.broadcast(keys.select(F.col("l").alias("a"), F.col("r").alias("b"), F.lit(1).alias("_ab"))), ["a", "b"], "left")
+            .join(F.broadcast(keys.select(F.col("l").alias("x"), F.col("r").alias("a"), F.lit(1).alias("_xa"))), ["x", "a"], "left")
+            .where(F.coalesce("_ab", "_xa").isNotNull() & ((F.col("n") >= least) | F.col("_ab").isNotNull() & F.col("_xa").isNotNull()))
+        )
+        triples = {(r["x"], r["a"], r["b"]): r["n"] for r in near.select("x", "a", "b", "n").collect()}
+        counts.unpersist()
+        plan = _Round(head, triples, complete=len(head) < candidates_per_round)
+        ranks: dict = {}
+        while room() and (found := plan.next()) is not None:
+            (left, right), n = found
+            if n < floor:
                 break
             token = inv[left] + inv[right]
             reused = token in model.vocab
-            new_id = model.vocab.get(token, len(model.vocab))
-            if not reused:
-                model.vocab[token] = new_id
-                inv[new_id] = token
+            new_id = model.vocab.setdefault(token, len(model.vocab))
+            inv[new_id] = token
             model.merges.append((left, right, new_id, n))
-            accepted.append((left, right, new_id))
-            touched |= {left, right}
-            bound = max(bound, left_of.get(left, 0), right_of.get(right, 0))
-            if reused:  # pairs with an existing token may grow: stop here
+            ranks[left, right] = (len(ranks), new_id)
+            plan.merge((left, right), new_id)
+            if reused:  # pairs with an existing token may grow
                 break
+        if not ranks:
+            break
         rounds += 1
         if on_round is not None:
-            on_round(rounds, len(accepted))
-        # One projection per merge: nesting them would repeat the inner
-        # expression (it is referenced several times) at every level.
-        nxt = state
-        for left, right, new_id in accepted:
-            nxt = nxt.withColumn("syms", merge_pair_text(F.col("syms"), left, right, new_id))
-        nxt = nxt.where(F.trim("syms").contains(" "))  # words left with one symbol drop out
-        # Written every round: lineage stays one round deep, and measured
-        # faster than caching between less frequent checkpoints.
-        state = cut_lineage(nxt)
+            on_round(rounds, len(ranks))
+        state = cut_lineage(state.mapInPandas(applied(ranks), "freq long, ids array<int>"))
     return model
 
 
@@ -284,14 +358,6 @@ def load_or_build(spark: SparkSession, path: str, build) -> BpeModel:
         return model
 
 
-def lookup_ids(tokens: DataFrame, vocab: DataFrame, unk_id: int = UNK_ID) -> DataFrame:
-    """``token -> id`` by a left join on the vocabulary; unknown -> [UNK].
-    The vocabulary is bounded by ``vocab_size``, so it is broadcast."""
-    return tokens.join(F.broadcast(vocab.select("token", "id")), "token", "left").withColumn(
-        "id", F.coalesce(F.col("id"), F.lit(unk_id))
-    )
-
-
 def encode_chars(
     df: DataFrame,
     key: str,
@@ -338,36 +404,12 @@ def encode_chars(
     )
 
 
-def _bpe_word(word: str, vocab: dict, ranks: dict, unk_id: int) -> list[int]:
-    """Apply merges to one pre-token: lowest rank first, left to right."""
-    ids = [vocab.get(ch, unk_id) for ch in word]
-    while len(ids) > 1:
-        best, best_rank = None, None
-        for i in range(len(ids) - 1):
-            r = ranks.get((ids[i], ids[i + 1]))
-            if r is not None and (best_rank is None or r[0] < best_rank):
-                best, best_rank = r, r[0]
-        if best is None:
-            break
-        a, b = best[1], best[2]
-        out, i = [], 0
-        while i < len(ids):
-            if i < len(ids) - 1 and ids[i] == a and ids[i + 1] == b:
-                out.append(best[3])
-                i += 2
-            else:
-                out.append(ids[i])
-                i += 1
-        ids = out
-    return ids
-
-
 def bpe_encode_column(model: BpeModel, text: Column) -> Column:
     """BPE-encode a text column (no template) with an Arrow-batched pandas
     UDF. The model is bounded by ``vocab_size`` and shipped once per task; a
     per-batch memo means each distinct word is merged once per batch."""
     vocab = dict(model.vocab)
-    ranks = {(a, b): (r, a, b, c) for r, (a, b, c, _n) in enumerate(model.merges)}
+    ranks = {(a, b): (r, c) for r, (a, b, c, _n) in enumerate(model.merges)}
     specials = {t: vocab[t] for t in SPECIALS}
 
     # Pre-tokenization stays on the JVM (regexp_extract_all); the UDF gets the
@@ -384,11 +426,11 @@ def bpe_encode_column(model: BpeModel, text: Column) -> Column:
                     continue
                 got = memo.get(w)
                 if got is None:
-                    got = memo[w] = _bpe_word(w, vocab, ranks, UNK_ID)
+                    got = memo[w] = _merge_ids([vocab.get(ch, UNK_ID) for ch in w], ranks)
                 out.append(got)
             return out
 
         return words.map(lambda ws: enc(ws) if ws is not None else None)
 
-    words =F.regexp_extract_all(text, F.lit(ENCODE_WORD_RE), 0)
+    words = F.regexp_extract_all(text, F.lit(ENCODE_WORD_RE), 0)
     return F.flatten(encode_words(words))

@@ -207,7 +207,35 @@ def beam_decode_blocked(spark, sf_dir):
     return res.select("sent_id", F.array_join("seq", " ").alias("seq"), r6("score").alias("score"), "kind", "step")
 
 
+def _evaluated(spark, sf_dir):
+    """The test split decoded as in evaluation, with its references: sent_id,
+    src, hyp, ref; and the split's teacher-forced perplexity."""
+    from bitext.operators.sequences import detokenize
+
+    tr = Translator(spark, sf_dir)
+    res = tr.decode(tr.test.select(F.col("pair_id").alias("sent_id"), "src_ids"), repeat=None, block=3, alpha=D.ALPHA_EVAL, max_steps=D.MAX_STEPS)
+    hyp = detokenize(res, "sent_id", "seq", tr.vocab, "evaluate").withColumnRenamed("text", "hyp")
+    test = q_corpus.split_corpus(spark, sf_dir).where(F.col("split") == "test")
+    refs = test.select(F.col("pair_id").alias("sent_id"), "pos", "src", F.col("tgt").alias("ref"))
+    ppl = M.perplexity(_test_tokens(tr.test, tr.lm).withColumn("loss", -F.col("lm_logp")))
+    return cut_lineage(M.align_predictions(hyp, refs)), ppl
+
+
+def evaluate(spark, sf_dir):
+    """BLEU, chrF and perplexity of the decoder's own output, with the first
+    three examples."""
+    pairs, ppl = _evaluated(spark, sf_dir)
+    bleu, chrf = M.bleu_from_stats(M.bleu_stats(pairs)), M.chrf_from_stats(M.chrf_stats(pairs))
+    shown = pairs.orderBy("pos").limit(3).select(F.struct("pos", "src", "hyp", "ref").alias("x"))
+    text = F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat_ws(" | ", x["src"], x["hyp"], x["ref"]))
+    one = shown.agg(F.array_join(text, "\n").alias("examples"))
+    parts = [bleu.select(r6("bleu").alias("value"), F.lit("bleu").alias("name")), chrf.select(r6("chrf").alias("value"), F.lit("chrf").alias("name")), ppl.select(r6("ppl").alias("value"), F.lit("ppl").alias("name"))]
+    scores = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("name", "value", F.lit(None).cast("string").alias("examples"))
+    return scores.unionByName(one.select(F.lit("examples").alias("name"), F.lit(None).cast("double").alias("value"), "examples"))
+
+
 QUERIES = {
+    "evaluate": evaluate,
     "bigram_lm": bigram_lm,
     "perplexity": perplexity,
     "smoothed_nll": smoothed_nll,
@@ -316,7 +344,7 @@ def detokenize_sql() -> str:
 dk AS (SELECT sent_id, seq, unnest(range(1, len(seq) + 1)) AS k FROM decoded),
 dj AS (SELECT d.sent_id, string_agg(v.token, ' ' ORDER BY d.k) AS t FROM dk d JOIN vocab v ON v.id = d.seq[d.k]
        WHERE d.seq[d.k] NOT IN (0, 2, 3) GROUP BY d.sent_id),
-dtext AS (SELECT d.sent_id, replace(replace(replace(coalesce(t, ''), ' ##', ''), ' .', '.'), ' ,', ',') AS text
+dtext AS (SELECT d.sent_id, replace(coalesce(t, ''), ' ##', '') AS plain, replace(replace(replace(coalesce(t, ''), ' ##', ''), ' .', '.'), ' ,', ',') AS text
           FROM decoded d LEFT JOIN dj USING (sent_id))"""
 
 
@@ -345,7 +373,39 @@ tab{r} AS (SELECT s, t, c / sum(c) OVER (PARTITION BY s) AS prob FROM c{r})"""
     return "".join(parts)
 
 
+def evaluate_sql() -> str:
+    """The blocked decode, detokenised, joined to its references, and scored by
+    the metrics' own SQL."""
+    from bitext.plans import q_metrics
+
+    body = (
+        recursive(BASE)
+        + em_sql(EM_ROUNDS)
+        + candidates_sql("SELECT pair_id AS sent_id, src_ids FROM test")
+        + beam_sql("SELECT sent_id, [2] AS seq FROM sents", translation_expansion(100, block=3), 100, 4, 0.7)
+        + detokenize_sql()
+        + """,
+hr AS (SELECT d.sent_id, d.plain AS hyp, s.tgt AS ref, s.src, s.pos FROM dtext d JOIN splits s ON s.pair_id = d.sent_id AND s.split = 'test')"""
+    )
+    bleu, chrf = (sql.replace(q_metrics.PAIRS, "", 1).lstrip(",\n") for sql in (q_metrics.BLEU_SQL, q_metrics.CHRF_SQL))
+    return (
+        body
+        + f""",
+ppl0 AS (SELECT batch_id, avg(-lm_logp) AS m, count(*) AS v FROM ts GROUP BY batch_id),
+ppl1 AS (SELECT sum(m * v) / sum(v) AS a FROM ppl0),
+shown AS (SELECT string_agg(src || ' | ' || hyp || ' | ' || ref, chr(10) ORDER BY pos) AS examples
+          FROM (SELECT * FROM hr ORDER BY pos LIMIT 3)),
+score_b AS (WITH {bleu}),
+score_c AS (WITH {chrf})
+SELECT 'bleu' AS name, bleu AS value, NULL::VARCHAR AS examples FROM score_b
+UNION ALL SELECT 'chrf', chrf, NULL FROM score_c
+UNION ALL SELECT 'ppl', round(CASE WHEN a < 100 THEN exp(a) ELSE 'infinity'::DOUBLE END, 6), NULL FROM ppl1
+UNION ALL SELECT 'examples', NULL, examples FROM shown"""
+    )
+
+
 ORACLE = {
+    "evaluate": evaluate_sql(),
     "bigram_lm": BASE
     + " SELECT o.prev, o.next, o.n, round(o.logp, 6) AS logp, round(x.backoff, 6) AS backoff FROM obs o JOIN ctx x USING (prev)",
     "perplexity": BASE

@@ -11,7 +11,7 @@ from bitext.operators import vocab as V
 from bitext.plans import fixtures as fx
 from bitext.plans import sql_fixtures as S
 
-BPE_MERGES = 50  # fixed merge count for the BPE queries and the bench
+BPE_VOCAB = 5000  # the reference's vocabulary size for small corpora
 
 
 def ids_str(c):
@@ -88,23 +88,24 @@ def encode_truncate(spark, sf_dir):
     )
 
 
-def train_model(spark, sf_dir, merges=BPE_MERGES):
-    return V.train_bpe(_word_counts(spark, sf_dir), max_merges=merges)
+def train_model(spark, sf_dir, size=BPE_VOCAB):
+    """To the stop rule: ``size`` tokens, or no pair that occurs twice."""
+    return V.train_bpe(_word_counts(spark, sf_dir), vocab_size=size)
 
 
-def model_path(spark, sf_dir, merges=BPE_MERGES):
+def model_path(spark, sf_dir, size=BPE_VOCAB):
     """Where the tokenizer for these inputs lives: the shared checkpoint
-    folder, keyed by the input files (path, size, mtime) and merge count."""
+    folder, keyed by the input files (path, size and time as Spark's reader
+    gives them) and the vocabulary size."""
     import hashlib
-    import os
 
-    from bitext.session import ensure_checkpoint_dir
+    from bitext.session import ensure_checkpoint_dir, read_table
 
-    parts = [str(merges)]
+    parts = [str(size)]
     for name in ("documents", "conversations"):
-        f = os.path.join(sf_dir, f"{name}.parquet")
-        st = os.stat(f) if os.path.exists(f) else None
-        parts.append(f"{os.path.abspath(f)}:{st.st_size if st else 0}:{st.st_mtime_ns if st else 0}")
+        files = read_table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        seen = files.distinct().agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", *files.columns))), "|"), 256))
+        parts.append(f"{name}:{seen.first()[0]}")
     key = hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/bitext-tokenizer-{key}"
 
