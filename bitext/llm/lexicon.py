@@ -9,17 +9,17 @@ from __future__ import annotations
 
 import functools
 import os
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import ByteBpe, tokenizer, word_starts
-from .common import distinct_slices, flat_ranges, slices, utf8
+from .common import distinct_slices, flat_ranges, shared_dir, slices, utf8
 
 #: Words of the lexicon, and their bytes at most (rarer and longer words are merged).
 WORDS, WORD_BYTES = 1 << 16, 32
@@ -194,10 +194,11 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     spark = docs.sparkSession
     content = compile_lexicon(frequent_words(docs), tokenizer(tokenizer_path))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(), name)
-    with open(path, "wb") as f:
+    store, root = pafs.FileSystem.from_uri(shared_dir(spark))
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/{name}") as f:
         f.write(content)
-    spark.sparkContext.addFile(path)
+    spark.sparkContext.addFile(f"{shared_dir(spark)}/{name}")
 
     def run(batches):
         bpe, own = tokenizer(tokenizer_path), opened(name)
