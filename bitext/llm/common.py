@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at a time (the arrays take some 40 times as much).
@@ -113,5 +113,10 @@ def distinct_slices(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
-def utf8_length(c: Column) -> Column:
-    return F.octet_length(F.coalesce(c, F.lit("")))
+def first_values(rows: DataFrame, value: str, most: int) -> DataFrame:
+    """The rows with the smallest ``value`` (long): as many whole values as make at most ``most`` rows. Where the last
+    value starts is found from the rows per value, so that no task sends more than belongs to the result."""
+    run = F.sum("count").over(Window.orderBy("v"))  # a row per value
+    fits = rows.groupBy(F.col(value).alias("v")).count().select("v", run.alias("upto")).where(F.col("upto") <= most)
+    last = fits.agg(F.max("v")).first()[0]
+    return rows.where(F.col(value) <= F.lit(last)) if last is not None else rows.limit(0)

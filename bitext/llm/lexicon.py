@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import ByteBpe, tokenizer, word_starts
-from .common import distinct_slices, flat_ranges, shared_dir, slices, utf8
+from .common import distinct_slices, first_values, flat_ranges, saved, shared_dir, slices, utf8
 
 #: Words of the lexicon, and their bytes at most (rarer and longer words are merged).
 WORDS, WORD_BYTES = 1 << 16, 32
 
 
 def frequent_words(docs: DataFrame, most: int = WORDS) -> list[bytes]:
-    """The most frequent words in all of ``docs(text)``, sorted; ties go to the smaller word."""
+    """The most frequent words in all of ``docs(text)``, sorted: all that occur at least as often as the rarest."""
 
     def count(batches):
         for batch in batches:
@@ -37,8 +37,8 @@ def frequent_words(docs: DataFrame, most: int = WORDS) -> list[bytes]:
                     codes, distinct = distinct_slices(raw, starts, np.append(starts[1:], len(raw)))
                     yield pa.record_batch([distinct.cast(pa.binary()), pa.array(np.bincount(codes))], ["w", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "w binary, n long").where(F.octet_length("w") <= WORD_BYTES).groupBy("w").agg(F.sum("n").alias("n"))
-    return sorted(bytes(r.w) for r in counts.orderBy(F.desc("n"), "w").limit(most).collect())
+    counts = docs.select("text").mapInArrow(count, "w binary, n long").where(F.octet_length("w") <= WORD_BYTES).groupBy("w").agg((-F.sum("n")).alias("rarity"))
+    return sorted(bytes(r.w) for r in first_values(saved(counts, "words"), "rarity", most).select("w").collect())
 
 
 def automaton(words: list[bytes]) -> tuple[list[dict[int, int]], list[bool], int]:

@@ -12,13 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_slices, saved, slices, utf8, words
+from .common import distinct_slices, first_values, saved, slices, utf8, words
 
 #: Hashed features: 4 M, so the weights are 16 MB at most.
 FEATURE_BITS = 22
 #: Lengths of the stems.
 STEMS = (4, 5, 6)
-#: Labelled documents that the model is fitted to at most (those with the smallest id hashes); documented bound.
+#: Labelled documents that the model is fitted to at most (chosen by their ids' hashes); documented bound.
 TRAIN_ROWS = 16_000
 #: Learning rate, its smoothing, L1, L2, and passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 5.0, 1.0, 2
@@ -83,8 +83,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.
     has its smallest. Executors make the features; one task fits the bounded sample. Without labels there is no
     weight, and every score is 0.5."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    # 65,536 parts by the id's hash; as many whole parts as fit
+    chosen = first_values(saved(known.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16))), "labels"), "part", TRAIN_ROWS)
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id", "y")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
     def extract(batches):
         for batch in batches:

@@ -295,8 +295,7 @@ def test_lm_score(spark, docs):
     aimed = {k for k, r in enumerate(docs.collect()) if r.doc_id is not None and r.doc_id % 3 == 0}
     words = {k: [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower()) if w] for k, t in texts.items()}
     total = Counter(w for own in words.values() for w in own)
-    signed = lambda w: int(np.uint64(xxhash.xxh64_intdigest(w.encode(), 3)).view(np.int64))
-    known = set(sorted(total, key=lambda w: (-total[w], signed(w)))[: lmscore.VOCABULARY - 1])
+    known = max(({w for w in total if total[w] >= n} for n in set(total.values()) if sum(m >= n for m in total.values()) < lmscore.VOCABULARY), key=len)
     classes = {k: [w if w in known else None for w in own] for k, own in words.items()}
 
     def model(own):
