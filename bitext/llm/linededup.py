@@ -168,20 +168,24 @@ def _banded(body: np.ndarray, at: np.ndarray, ids: np.ndarray, chosen: np.ndarra
     return pa.record_batch(list(columns.values()), list(columns))
 
 
-def _links(rows: pa.Table, band: int) -> list[tuple[int, int]]:
-    """Links that connect what is similar among a bucket's lines (``h, line, bands``). Pairs that share an earlier band
-    are left to that band's bucket."""
-    ids, bands = rows.column("h").to_numpy(), rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-    sets = [shingles(x) for x in rows.column("line").to_pylist()]
+def _links(ids: np.ndarray, bands: np.ndarray, lines: list[str], band: int) -> list[tuple[int, int]]:
+    """Links that connect what is similar among a bucket's lines. Pairs that share an earlier band are left to that
+    band's bucket; sets are made for lines that need a comparison."""
     where = int(np.flatnonzero(bands[0] == band)[0])
-    label, found = np.arange(len(ids)), []
+    label, found, sets = np.arange(len(ids)), [], {}
+
+    def of(k: int) -> set[str]:
+        if k not in sets:
+            sets[k] = shingles(lines[k])
+        return sets[k]
+
     for i in range(len(ids) - 1):
         apart = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
         apart = apart[(bands[apart, :where] != bands[i, :where]).all(axis=1)]
         for j in apart.tolist():
             if label[j] != label[i]:
-                common = len(sets[i] & sets[j])
-                if common >= SIMILARITY * (len(sets[i]) + len(sets[j]) - common):
+                common = len(of(i) & of(j))
+                if common >= SIMILARITY * (len(of(i)) + len(of(j)) - common):
                     found.append((ids[i], ids[j]))
                     label[label == label[j]] = label[i]
     return found
@@ -210,9 +214,10 @@ def _bucket_links(shared: DataFrame, texts: DataFrame) -> DataFrame:
             yield from links(carry, np.array([0, carry.num_rows]))
 
     def links(table, bounds):
-        band, found = table.column("band").to_numpy(), []
+        band, h, found = table.column("band").to_numpy(), table.column("h").to_numpy(), []
+        bands, lines = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS), table.column("line").to_pylist()
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            found += _links(table.slice(a, b - a), band[a])
+            found += _links(h[a:b], bands[a:b], lines[a:b], band[a])
         left, right = zip(*found) if found else ((), ())
         yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["src", "dst"])
 
