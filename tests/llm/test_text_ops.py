@@ -315,6 +315,32 @@ def test_lm_score(spark, docs):
     assert lmscore.cross_entropy_difference(docs.limit(0), target).count() == 0
 
 
+def test_lm_score_tells_rare_words_apart(spark):
+    """Far more words than the table of frequent ones holds, most of them equally rare: each counts as itself."""
+    pick = random.Random(5)
+    texts = [" ".join(pick.choice([f"w{pick.randrange(7000)}", f"{'ab'[k % 2]}{pick.randrange(3000)}", "the", "of"]) for _ in range(pick.randrange(120))) for k in range(400)]
+    texts += ["solo", "solo solo solo", "the", "", "a1 the a1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = [t.split() for t in texts]
+    assert len({w for own in words for w in own}) > lmscore.FREQUENT
+
+    def model(own):
+        pairs = Counter(p for w in own for p in zip([None, *w[:-1]], w))
+        single, before = Counter(), Counter()
+        for (a, b), n in pairs.items():
+            single[b] += n
+            before[a] += n
+        mass = sum(single.values()) + lmscore.ALPHA * lmscore.VOCABULARY
+        return lambda a, b: -math.log((pairs[a, b] + lmscore.MU * (single[b] + lmscore.ALPHA) / mass) / (before[a] + lmscore.MU))
+
+    background, goal = model(words), model(words[::2])
+    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(docs, docs.where("doc_id % 2 = 0")).collect()}
+    assert len(got) == len(texts)
+    for k, w in enumerate(words):
+        want = sum(goal(a, b) - background(a, b) for a, b in zip([None, *w[:-1]], w)) / max(len(w), 1)
+        assert got[k].n_tokens == len(w) and got[k].score == pytest.approx(want, abs=1e-5)
+
+
 def test_digests_of_the_queries(spark, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     for r in queries.op9_bpe_lexicon(spark, SF_SMALL).collect():
