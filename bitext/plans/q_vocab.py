@@ -11,10 +11,6 @@ from bitext.operators import vocab as V
 from bitext.plans import fixtures as fx
 from bitext.plans import sql_fixtures as S
 
-# Vocabulary size of the BPE queries. The library's default is 32000; a round of
-# training is a few Spark jobs, so the queries keep to a size that takes minutes.
-BPE_VOCAB = 2000
-
 
 def ids_str(c):
     return F.array_join(c, " ")
@@ -90,12 +86,12 @@ def encode_truncate(spark, sf_dir):
     )
 
 
-def train_model(spark, sf_dir, size=BPE_VOCAB):
+def train_model(spark, sf_dir, size=V.VOCAB_SIZE):
     """To the stop rule: ``size`` tokens, or no pair that occurs twice."""
     return V.train_bpe(_word_counts(spark, sf_dir), vocab_size=size)
 
 
-def model_path(spark, sf_dir, size=BPE_VOCAB):
+def model_path(spark, sf_dir, size=V.VOCAB_SIZE):
     """Where the tokenizer for these inputs lives: the shared checkpoint
     folder, keyed by the input files (path, size and time as Spark's reader
     gives them) and the vocabulary size."""

@@ -45,6 +45,25 @@ def test_bpe_matches_library_on_ties(spark, texts):
     assert hf.get_vocab() == model.vocab
 
 
+def test_bpe_queries_train_beyond_a_large_alphabet(spark, tmp_path):
+    """2,200 distinct characters, as in Chinese text, leave room for all merges that occur twice."""
+    from bitext.plans import fixtures as fx
+    from bitext.plans import q_vocab
+
+    letters = [chr(0x4E00 + k) for k in range(2200)]
+    lines = ["".join(letters[k : k + 20]) for k in range(0, 2200, 20)] + ["low lower lowest newer wider new low low"] * 2
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(1, 0, "user", "low newest\nwide"), (1, 1, "assistant", "lower wide\nnewest")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    model = q_vocab.train_model(spark, str(tmp_path))
+    texts = [r.text for r in fx.vocab_corpus(spark, str(tmp_path)).collect()]
+    hf = _hf_train(texts, 32000)
+    assert len(model.merges) > 10 and hf.get_vocab() == model.vocab
+    got = {r.pair_id: (r.src_ids, r.tgt_ids) for r in q_vocab.bpe_encode(spark, str(tmp_path)).collect()}
+    want = {r.pair_id: tuple(" ".join(map(str, hf.encode(t).ids)) for t in (r.src, r.tgt)) for r in fx.line_pairs(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_bpe_train_and_encode_match_library_on_documents(spark):
     from bitext.plans import fixtures as fx
 
