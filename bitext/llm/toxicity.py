@@ -76,6 +76,22 @@ def fit_ftrl(examples: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray
     return own, all_w[own]
 
 
+def choose(known: DataFrame, most: int, bits: int = 16) -> DataFrame:
+    """Rows of ``known(doc_id, ..)`` (distinct ids): as many whole parts by the id's hash as make at most ``most``
+    rows. If the first part alone has more, it is split by the hash's next bits, so that some row is always chosen."""
+    rows = saved(known.withColumn("hash", F.xxhash64("doc_id")), "labels")
+    for done in range(0, 64, bits):
+        parts = rows.withColumn("part", F.shiftrightunsigned("hash", done).bitwiseAND(F.lit((1 << bits) - 1)))
+        chosen = first_values(parts, "part", most)
+        if not chosen.isEmpty():
+            break
+        first = parts.agg(F.min("part")).first()[0]
+        if first is None:
+            break
+        rows = parts.where(F.col("part") == first).drop("part")
+    return chosen
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
     """Fit to at most ``TRAIN_ROWS`` of the labelled documents (``labels(doc_id, <label>)``).
 
@@ -83,8 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.
     has its smallest. Executors make the features; one task fits the bounded sample. Without labels there is no
     weight, and every score is 0.5."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("y"))
-    # 65,536 parts by the id's hash; as many whole parts as fit
-    chosen = first_values(saved(known.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16))), "labels"), "part", TRAIN_ROWS)
+    chosen = choose(known, TRAIN_ROWS)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id", "y")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
     def extract(batches):
@@ -139,11 +154,22 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Learns from ``labels(doc_id, toxic)`` of documents that aren't held out. Repeated rows are scored each, also those
     with a null doc_id (which are never held out, and have no label); an empty table gives no rows; other columns are
     ignored."""
-    model = train(docs, labels.where(~held_out(F.col("doc_id"))))
+    return predict(docs, learn(docs, labels))
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return train(docs, labels.where(~held_out(F.col("doc_id"))))
+
+
+def predict(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are predicted toxic; rows without a doc_id cannot be named and stay."""
-    toxic = saved(toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct(), "toxic")
+    """``docs`` without the documents that are predicted toxic; rows without a doc_id cannot be named and stay. All
+    stay if no model could be learnt."""
+    model = learn(docs, labels)
+    if not len(model[0]):
+        return docs
+    toxic = saved(predict(docs, model).where("predicted = 1").select("doc_id").distinct(), "toxic")
     return docs.join(toxic, "doc_id", "left_anti")

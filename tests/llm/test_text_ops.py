@@ -282,6 +282,21 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_no_model_removes_no_document(spark):
+    docs = spark.createDataFrame([(k, f"alpha beta w{k % 7}") for k in range(50)] + [(None, "x")], "doc_id long, text string")
+    labels = docs.where("doc_id is not null").select("doc_id", F.lit(1).alias("toxic"))
+    for none in (labels.limit(0), labels.withColumn("toxic", F.lit(None).cast("int")), labels.where(toxicity.held_out(F.col("doc_id")))):
+        assert sorted(map(str, toxicity.keep_clean(docs, none).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_a_sample_is_chosen_from_crowded_parts(spark):
+    known = spark.range(400).selectExpr("id as doc_id", "cast(id % 2 as int) as y")
+    for most, bits in ((16, 2), (5, 1), (1000, 2)):
+        chosen = [r.doc_id for r in toxicity.choose(known, most, bits).collect()]
+        assert 0 < len(chosen) == len(set(chosen)) <= most
+    assert toxicity.choose(known.limit(0), 16, 2).count() == 0
+
+
 def test_labels_of_held_out_documents_are_not_learnt(spark):
     docs = spark.createDataFrame([(k, f"alpha beta w{k % 7}") for k in range(200)], "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
