@@ -34,6 +34,17 @@ def node_of(url: Column) -> Column:
     return F.concat(host_of(url), F.when(path == "", "/").otherwise(path), F.regexp_extract(url, r"://[^?#]*(\?[^#]*)", 1))
 
 
+def without_dots(url: Column) -> Column:
+    """The url with the ``.`` and ``..`` segments of its path resolved."""
+    path = path_of(url)
+    parts = F.split(path, "/")
+    up = lambda seen: F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), lambda seen, x: F.when(x == "..", up(seen)).when(x == ".", seen).otherwise(F.concat(seen, F.array(x))))
+    ends = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
+    plain = F.concat(F.regexp_extract(url, r"^([^:/?#]*://[^/?#]*)", 1), F.lit("/"), F.array_join(kept, "/"), ends, F.regexp_extract(url, r"://[^?#]*([?#].*)$", 1))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), plain).otherwise(url)
+
+
 def links(pages: DataFrame) -> DataFrame:
     """``src, dst``: urls of the pages, and of the pages that their canonical links and refresh redirects name, made
     absolute."""
@@ -45,14 +56,16 @@ def links(pages: DataFrame) -> DataFrame:
     scheme = F.regexp_extract("url", r"^([^:/?#]*):", 1)
     root = F.regexp_extract("url", r"^([^:/?#]*://[^/?#]*)", 1)
     folder = F.regexp_extract("url", r"^[^:/?#]*://[^/?#]*([^?#]*/)", 1)
+    own = F.regexp_extract("url", r"^[^:/?#]*://[^/?#]*([^?#]*)", 1)
     target = (
         F.when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
         .when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), F.col("to")))
         .when(F.col("to").startswith("/"), F.concat(root, F.col("to")))
         .when(F.col("to").rlike("^(#|[A-Za-z][A-Za-z0-9+.-]*:)"), F.lit(None))  # the page itself; mailto: and the like
+        .when(F.col("to").startswith("?"), F.concat(root, F.when(own == "", "/").otherwise(own), F.col("to")))
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), F.col("to")))
     )
-    return found.select(F.col("url").alias("src"), target.alias("dst")).where("dst is not null and dst like '%://%'")
+    return found.select(F.col("url").alias("src"), target.alias("dst")).withColumn("dst", without_dots(F.col("dst"))).where("dst is not null and dst like '%://%'")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -183,3 +183,9 @@ def test_pipeline_runs_its_stages(spark):
     toxic = {r.doc_id for r in toxicity.toxicity(docs, labels).where("predicted = 1").collect()}
     kept = {r.doc_id for r in corpus_pipeline.run(spark, SF_SMALL).collect()}
     assert kept and not kept & toxic and kept <= {r.doc_id for r in docs.collect()}
+
+
+def test_relative_targets_resolve_as_in_browsers(spark):
+    want = {"?p=1": "/a/b?p=1", "./x": "/a/x", "../x?q=../y": "/x?q=../y", "../../x": "/x", "/c/./d/../e": "/c/e", "..": "/", ".": "/a/", "x/..": "/a/", "x.y/..z": "/a/x.y/..z"}
+    pages = spark.createDataFrame([(k, "http://h/a/b", f'<link rel="canonical" href="{to}">') for k, to in enumerate(want)], "page_id long, url string, html string")
+    assert sorted(r.dst for r in urlfilter.links(pages).collect()) == sorted(f"http://h{x}" for x in want.values())
