@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import embdedup, lexicon, linededup, lmscore, packing, simhash, simple8b, topk, toxicity, urlfilter
+from . import embdedup, lexicon, linededup, lmscore, packing, simhash, simple8b, topk, toxicity, urlfilter, whitening
 from .common import scratch, table
 
 
@@ -77,6 +77,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the first 4 principal components; a deviation beyond a long is null."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), 4)
+    return rows.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_line_dedup": op2_line_dedup,
@@ -88,6 +94,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_bpe_lexicon": op9_bpe_lexicon,
     "op10_packing": op10_packing,
+    "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
