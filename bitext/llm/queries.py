@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import embdedup, lexicon, linededup, lmscore, packing, simhash, simple8b, topk, toxicity, urlfilter, whitening
+from . import embdedup, lexicon, linededup, lmscore, packing, secretscan, simhash, simple8b, topk, toxicity, urlfilter, whitening
 from .common import scratch, table
 
 
@@ -77,6 +77,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document: the fixed patterns' and what the randomness battery adds."""
+    rows = secretscan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secretscan.KINDS))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, (name, *_) in enumerate(secretscan.KINDS)]
+    return rows.select("doc_id", *counts, F.sha2(secretscan.written(base).cast("binary"), 256).alias("base_sha256"), secretscan.written(F.col("spans")).alias("spans"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors on the first 4 principal components; a deviation beyond a long is null."""
     rows = whitening.whiten(table(spark, sf_dir, "embeddings"), 4)
@@ -94,11 +102,87 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_bpe_lexicon": op9_bpe_lexicon,
     "op10_packing": op10_packing,
+    "op12_secret_scan": op12_secret_scan,
     "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
+def _secret_sql() -> str:
+    """The scan in SQL: patterns on the text, the battery on what they leave, thresholds by class."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def pieces(name: str, source: str, column: str, pattern: str, group: int) -> str:
+        q = quoted(pattern)
+        return f"{name} AS (SELECT r, string_split_regex({column}, {q}) AS p, regexp_extract_all({column}, {q}) AS m, regexp_extract_all({column}, {q}, {group}) AS g FROM {source})"
+
+    def spans(name: str, source: str, least: int) -> str:
+        return f"""{name} AS (
+  SELECT r, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s, length(m[i]) AS n, m[i] AS v
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {source}) WHERE length(g[i]) >= {least})"""
+
+    def hidden(name: str, source: str, least: int) -> str:
+        return f"""{name} AS (
+  SELECT r, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i > len(m) THEN '' WHEN length(g[i]) >= {least} THEN repeat(' ', length(m[i])) ELSE m[i] END), '') AS t FROM {source})"""
+
+    ctes = ["d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)"]
+    left = "d"
+    for k, (name, pattern, group, least) in enumerate(secretscan.KINDS):
+        ctes += [pieces(f"p{k}", "d", "t", pattern, group), spans(f"s{k}", f"p{k}", least), pieces(f"q{k}", left, "t", pattern, group), hidden(f"h{k}", f"q{k}", least)]
+        left = f"h{k}"
+    ctes += [pieces("pk", left, "t", secretscan.KEY, 0), spans("sk", "pk", secretscan.LEAST)]
+    # the battery
+    arms = "".join(f" WHEN regexp_matches(v, {quoted(p)}) THEN {k}" for k, (_, p, _, _) in enumerate(secretscan.ENCODINGS))
+    per = lambda values: "[" + ", ".join(values) + "][e + 1]"
+    alphabets = per([quoted(a) for *_, a in secretscan.ENCODINGS])
+    folds = per([str(f).lower() for _, _, f, _ in secretscan.ENCODINGS])
+    letters = secretscan.DIGITS + secretscan.UPPER + secretscan.LOWER + "+/_-"
+    ctes += [
+        f"k0 AS (SELECT r, s, n, v, CASE{arms} END AS e FROM sk WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]'))",
+        f"k1 AS (SELECT r, s, n, e, {alphabets} AS a, length({alphabets}) AS size, CASE WHEN {folds} THEN lower(v) ELSE translate(v, '-_', '+/') END AS key FROM k0 WHERE e IS NOT NULL)",
+        "k2 AS (SELECT *, list_transform(string_split(key, ''), lambda c: CAST(instr(a, c) AS DOUBLE)) AS v, list_transform(string_split(a, ''), lambda c: CAST(n - length(replace(key, c, '')) AS DOUBLE)) AS o FROM k1)",
+        """k3 AS (
+  SELECT *, size / n::DOUBLE * list_sum(list_transform(o, lambda x: x * x)) - n AS chi,
+         list_transform(v, lambda x: x > size // 2) AS b, list_sum(v) / n AS mean FROM k2)""",
+        """k4 AS (
+  SELECT *, list_sum(list_transform(b, lambda x: x::DOUBLE)) AS ones, list_sum(list_transform(v, lambda x: x * x)) - n * mean * mean AS spread,
+         list_sum(list_transform(range(1, n), lambda i: v[i] * v[i + 1])) - mean * (2 * list_sum(v) - v[1] - v[n]) + (n - 1) * mean * mean AS shared,
+         list_sum(list_transform(range(1, n), lambda i: (b[i] <> b[i + 1])::DOUBLE)) AS cuts FROM k3)""",
+        "k5 AS (SELECT *, 2 * ones * (n - ones) AS pairs2 FROM k4)",
+        """k6 AS (
+  SELECT *, CASE WHEN pairs2 > 0 AND pairs2 > n THEN (cuts - pairs2 / n) / sqrt(pairs2 * (pairs2 - n) / (n::DOUBLE * n * (n - 1))) ELSE 99 END AS runs,
+         CASE WHEN spread > 1e-9 THEN (shared / spread + 1.0 / n) * sqrt(n) ELSE 99 END AS serial FROM k5)""",
+        f"c0 AS (SELECT unnest(string_split({quoted(letters)}, '')) AS c)",
+        "c1 AS (SELECT c, (SELECT sum(length(text) - length(replace(text, c, ''))) FROM documents) AS n FROM c0)",
+        "c2 AS (SELECT translate(c, '-_', '+/') AS c, sum(n) AS n FROM c1 GROUP BY 1)",
+        f"al AS (SELECT unnest(range(0, {len(secretscan.ENCODINGS)})) AS e)",
+        f"un0 AS (SELECT e, {alphabets} AS a, {folds} AS fold FROM al)",
+        "un1 AS (SELECT e, a, (SELECT sum(n) FROM c2 WHERE c2.c = x OR (fold AND c2.c = upper(x)))::DOUBLE AS n FROM (SELECT e, a, fold, unnest(string_split(a, '')) AS x FROM un0))",
+        "un AS (SELECT e, CASE WHEN sum(n) > 0 THEN any_value(length(a)) * sum(n * n) / (sum(n) * sum(n)) - 1 ELSE 0 END AS uneven FROM un1 GROUP BY e)",
+        "k7 AS (SELECT *, (chi - (size - 1) - uneven * n) / sqrt(2.0 * (size - 1) + 4 * uneven * n) AS z, 1 / (1 + 0.2316419 * abs((chi - (size - 1) - uneven * n) / sqrt(2.0 * (size - 1) + 4 * uneven * n))) AS t FROM k6 JOIN un USING (e))",
+        "k8 AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) AS tail FROM k7)",
+        f"""k9 AS (
+  SELECT r, s, n, e * 100 + CAST(floor(2 * log2(n)) AS INTEGER) AS class,
+         CASE WHEN (chi - (size - 1)) / sqrt(2.0 * (size - 1)) <= {secretscan.REJECT} AND abs(runs) <= {secretscan.REJECT} AND abs(serial) <= {secretscan.REJECT}
+              THEN least(floor(-{secretscan.STEPS} * log2(greatest(CASE WHEN z > 0 THEN 1 - tail ELSE tail END, 1e-300))), {secretscan.WORST}) ELSE 0 END AS rarity FROM k8)""",
+        "b0 AS (SELECT class, rarity, count(*) AS n FROM k9 GROUP BY ALL)",
+        "b1 AS (SELECT class, rarity, sum(n) OVER (PARTITION BY class ORDER BY rarity DESC) AS found, sum(n) OVER (PARTITION BY class) AS whole FROM b0)",
+        f"b AS (SELECT class, min(rarity) AS least FROM b1 WHERE rarity > 0 AND whole * pow(2.0, -rarity / {secretscan.STEPS}) <= {secretscan.LEVEL} * found GROUP BY class)",
+        "allspans AS (" + " UNION ALL ".join(f"SELECT r, s, {k} AS kind, n FROM s{k}" for k in range(len(secretscan.KINDS))) + f" UNION ALL SELECT r, s, {len(secretscan.KINDS)}, n FROM k9 JOIN b USING (class) WHERE rarity >= least)",
+    ]
+    kinds = "[" + ", ".join(quoted(name) for name in [*(k[0] for k in secretscan.KINDS), secretscan.ADDED]) + "]"
+    counts = ", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, (name, *_) in enumerate(secretscan.KINDS))
+    said = f"string_agg({kinds}[kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, kind)"
+    return (
+        "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, {counts}, sha256(coalesce({said} FILTER (kind < {len(secretscan.KINDS)}), '')) AS base_sha256, coalesce({said}, '') AS spans
+FROM d LEFT JOIN allspans USING (r) GROUP BY r, doc_id"""
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_secret_scan": _secret_sql(),
     "op1_topk": """
 WITH q AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings

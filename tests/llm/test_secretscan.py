@@ -1,0 +1,148 @@
+"""Secret scans against plain Python: regular expressions, and the battery from its textbook formulas."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import duckdb
+import pytest
+
+from bitext.llm import queries, secretscan
+
+from ..conftest import SF_SMALL
+
+ASSIGN = re.compile(r"""((?:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+PATTERNS = [("assign", ASSIGN, 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
+
+
+def found(text, k):
+    _, pattern, group, least = PATTERNS[k]
+    return [(m.start(), k, m.end()) for m in pattern.finditer(text) if len(m.group(group)) >= least]
+
+
+def encoding(key):
+    if key.isalpha() or not re.search("[A-Za-z]", key):
+        return None
+    for k, (_, pattern, fold, alphabet) in enumerate(secretscan.ENCODINGS):
+        if re.match(pattern, key):
+            return k, key.lower() if fold else key.replace("-", "+").replace("_", "/"), alphabet
+    return None
+
+
+def battery(key, alphabet):
+    n, size = len(key), len(alphabet)
+    expected = n / size
+    chi = sum((key.count(c) - expected) ** 2 / expected for c in alphabet)
+    v = [alphabet.index(c) for c in key]
+    high = [x >= size // 2 for x in v]
+    n1, n0 = sum(high), n - sum(high)
+    mean, serial, runs = sum(v) / n, 99.0, 99.0
+    if n0 and n1 and 2 * n0 * n1 > n:
+        count = 1 + sum(a != b for a, b in zip(high, high[1:]))
+        runs = (count - (2 * n0 * n1 / n + 1)) / math.sqrt(2 * n0 * n1 * (2 * n0 * n1 - n) / (n * n * (n - 1)))
+    spread = sum((x - mean) ** 2 for x in v)
+    if spread > 1e-9:
+        serial = (sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / spread + 1 / n) * math.sqrt(n)
+    return chi, runs, serial
+
+
+def plain(texts):
+    texts = [t or "" for t in texts]
+    base, keys = [], []
+    for row, text in enumerate(texts):
+        base.append(sum((found(text, k) for k in range(3)), []))
+        left = text
+        for k in range(3):
+            for start, _, end in found(left, k):
+                left = left[:start] + " " * (end - start) + left[end:]
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,512}", left):
+            if (e := encoding(m.group())) is not None:
+                keys.append((row, m.start(), m.end(), *e))
+    letters = Counter("".join(texts))
+    uneven = []
+    for _, _, fold, alphabet in secretscan.ENCODINGS:
+        n = [letters[c] + (letters[c.upper()] if fold and c.isalpha() else 0) + (letters["-"] if c == "+" else 0) + (letters["_"] if c == "/" else 0) for c in alphabet]
+        uneven.append(len(alphabet) * sum(x * x for x in n) / sum(n) ** 2 - 1 if sum(n) else 0)
+    scored = []
+    for row, start, end, e, key, alphabet in keys:
+        chi, runs, serial = battery(key, alphabet)
+        free, n = len(alphabet) - 1, len(key)
+        z = (chi - free - uneven[e] * n) / math.sqrt(2 * free + 4 * uneven[e] * n)
+        p = 0.5 * math.erfc(-z / math.sqrt(2))
+        even = (chi - free) / math.sqrt(2 * free) <= secretscan.REJECT and abs(runs) <= secretscan.REJECT and abs(serial) <= secretscan.REJECT
+        scored.append((row, start, end, (e, math.floor(2 * math.log2(n))), min(secretscan.WORST, math.floor(-secretscan.STEPS * math.log2(max(p, 1e-300)))) if even else 0))
+    taken = set()
+    for name in {s[3] for s in scored}:
+        own = [s for s in scored if s[3] == name]
+        limits = [r for r in {s[4] for s in own} if r > 0 and len(own) * 2 ** (-r / secretscan.STEPS) <= secretscan.LEVEL * sum(s[4] >= r for s in own)]
+        taken |= {s[:3] for s in own if limits and s[4] >= min(limits)}
+    for row, start, end in taken:
+        base[row].append((start, 3, end))
+    return [sorted(b) for b in base]
+
+
+def written(spans):
+    return ",".join(f"{['assign', 'access', 'hex', 'random'][k]}:{a}:{b}" for a, k, b in spans)
+
+
+def texts():
+    """Ordinary words, with keys of several encodings, long names, and what must not match."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    out = []
+    for k in range(150):
+        words = [word() for _ in range(60)]
+        raw = rng.randbytes(rng.choice([24, 30, 48, 600]))
+        extra = [base64.b64encode(raw).decode().rstrip("="), base64.b32encode(raw).decode().rstrip("="), raw.hex().upper(), "_".join(words[:6]) + "_1", "ab1" * 12, "abcdefghijklmnopqrstuvwxyz0123456789", f"Api_Key: '{raw.hex()}'", "token=short secret = \"longer.value-1\"", "AKIA" + base64.b32encode(raw[:12]).decode().rstrip("=")]
+        words.insert(20, extra[k % len(extra)])
+        out.append("é日 " * (k % 3) + " ".join(words))
+    return out
+
+
+EDGE = [None, "", "token=" + "a" * 5, "password" + " " * 50 + "=x" * 4, "secret=token: abcdefgh", "passwd:'\n", "ToKeN\":\"" + "A1" * 700, "f" * 2000, "AKIA" * 9, "éé token=abcdef " * 1500, "-" * 100, "=" * 30]
+
+
+def test_scan_equals_plain_python(spark):
+    rows = texts() + EDGE + texts()[:5]
+    df = spark.createDataFrame([(None if k % 7 == 3 else k // 2, t, 0, "x", k) for k, t in enumerate(rows)], "doc_id long, text string, kind int, start string, k int")
+    kinds = secretscan.scan(df.withColumn("left", df.k)).select("doc_id", secretscan.written(secretscan.F.col("spans")).alias("w")).collect()
+    want = Counter((None if k % 7 == 3 else k // 2, written(s)) for k, s in enumerate(plain(rows)))
+    assert Counter((r.doc_id, r.w) for r in kinds) == want
+    assert sum(w.count("random") * n for (_, w), n in want.items()) > 30
+    assert not [w for _, w in want if "random:0:36" in w]
+
+
+def test_empty_table(spark):
+    assert secretscan.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_query_equals_plain_python_and_sql(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()
+    out = {r.doc_id: r for r in queries.op12_secret_scan(spark, SF_SMALL).collect()}
+    for row, spans in zip(docs, plain([r.text for r in docs])):
+        mine, base = out[row.doc_id], [s for s in spans if s[1] < 3]
+        assert mine.spans == written(spans)
+        assert mine.base_sha256 == hashlib.sha256(written(base).encode()).hexdigest()
+        assert [mine.n_assign, mine.n_access, mine.n_hex] == [sum(s[1] == k for s in base) for k in range(3)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_SMALL}/documents.parquet'")
+    rows = con.execute(queries.ORACLE_SQL["op12_secret_scan"]).fetchall()
+    assert sorted(rows) == sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in out.values())
+
+
+def test_sql_equals_plain_python_on_keys():
+    rows = texts() + [t for t in EDGE if t is None or len(t) < 3000]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(rows)))
+    got = {r[0]: r[-1] for r in con.execute(queries.ORACLE_SQL["op12_secret_scan"]).fetchall()}
+    assert got == {k: written(s) for k, s in enumerate(plain(rows))}
+
+
+@pytest.mark.parametrize("z", [-6.0, -3.0, -1.0, 0.0, 0.5, 2.0])
+def test_lower_tail(spark, z):
+    got = spark.range(1).select(secretscan.lower_tail(secretscan.F.lit(z))).first()[0]
+    assert math.isclose(got, 0.5 * math.erfc(-z / math.sqrt(2)), rel_tol=1e-4, abs_tol=1e-7)
