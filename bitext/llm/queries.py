@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import embdedup, lexicon, linededup, lmscore, packing, secretscan, simhash, simple8b, topk, toxicity, urlfilter, whitening
+from . import embdedup, lexicon, lexsearch, linededup, lmscore, packing, secretscan, simhash, simple8b, topk, toxicity, urlfilter, whitening
 from .common import scratch, table
 
 
@@ -77,6 +77,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents for every benchmark item."""
+    return lexsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document: the fixed patterns' and what the randomness battery adds."""
     rows = secretscan.scan(table(spark, sf_dir, "documents"))
@@ -102,6 +107,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_bpe_lexicon": op9_bpe_lexicon,
     "op10_packing": op10_packing,
+    "op11_lexical_search": op11_lexical_search,
     "op12_secret_scan": op12_secret_scan,
     "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
@@ -182,6 +188,23 @@ FROM d LEFT JOIN allspans USING (r) GROUP BY r, doc_id"""
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_lexical_search": r"""
+WITH dt AS (
+  SELECT r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM (SELECT row_number() OVER () AS r, * FROM documents)),
+d AS (SELECT r, doc_id, t, len(t) AS n FROM dt WHERE len(t) > 0),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT docs FROM c) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p GROUP BY term),
+m AS (SELECT r, doc_id, 25 + (75 * n * (SELECT docs FROM c)) // (SELECT total FROM c) AS m FROM d),
+i AS (
+  SELECT j, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS j, * FROM benchmark)),
+s AS (
+  SELECT j, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id) AS n FROM s WHERE score > 0)
+SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM k WHERE n <= 10""",
     "op12_secret_scan": _secret_sql(),
     "op1_topk": """
 WITH q AS (
