@@ -2,9 +2,12 @@
 
 The BPE state is the table of *distinct words* with their frequencies, not
 the corpus: word counting (a partial + final aggregate) shrinks it first.
-Each training round is one aggregation of adjacent triples over that table
-and one pass that applies all merges the round could prove. The learned model (merges, vocabulary) is bounded by
-``vocab_size`` and is the only thing that lives on the driver.
+Pair counts are a running table, changed in each round by the signed
+differences of the words that the round touched. A round takes the words that
+hold one of the most frequent pairs, as many as ``TOUCHED`` occurrences, and
+merges in them for as long as no other pair can come first. The learned model
+(merges, vocabulary) is bounded by ``vocab_size`` and is the only thing that
+lives on the driver.
 
 Rule (P6): ids 0..3 are the specials, then the alphabet in code-point order,
 then one id per merge. Each round merges the adjacent pair with the highest
@@ -18,7 +21,9 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +37,7 @@ from bitext.functions.text import (
     chars,
     pretokenize,
 )
-from bitext.session import cut_lineage
+from bitext.session import cut_lineage, scratch_path
 
 # Special tokens found in the text are matched before pre-tokenization.
 SPECIAL_RE = r"\[(?:PAD|UNK|SOS|EOS)\]"
@@ -41,6 +46,10 @@ ENCODE_CHAR_RE = f"{SPECIAL_RE}|{NON_WS_CHAR_RE}"
 
 VOCAB_SIZE = 32000
 MIN_FREQUENCY = 2
+#: Occurrences of pairs in distinct words that one round of training looks at in one task.
+TOUCHED = 1 << 17
+#: Words whose ids an encoding task remembers.
+MEMO_WORDS = 1 << 19
 
 
 def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -214,38 +223,126 @@ class _Round:
 
 def _merge_ids(ids: list[int], ranks: dict) -> list[int]:
     """Apply merges ``(left, right) -> (rank, merged id)`` to one word: lowest
-    rank first, left to right."""
+    rank first, left to right. A merge is not applied to pairs that a later
+    one makes."""
+    last = -1
     while len(ids) > 1:
-        best = min((ranks[p] for p in zip(ids, ids[1:]) if p in ranks), default=None)
+        best = min((r for p in zip(ids, ids[1:]) if (r := ranks.get(p, (-1,))[0]) > last), default=None)
         if best is None:
             break
         out: list[int] = []
         for i in ids:
-            if out and out[-1] is not None and ranks.get((out[-1], i)) == best:
-                out[-1] = best[1]
+            if out and out[-1] is not None and ranks.get((out[-1], i), (-1,))[0] == best:
+                out[-1] = ranks[out[-1], i][1]
                 out.append(None)  # the merged symbol takes no part again in this pass
             else:
                 out.append(i)
         ids = [i for i in out if i is not None]
+        last = best
     return ids
 
 
+def _keys(ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Each adjacent pair of a column of id arrays as ``left << 32 | right``, and its row."""
+    flat, at = ids.values.to_numpy().astype(np.int64), ids.offsets.to_numpy().astype(np.int64)
+    flat, at = flat[at[0] : at[-1]], at - at[0]
+    row = np.repeat(np.arange(len(ids)), np.diff(at))
+    inner = np.flatnonzero(row[1:] == row[:-1]) if len(row) else np.zeros(0, np.int64)
+    return flat[inner] << 32 | flat[inner + 1], row[inner]
+
+
+def _rows_with(ids: pa.ListArray, pairs: np.ndarray) -> np.ndarray:
+    """Rows that hold one of the sorted ``pairs``."""
+    key, row = _keys(ids)
+    if not len(pairs):
+        return np.zeros(0, np.int64)
+    place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+    return np.unique(row[pairs[place] == key])
+
+
+def _packed(pairs) -> np.ndarray:
+    return np.sort(np.array([left << 32 | right for left, right in pairs], np.int64))
+
+
+def merge_touched(words: list, head: dict, floor: tuple | None, vocab: dict, room: int, least: int) -> list[tuple]:
+    """The merges ``(left, right, id, count)`` that follow, from the words ``(freq, ids)`` that hold a pair of
+    ``head`` (pair -> count in all words).
+
+    Every other pair comes after ``floor`` (-count, left, right), or there is none. A merge makes pairs with its new
+    symbol in these words only, so their counts are exact too, and merging goes on while the first known pair comes
+    before ``floor``. Only a merge into a token that exists already can raise other pairs; what it adds to one raises
+    the bound on all of them."""
+    words = [(n, list(ids)) for n, ids in words]
+    names = {i: t for t, i in vocab.items()}
+    vocab, count, where = dict(vocab), dict(head), {}
+    for k, (_, ids) in enumerate(words):
+        for p in zip(ids, ids[1:]):
+            if p in count:
+                where.setdefault(p, set()).add(k)
+    heap = [(-n, *p) for p, n in count.items()]
+    heapq.heapify(heap)
+    fresh, gained, out, done = set(), {}, [], set()
+    bound = floor
+    while heap and len(out) < room:
+        n, left, right = heapq.heappop(heap)
+        pair = (left, right)
+        if pair not in count or -n != count[pair]:
+            if count.get(pair, 0) > 0:
+                heapq.heappush(heap, (-count[pair], left, right))
+            continue
+        if -n < least or (bound is not None and (n, left, right) >= bound) or pair in done:
+            break
+        token = names[left] + names[right]
+        reused = token in vocab
+        new = vocab.setdefault(token, len(vocab))
+        names[new] = token
+        if not reused:
+            fresh.add(new)
+        out.append((left, right, new, -n))
+        done.add(pair)
+        before = dict()
+        for k in where.pop(pair, ()):
+            freq, ids = words[k]
+            merged = _merge_ids(ids, {pair: (0, new)})
+            words[k] = (freq, merged)
+            for sign, seq in ((-freq, ids), (freq, merged)):
+                for p in zip(seq, seq[1:]):
+                    if p in count or p[0] in fresh or p[1] in fresh or floor is None:
+                        before.setdefault(p, count.get(p, 0))
+                        count[p] = count.get(p, 0) + sign
+                        if sign > 0:
+                            where.setdefault(p, set()).add(k)
+                    elif reused:
+                        gained[p] = gained.get(p, 0) + sign
+        count.pop(pair, None) if count.get(pair, 0) <= 0 else None
+        for p, was in before.items():
+            if count.get(p, 0) > was:
+                heapq.heappush(heap, (-count[p], *p))
+        if reused and floor is not None and gained:
+            bound = min(bound, (floor[0] - max(0, max(gained.values())), -1, -1))
+    return out
+
+
 def train_bpe(
     words: DataFrame,
     vocab_size: int = VOCAB_SIZE,
     min_frequency: int = MIN_FREQUENCY,
     max_merges: int | None = None,
-    candidates_per_round: int = 1024,
+    candidates_per_round: int = 8192,
+    touched: int = TOUCHED,
     on_round=None,
 ) -> BpeModel:
     """Exact BPE training over a ``(word, freq)`` table.
 
-    A round counts adjacent triples once (partial + final aggregate); pair
-    counts are their sums. The head of the pair counts and the triples around
-    it, both bounded by ``candidates_per_round``, tell which merges of the
-    round provably equal merging one at a time (:class:`_Round`). All of them
-    are applied in one pass over the word table, which is written to the
-    shared checkpoint folder every round.
+    ``pairs(l, r, n, w)`` (count, and occurrences in distinct words) runs along with the words. A round reads its head
+    (at most ``candidates_per_round`` pairs), selects the words that hold one of its first pairs, as many as have
+    ``touched`` occurrences together, and merges in them (:func:`merge_touched`, one task of bounded size). Then one
+    pass applies the merges to the words that hold them and counts what changed; the differences are added to
+    ``pairs``. Both tables are written to the shared checkpoint folder every round.
+
+    A first pair with more occurrences than ``touched`` is merged from counts alone: adjacent triples are counted
+    where they are, and the head and the triples around it tell which merges of the round provably equal merging one
+    at a time (:class:`_Round`).
     """
     words = cut_lineage(words.select("word", F.col("freq").cast("long").alias("freq")))
     spark = words.sparkSession
@@ -261,70 +358,155 @@ def train_bpe(
     state = joined.groupBy("word", "freq").agg(
         F.array_sort(F.collect_list(F.struct("_pos", "id"))).getField("id").cast("array<int>").alias("ids")
     )
-    state = cut_lineage(state.where(F.size("ids") > 1).select("freq", "ids"))
-    rounds = 0
+    state = _written(state.where(F.size("ids") > 1).select("freq", "ids"), "words")
+    pairs = state.select("freq", F.explode(adjacent_pairs(F.col("ids"))).alias("p"))
+    pairs = pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("freq").alias("n"), F.count(F.lit(1)).alias("w"))
+    pairs = _written(pairs, "pairs")
     floor = max(min_frequency, 1)
+    rounds = 0
 
-    def room() -> bool:
-        return len(model.vocab) < vocab_size and (max_merges is None or len(model.merges) < max_merges)
-
-    def applied(ranks: dict):
-        def run(batches):
-            for pdf in batches:
-                pdf["ids"] = [_merge_ids(list(w), ranks) if any(p in ranks for p in zip(w, w[1:])) else w for w in map(list, pdf["ids"])]
-                yield pdf[[len(w) > 1 for w in pdf["ids"]]]  # words left with one symbol drop out
-
-        return run
-
-    while room():
-        # -1 stands before a word's first symbol.
-        at = F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("i")
-        triple = state.select("freq", "ids", at).select(
-            "freq",
-            F.when(F.col("i") > 1, F.expr("ids[i - 2]")).otherwise(F.lit(-1)).alias("x"),
-            F.expr("ids[i - 1]").alias("a"),
-            F.expr("ids[i]").alias("b"),
-        )
-        counts = triple.groupBy("x", "a", "b").agg(F.sum("freq").alias("n")).persist()
-        pairs = counts.groupBy("a", "b").agg(F.sum("n").alias("n"))
-        head = [(r["a"], r["b"], r["n"]) for r in pairs.where(F.col("n") >= floor).orderBy(F.desc("n"), "a", "b").limit(candidates_per_round).collect()]
-        if not head:
-            counts.unpersist()
+    def room() -> int:
+        left = vocab_size - len(model.vocab)
+        return left if max_merges is None else min(left, max_merges - len(model.merges))
+
+    while room() > 0:
+        top = [tuple(r) for r in pairs.where(F.col("n") >= floor).orderBy(F.desc("n"), "l", "r").limit(candidates_per_round + 1).collect()]
+        if not top:
+            break
+        size, used = 0, 0
+        while size < min(len(top), candidates_per_round) and used + top[size][3] <= touched:
+            used += top[size][3]
+            size += 1
+        if size:
+            limit = None if size == len(top) else (-top[size][2], top[size][0], top[size][1])
+            if limit is None:  # pairs below the least frequency are left out of the head
+                limit = (-(floor - 1), -1, -1) if floor > 1 else None
+            found = _next_merges(state, {(x, y): n for x, y, n, _ in top[:size]}, limit, model.vocab, room(), floor)
+        else:
+            found = _counted_merges(state, top[:candidates_per_round], len(top) <= candidates_per_round, model.vocab, room(), floor)
+        if not found:
             break
-        least = head[-1][2]
-        keys = spark.createDataFrame([(left, right) for left, right, _ in head], "l int, r int")
-        near = (
-            counts.where("x >= 0")
-            .join(F.broadcast(keys.select(F.col("l").alias("a"), F.col("r").alias("b"), F.lit(1).alias("_ab"))), ["a", "b"], "left")
-            .join(F.broadcast(keys.select(F.col("l").alias("x"), F.col("r").alias("a"), F.lit(1).alias("_xa"))), ["x", "a"], "left")
-            .where(F.coalesce("_ab", "_xa").isNotNull() & ((F.col("n") >= least) | F.col("_ab").isNotNull() & F.col("_xa").isNotNull()))
-        )
-        triples = {(r["x"], r["a"], r["b"]): r["n"] for r in near.select("x", "a", "b", "n").collect()}
-        counts.unpersist()
-        plan = _Round(head, triples, complete=len(head) < candidates_per_round)
         ranks: dict = {}
-        while room() and (found := plan.next()) is not None:
-            (left, right), n = found
-            if n < floor:
-                break
+        for left, right, new_id, n in found:
             token = inv[left] + inv[right]
-            reused = token in model.vocab
-            new_id = model.vocab.setdefault(token, len(model.vocab))
+            model.vocab.setdefault(token, new_id)
             inv[new_id] = token
             model.merges.append((left, right, new_id, n))
             ranks[left, right] = (len(ranks), new_id)
-            plan.merge((left, right), new_id)
-            if reused:  # pairs with an existing token may grow
-                break
-        if not ranks:
-            break
         rounds += 1
         if on_round is not None:
             on_round(rounds, len(ranks))
-        state = cut_lineage(state.mapInPandas(applied(ranks), "freq long, ids array<int>"))
+        both = _written(state.mapInArrow(_applied(ranks), "freq long, ids array<int>, l int, r int, n long, w long"), "merged")
+        state = both.where("ids is not null").select("freq", "ids")
+        changed = pairs.unionByName(both.where("ids is null").select("l", "r", "n", "w"))
+        pairs = _written(changed.groupBy("l", "r").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).where("n > 0"), "pairs")
     return model
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _applied(ranks: dict):
+    """A pass over ``(freq, ids)``: the words after the merges (those left with one symbol drop out), and in rows
+    without ids what each pair has gained or lost."""
+    pairs = _packed(ranks)
+
+    def run(batches):
+        for batch in batches:
+            column, freq = batch.column("ids"), batch.column("freq").to_numpy()
+            rows = _rows_with(column, pairs)
+            rest = np.ones(batch.num_rows, bool)
+            rest[rows] = False
+            n, w = {}, {}
+            kept_freq, kept = [], []
+            for row, ids in zip(rows.tolist(), column.take(pa.array(rows)).to_pylist()):
+                merged, f = _merge_ids(ids, ranks), int(freq[row])
+                for sign, seq in ((-1, ids), (1, merged)):
+                    for p in zip(seq, seq[1:]):
+                        n[p] = n.get(p, 0) + sign * f
+                        w[p] = w.get(p, 0) + sign
+                if len(merged) > 1:
+                    kept_freq.append(f)
+                    kept.append(merged)
+            same, names = batch.filter(pa.array(rest)), ["freq", "ids", "l", "r", "n", "w"]
+            none = lambda k, kind: pa.nulls(k, kind)
+            for f, ids in ((same.column("freq"), same.column("ids")), (pa.array(kept_freq, pa.int64()), pa.array(kept, pa.list_(pa.int32())))):
+                k = len(f)
+                yield pa.record_batch([f, ids.cast(pa.list_(pa.int32())), none(k, pa.int32()), none(k, pa.int32()), none(k, pa.int64()), none(k, pa.int64())], names)
+            moved = [p for p in n if n[p] or w[p]]
+            k = len(moved)
+            yield pa.record_batch(
+                [none(k, pa.int64()), none(k, pa.list_(pa.int32())), pa.array([p[0] for p in moved], pa.int32()), pa.array([p[1] for p in moved], pa.int32()), pa.array([n[p] for p in moved], pa.int64()), pa.array([w[p] for p in moved], pa.int64())],
+                names,
+            )
+
+    return run
+
+
+def _next_merges(state: DataFrame, head: dict, floor: tuple | None, vocab: dict, room: int, least: int) -> list[tuple]:
+    """Merges found by merging in the words that hold a pair of ``head``, which meet in one task."""
+    pairs = _packed(head)
+    sent = state.sparkSession.sparkContext.broadcast((head, vocab))  # both bounded
+
+    def select(batches):
+        for batch in batches:
+            yield batch.take(pa.array(_rows_with(batch.column("ids"), pairs)))
+
+    def merge(batches):
+        words = [(f, ids) for batch in batches for f, ids in zip(batch.column("freq").to_pylist(), batch.column("ids").to_pylist())]
+        found = merge_touched(words, sent.value[0], floor, sent.value[1], room, least)
+        columns = list(zip(*found)) if found else [(), (), (), ()]
+        yield pa.record_batch([pa.array(range(len(found)), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64())))], ["rank", "l", "r", "id", "n"])
+
+    touched = state.mapInArrow(select, "freq long, ids array<int>").repartition(1)
+    rows = touched.mapInArrow(merge, "rank int, l int, r int, id int, n long").collect()  # at most ``room`` merges
+    return [(r["l"], r["r"], r["id"], r["n"]) for r in sorted(rows, key=lambda r: r["rank"])]
+
+
+def _counted_merges(state: DataFrame, top: list[tuple], complete: bool, vocab: dict, room: int, least: int) -> list[tuple]:
+    """Merges proved from the counts of adjacent triples."""
+    spark = state.sparkSession
+    head = [(x, y, n) for x, y, n, _ in top[:1024]]
+    complete = complete and len(top) <= 1024
+    # -1 stands before a word's first symbol.
+    at = F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("i")
+    triple = state.select("freq", "ids", at).select(
+        "freq",
+        F.when(F.col("i") > 1, F.expr("ids[i - 2]")).otherwise(F.lit(-1)).alias("x"),
+        F.expr("ids[i - 1]").alias("a"),
+        F.expr("ids[i]").alias("b"),
+    )
+    counts = triple.groupBy("x", "a", "b").agg(F.sum("freq").alias("n"))
+    last = head[-1][2]
+    keys = spark.createDataFrame([(left, right) for left, right, _ in head], "l int, r int")
+    near = (
+        counts.where("x >= 0")
+        .join(F.broadcast(keys.select(F.col("l").alias("a"), F.col("r").alias("b"), F.lit(1).alias("_ab"))), ["a", "b"], "left")
+        .join(F.broadcast(keys.select(F.col("l").alias("x"), F.col("r").alias("a"), F.lit(1).alias("_xa"))), ["x", "a"], "left")
+        .where(F.coalesce("_ab", "_xa").isNotNull() & ((F.col("n") >= last) | F.col("_ab").isNotNull() & F.col("_xa").isNotNull()))
+    )
+    triples = {(r["x"], r["a"], r["b"]): r["n"] for r in near.select("x", "a", "b", "n").collect()}
+    plan, vocab, out = _Round(head, triples, complete=complete), dict(vocab), []
+    names = {i: t for t, i in vocab.items()}
+    while len(out) < room and (found := plan.next()) is not None:
+        (left, right), n = found
+        if n < least:
+            break
+        token = names[left] + names[right]
+        reused = token in vocab
+        new_id = vocab.setdefault(token, len(vocab))
+        names[new_id] = token
+        out.append((left, right, new_id, n))
+        plan.merge((left, right), new_id)
+        if reused:  # pairs with an existing token may grow
+            break
+    return out
+
+
 def save_model(spark: SparkSession, model: BpeModel, path: str) -> None:
     """A4 save: ``vocab(token, id)`` and ``merges(rank, left_id, right_id,
     id, count)`` as Parquet (bounded by ``vocab_size``)."""
@@ -406,31 +588,46 @@ def encode_chars(
 
 def bpe_encode_column(model: BpeModel, text: Column) -> Column:
     """BPE-encode a text column (no template) with an Arrow-batched pandas
-    UDF. The model is bounded by ``vocab_size`` and shipped once per task; a
-    per-batch memo means each distinct word is merged once per batch."""
-    vocab = dict(model.vocab)
-    ranks = {(a, b): (r, c) for r, (a, b, c, _n) in enumerate(model.merges)}
-    specials = {t: vocab[t] for t in SPECIALS}
+    UDF, without a shuffle. The model is bounded by ``vocab_size`` and broadcast; a
+    memo of at most ``MEMO_WORDS`` words means that a task merges its distinct words once."""
+    ranks = {(a, b): (r, c) for r, (a, b, c, _n) in reversed(list(enumerate(model.merges)))}  # the first of equal merges
+    sent = SparkSession.active().sparkContext.broadcast((dict(model.vocab), ranks))
+    memo: dict[str, list[int]] = {}  # a task's own copy
 
     # Pre-tokenization stays on the JVM (regexp_extract_all); the UDF gets the
     # word arrays and only applies merges.
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
     def encode_words(words: pd.Series) -> pd.Series:
-        memo: dict[str, list[int]] = {}
-
-        def enc(ws):
-            out = []
-            for w in ws:
-                if w in specials:
-                    out.append([specials[w]])
-                    continue
-                got = memo.get(w)
-                if got is None:
-                    got = memo[w] = _merge_ids([vocab.get(ch, UNK_ID) for ch in w], ranks)
-                out.append(got)
-            return out
-
-        return words.map(lambda ws: enc(ws) if ws is not None else None)
+        vocab, ranks = sent.value
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+
+        def ids(w: str) -> list[int]:
+            got = memo.get(w)
+            if got is None:
+                got = memo[w] = [vocab[w]] if w in SPECIALS else _encoded([vocab.get(ch, UNK_ID) for ch in w], ranks)
+            return got
+
+        return words.map(lambda ws: [ids(w) for w in ws] if ws is not None else None)
 
     words = F.regexp_extract_all(text, F.lit(ENCODE_WORD_RE), 0)
     return F.flatten(encode_words(words))
+
+
+def _encoded(ids: list[int], ranks: dict) -> list[int]:
+    """A word's ids with the merge of lowest rank applied for as long as there is one; all its occurrences at once,
+    left to right."""
+    while len(ids) > 1:
+        rank, new = min((ranks[p] for p in zip(ids, ids[1:]) if p in ranks), default=(None, None))
+        if rank is None:
+            break
+        out, k = [], 0
+        while k < len(ids):
+            if k + 1 < len(ids) and ranks.get((ids[k], ids[k + 1])) == (rank, new):
+                out.append(new)
+                k += 2
+            else:
+                out.append(ids[k])
+                k += 1
+        ids = out
+    return ids

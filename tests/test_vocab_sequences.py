@@ -1,7 +1,11 @@
 """BPE (P6, P7, J2) against the public `tokenizers` library; sequence
 operators (P8, P11, P12, B6-B9)."""
 
+import random
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bitext.operators import sequences as Q
@@ -64,6 +68,58 @@ def test_bpe_queries_train_beyond_a_large_alphabet(spark, tmp_path):
     assert got == want
 
 
+def _rounds(spark, texts, size, **kw):
+    """The model, and how many merges each round found."""
+    seen = []
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    return V.train_bpe(V.word_counts(df), vocab_size=size, on_round=lambda r, n: seen.append(n), **kw), seen
+
+
+@pytest.mark.parametrize("touched", [4, 40, 400, 1 << 17])
+def test_bpe_rounds_of_any_size_match_library(spark, touched):
+    """Rounds of counted triples only, of both kinds, and one round of touched words."""
+    rng = random.Random(touched)
+    texts = [" ".join("".join(rng.choices("abcde", k=rng.randint(1, 9))) for _ in range(30)) for _ in range(8)]
+    size = 30 if touched < 400 else 80
+    model, seen = _rounds(spark, texts, size, touched=touched, candidates_per_round=16 if touched < 400 else 8192)
+    assert _hf_train(texts, size).get_vocab() == model.vocab
+    assert touched < 1 << 17 or len(seen) == 1
+
+
+def test_full_vocabulary_and_all_pairs_match_library(spark):
+    """32,000 tokens or no pair that occurs twice, over all texts; then every pair encoded, whole."""
+    from bitext.plans import fixtures as fx
+
+    from .conftest import SF_SMALL
+
+    texts = [r.text for r in fx.vocab_corpus(spark, SF_SMALL).collect()]
+    model, seen = _rounds(spark, texts, V.VOCAB_SIZE, touched=1 << 14)
+    hf = _hf_train(texts, V.VOCAB_SIZE)
+    assert hf.get_vocab() == model.vocab and len(seen) > 3
+    hf.post_processor = None
+    rows = fx.line_pairs(spark, SF_SMALL).select("src", V.bpe_encode_column(model, F.col("src")).alias("ids")).collect()
+    assert rows and all(r.ids == hf.encode(r.src, add_special_tokens=False).ids for r in rows)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 4), st.text("abc", min_size=2, max_size=9)), min_size=1, max_size=12, unique_by=lambda x: x[1]), st.integers(1, 30))
+def test_merging_in_touched_words_equals_merging_in_all(words, size):
+    """With a head of some pairs, the merges found are the first of those of merging in all words."""
+    letters = {c: i for i, c in enumerate("abc")}
+    rows = [(n, [letters[c] for c in w]) for n, w in words]
+    counts = {}
+    for n, ids in rows:
+        for p in zip(ids, ids[1:]):
+            counts[p] = counts.get(p, 0) + n
+    order = sorted(((-n, *p) for p, n in counts.items()))
+    whole = V.merge_touched(rows, counts, None, letters, 40, 1)
+    head = {p: counts[p] for _, *p in order[:size] for p in [tuple(p)]}
+    floor = order[size] if size < len(order) else None
+    touched = [(n, ids) for n, ids in rows if any(p in head for p in zip(ids, ids[1:]))]
+    part = V.merge_touched(touched, head, floor, letters, 40, 1)
+    assert part and part == whole[: len(part)]
+
+
 def test_bpe_train_and_encode_match_library_on_documents(spark):
     from bitext.plans import fixtures as fx
 
