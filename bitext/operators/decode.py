@@ -5,17 +5,21 @@ All sentences advance together, one Spark step per decode position:
 1. live beams ``(sent_id, beam, score, seq)`` meet their candidate
    next tokens through ``expand(live)`` (a join), which returns
    ``logp`` already normalised per beam;
-2. top ``k`` per beam by (logp desc, token asc)              (E1)
+2. top ``k`` per beam by (logp desc, token asc)              (E1); log-probs
+   are whole numbers of 2^-32 from here on, so that equal sums are equal
+   whatever order they were added in, and ties go by token and parent
 3. proposals ending in [EOS] are finished with
    ``score / len(seq)^alpha``                                (H8, G2)
 4. the rest are cut to ``k`` per sentence by (score desc, parent beam, rank),
    which is Python's stable sort over the reference's loop order (E2, F5);
 5. a sentence stops once it has >= k finished hypotheses.
 
-Each step is one job that writes the step's finished hypotheses and next
-live beams (carrying the sentence's running finished count) to the shared
-checkpoint folder; the next step reads the live rows back, so lineage stays
-one step deep and a lost executor costs at most one step. At the end each
+``UNROLL`` steps are one job: all of it stays in the partitioning by sentence
+(beams and candidates are co-partitioned), so a step needs no shuffle and hands
+its rows to the next one inside the task. The job writes the steps' finished
+hypotheses and live beams (carrying the sentence's running finished count) to
+the shared checkpoint folder; the next job reads the live rows back, so a lost
+executor costs at most these steps. At the end each
 sentence takes its best finished hypothesis (ties: earlier step, beam, rank),
 else its best live beam of the latest step that had one (G3: a step that
 leaves nothing keeps the previous live set).
@@ -40,6 +44,10 @@ ALPHA_EVAL = 0.7
 ALPHA_INFER = 1.0
 MAX_STEPS = 100
 MAX_STEPS_INFER = 128
+#: Scores are whole numbers of this part of a nat.
+FIXED = 2.0**32
+#: Decode positions that one job advances.
+UNROLL = 8
 
 
 def length_normalised(score: Column, length: Column, alpha: float) -> Column:
@@ -47,6 +55,11 @@ def length_normalised(score: Column, length: Column, alpha: float) -> Column:
     return score / F.pow(length.cast("double"), F.lit(alpha))
 
 
+def fixed_point(logp: Column) -> Column:
+    """A log-probability as a whole number: what sums differ in by rounding is far below half a unit."""
+    return F.floor(logp * FIXED + 0.5).cast("long")
+
+
 def start_beams(sents: DataFrame, key: str = "sent_id") -> DataFrame:
     return sents.select(
         F.col(key).alias("sent_id"),
@@ -70,26 +83,27 @@ def beam_search(
     alpha: float = ALPHA_EVAL,
     max_steps: int = MAX_STEPS,
     num_partitions: int | None = None,
-    check_every: int = 4,
+    unroll: int = UNROLL,
 ) -> DataFrame:
     """Run the search. ``starts``: (sent_id, beam, score, seq). ``expand``
     maps live beams to (sent_id, beam, score, seq, token, logp) candidates,
     passing through any other live column (the running count ``nf``).
 
-    Each step is one job that writes this step's finished hypotheses and the
-    next live beams (with the sentence's running finished count ``nf``) to
-    the shared checkpoint folder; the next step reads the live rows back.
+    ``unroll`` steps are one job that writes their finished hypotheses and
+    live beams (with the sentence's running finished count ``nf``) to the
+    shared checkpoint folder; the next job reads the live rows back.
 
     Returns one row per sentence: sent_id, seq, score, kind ('finished' or
     'live'), step."""
     k = beam_size
     nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     # The step number is a column, so every step's code is the same and is compiled once.
-    live = starts.withColumns({"nf": F.lit(0).cast("long"), "step": F.lit(0)}).repartition(nparts, "sent_id")
+    live = starts.withColumns({"score": fixed_point(F.col("score")), "nf": F.lit(0).cast("long"), "step": F.lit(0)}).repartition(nparts, "sent_id")
     # Step 0: the start beams, the answer of a sentence that has no candidate.
     steps = [live.select("sent_id", "step", "beam", F.lit(0).alias("rank"), "seq", "score", F.lit("live").alias("kind"), "nf")]
+    held: list[DataFrame] = []
     for step in range(1, max_steps + 1):
-        cands = expand(live)
+        cands = expand(live).withColumn("logp", fixed_point(F.col("logp")))
         w_beam = Window.partitionBy("sent_id", "beam").orderBy(F.desc("logp"), "token")
         top = (
             cands.withColumn("rank", F.row_number().over(w_beam))
@@ -119,40 +133,35 @@ def beam_search(
             F.when(is_eos, F.col("beam")).otherwise(F.col("_r") - 1).alias("beam"),
             F.when(is_eos, F.col("rank")).otherwise(F.lit(0)).alias("rank"),
             "seq",
-            F.when(is_eos, length_normalised(F.col("score"), F.size("seq"), alpha))
-            .otherwise(F.col("score"))
-            .alias("score"),
+            "score",
             F.when(is_eos, F.lit("finished")).otherwise(F.lit("live")).alias("kind"),
             F.col("_nf").alias("nf"),
         )
-        # Reliable checkpoint to spark.checkpoint.dir: cuts lineage to one
-        # step and survives a lost executor; cheaper per step than a Parquet
-        # write + read (no file listing or schema inference), measured about
-        # 1.5x faster over 24 steps.
-        out = cut_lineage(out)
-        steps.append(out)
-        live = out.where(F.col("kind") == "live").select("sent_id", "beam", "score", "seq", "nf", "step")
-        # Emptiness probe every few steps: a step over no live beams is a
-        # cheap no-op, a probe is a job.
-        if step % check_every == 0 and live.limit(1).count() == 0:
-            break
-    # One table of all steps' rows (a few per sentence and step), so the final
-    # selection plans one scan instead of one branch per step.
-    res = cut_lineage(reduce(DataFrame.unionByName, steps))
-    w_fin = Window.partitionBy("sent_id").orderBy(F.desc("score"), "step", "beam", "rank")
-    best_fin = (
-        res.where(F.col("kind") == "finished").withColumn("_r", F.row_number().over(w_fin)).where(F.col("_r") == 1)
-    )
-    # No finished hypothesis -> best live beam of the latest step that had one.
-    w_live = Window.partitionBy("sent_id").orderBy(F.desc("step"))
-    best_live = (
-        res.where((F.col("kind") == "live") & (F.col("beam") == 0))
-        .join(best_fin.select("sent_id"), "sent_id", "left_anti")
-        .withColumn("_r", F.row_number().over(w_live))
-        .where(F.col("_r") == 1)
-    )
-    cols = ["sent_id", "seq", "score", "kind", "step"]
-    return best_fin.select(*cols).unionByName(best_live.select(*cols))
+        held.append(out.persist())  # planned, not run: the steps after it in the same job read it
+        live = held[-1].where(F.col("kind") == "live").select("sent_id", "beam", "score", "seq", "nf", "step")
+        if len(held) == unroll or step == max_steps:
+            # Reliable checkpoint to spark.checkpoint.dir: one job runs these
+            # steps, and lineage is never longer than they are.
+            done = cut_lineage(reduce(DataFrame.unionByName, held))
+            for df in held:
+                df.unpersist()
+            held = []
+            steps.append(done)
+            live = done.where((F.col("kind") == "live") & (F.col("step") == step)).select("sent_id", "beam", "score", "seq", "nf", "step")
+            live = live.repartition(nparts, "sent_id")
+            if live.isEmpty():
+                break
+    # All steps' rows (a few per sentence and step) meet their sentence once; one
+    # window takes its best finished hypothesis, else (G3) its best live beam of the
+    # latest step that had one.
+    res = reduce(DataFrame.unionByName, steps).where((F.col("kind") == "finished") | (F.col("beam") == 0)).repartition(nparts, "sent_id")
+    ended = F.col("kind") == "finished"
+    nats = F.col("score") / FIXED
+    res = res.withColumn("score", F.when(ended, length_normalised(nats, F.size("seq"), alpha)).otherwise(nats))
+    of_ended = lambda c: F.when(ended, F.col(c))
+    best = Window.partitionBy("sent_id").orderBy(ended.desc(), of_ended("score").desc(), of_ended("step"), F.desc("step"), "beam", "rank")
+    res = res.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1)
+    return cut_lineage(res.select("sent_id", "seq", "score", "kind", "step"))
 
 
 def _carry(live: DataFrame) -> list[str]:
@@ -160,16 +169,21 @@ def _carry(live: DataFrame) -> list[str]:
     return ["sent_id", "beam", "score", "seq"] + [c for c in ("nf", "step") if c in live.columns]
 
 
-def lm_expander(lm_cands: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """K1-only expansion: the candidates of a beam are the observed
+def lm_expander(lm_cands: DataFrame, k: int = BEAM) -> Callable[[DataFrame], DataFrame]:
+    """K1-only expansion: the candidates of a beam are the ``k`` best observed
     successors of its last token, ``lm_cands(prev, token, logp)`` already
-    normalised over those successors. The table (observed bigrams, at most
-    V^2) is broadcast only after its size is checked."""
-    table = broadcast_if_small(lm_cands)
+    normalised over all of them. No beam can use more than ``k`` (E1), so the
+    others are cut before the join: it meets one row for each last token, an
+    array of ``k`` successors."""
+    order = Window.partitionBy("prev").orderBy(fixed_point(F.col("logp")).desc(), "token")
+    top = lm_cands.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    lists = cut_lineage(top.groupBy("prev").agg(F.collect_list(F.struct("token", "logp")).alias("_best")))
+    table = broadcast_if_small(lists)
 
     def expand(live: DataFrame) -> DataFrame:
         l2 = live.withColumn("prev", F.element_at("seq", -1))
-        return l2.join(table, "prev").select(*_carry(live), "token", "logp")
+        j = l2.join(table, "prev").select(*_carry(live), F.explode("_best").alias("_c"))
+        return j.select(*_carry(live), "_c.token", "_c.logp")
 
     return expand
 

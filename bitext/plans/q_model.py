@@ -213,7 +213,8 @@ def _evaluated(spark, sf_dir):
     from bitext.operators.sequences import detokenize
 
     tr = Translator(spark, sf_dir)
-    res = tr.decode(tr.test.select(F.col("pair_id").alias("sent_id"), "src_ids"), repeat=None, block=3, alpha=D.ALPHA_EVAL, max_steps=D.MAX_STEPS)
+    # evaluation decodes without the n-gram block and without the repeat penalty
+    res = tr.decode(tr.test.select(F.col("pair_id").alias("sent_id"), "src_ids"), repeat=None, block=None, alpha=D.ALPHA_EVAL, max_steps=D.MAX_STEPS)
     hyp = detokenize(res, "sent_id", "seq", tr.vocab, "evaluate").withColumnRenamed("text", "hyp")
     test = q_corpus.split_corpus(spark, sf_dir).where(F.col("split") == "test")
     refs = test.select(F.col("pair_id").alias("sent_id"), "pos", "src", F.col("tgt").alias("ref"))
@@ -286,23 +287,24 @@ lsm AS (SELECT prev, next AS token, logp - mx - ln(sum(exp(logp - mx)) OVER (PAR
 
 def beam_sql(starts: str, expansion: str, steps: int, k: int, alpha: float) -> str:
     """Beam search as one recursive query: the rows of a step are its finished
-    hypotheses and next live beams. ``starts``: (sent_id, seq). ``expansion``
+    hypotheses and next live beams; scores are whole numbers of 2^-32. ``starts``: (sent_id, seq). ``expansion``
     gives (step, sent_id, beam, score, seq, nf0, token, logp) from the live
     rows of ``beam``; it must stop at the last step."""
     return f""",
 beam(step, sent_id, kind, beam, rk, score, seq, nf) AS (
-  SELECT 0, sent_id, 'live', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE), seq, CAST(0 AS HUGEINT) FROM ({starts})
+  SELECT 0, sent_id, 'live', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), seq, CAST(0 AS HUGEINT) FROM ({starts})
   UNION ALL
   SELECT step + 1, sent_id, CASE WHEN token = 3 THEN 'finished' ELSE 'live' END, CASE WHEN token = 3 THEN beam ELSE r - 1 END,
-         CASE WHEN token = 3 THEN rk ELSE 0 END, CASE WHEN token = 3 THEN score / pow(len(seq), {alpha}) ELSE score END, seq, nf
+         CASE WHEN token = 3 THEN rk ELSE 0 END, score, seq, nf
   FROM (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY token = 3, score DESC, beam, rk) AS r,
                nf0 + sum(CASE WHEN token = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY sent_id) AS nf
         FROM (SELECT step, sent_id, beam, nf0, token, score + logp AS score, list_append(seq, token) AS seq, rk
               FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, beam ORDER BY logp DESC, token) AS rk
-                    FROM ({expansion})) WHERE rk <= {k}))
+                    FROM (SELECT * REPLACE (CAST(floor(logp * {D.FIXED} + 0.5) AS BIGINT) AS logp) FROM ({expansion}))) WHERE rk <= {k}))
   WHERE token = 3 OR (r <= {k} AND nf < {k})),
-fin AS (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, step, beam, rk) AS r FROM beam WHERE kind = 'finished'),
-liv AS (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY step DESC) AS r FROM beam
+fin AS (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, step, beam, rk) AS r
+        FROM (SELECT * REPLACE (score / {D.FIXED} / pow(len(seq), {alpha}) AS score) FROM beam WHERE kind = 'finished')),
+liv AS (SELECT * REPLACE (score / {D.FIXED} AS score), row_number() OVER (PARTITION BY sent_id ORDER BY step DESC) AS r FROM beam
         WHERE kind = 'live' AND beam = 0 AND sent_id NOT IN (SELECT sent_id FROM fin)),
 decoded AS (SELECT sent_id, seq, score, kind, step FROM fin WHERE r = 1 UNION ALL SELECT sent_id, seq, score, kind, step FROM liv WHERE r = 1)"""
 
@@ -374,7 +376,7 @@ tab{r} AS (SELECT s, t, c / sum(c) OVER (PARTITION BY s) AS prob FROM c{r})"""
 
 
 def evaluate_sql() -> str:
-    """The blocked decode, detokenised, joined to its references, and scored by
+    """The decode of evaluation, detokenised, joined to its references, and scored by
     the metrics' own SQL."""
     from bitext.plans import q_metrics
 
@@ -382,7 +384,7 @@ def evaluate_sql() -> str:
         recursive(BASE)
         + em_sql(EM_ROUNDS)
         + candidates_sql("SELECT pair_id AS sent_id, src_ids FROM test")
-        + beam_sql("SELECT sent_id, [2] AS seq FROM sents", translation_expansion(100, block=3), 100, 4, 0.7)
+        + beam_sql("SELECT sent_id, [2] AS seq FROM sents", translation_expansion(100), 100, 4, 0.7)
         + detokenize_sql()
         + """,
 hr AS (SELECT d.sent_id, d.plain AS hyp, s.tgt AS ref, s.src, s.pos FROM dtext d JOIN splits s ON s.pair_id = d.sent_id AND s.split = 'test')"""

@@ -53,7 +53,32 @@ QUERIES = {
     "stream_translate": stream_translate,
 }
 
+def translate_sql() -> str:
+    """The requests that pass the filter, encoded and decoded as in inference."""
+    from bitext.operators import vocab as V
+    from bitext.plans import q_model as M
+
+    return (
+        M.recursive(M.BASE)
+        + M.em_sql(M.EM_ROUNDS)
+        + ",\n" + S.REQUESTS.strip("\n")
+        + f""",
+quits AS (SELECT session_id, min(request_id) AS q FROM requests WHERE lower(text) IN ('q', 'exit') GROUP BY session_id),
+asked AS (SELECT r.session_id || ':' || r.request_id AS rid, r.session_id, r.request_id, {S.strip('r.text')} AS text
+          FROM requests r LEFT JOIN quits USING (session_id)
+          WHERE (quits.q IS NULL OR r.request_id < quits.q) AND r.text IS NOT NULL AND {S.strip('r.text')} <> ''),
+asked_t AS (SELECT rid, toks, unnest(range(1, len(toks) + 1)) AS k FROM (SELECT rid, regexp_extract_all(text, {S.q(V.ENCODE_CHAR_RE)}) AS toks FROM asked)),
+asked_e AS (SELECT t.rid, list(coalesce(v.id, 1) ORDER BY t.k) AS ids FROM asked_t t LEFT JOIN vocab v ON v.token = t.toks[t.k] GROUP BY t.rid)"""
+        + M.candidates_sql("SELECT a.rid AS sent_id, list_concat([2], coalesce(e.ids, []::INTEGER[]), [3]) AS src_ids FROM asked a LEFT JOIN asked_e e USING (rid)")
+        + M.beam_sql("SELECT sent_id, [2] AS seq FROM sents", M.translation_expansion(128, penalty=10.0), 128, 4, 1.0)
+        + M.detokenize_sql()
+        + """ SELECT session_id, request_id, asked.text AS request, array_to_string(seq, ' ') AS seq, round(score, 6) AS score, kind, step, dtext.text AS translation
+FROM decoded JOIN dtext USING (sent_id) JOIN asked ON asked.rid = sent_id"""
+    )
+
+
 ORACLE = {
+    "stream_translate": translate_sql(),
     "stream_metrics": """SELECT event_type AS run, CAST(day(ts) AS INTEGER) AS epoch, count(*) AS n_batches,
     round(avg(ln(value / 100.0 + 1.0)), 6) AS train_loss, CAST(sum(user_id + 1) AS BIGINT) AS n_tokens FROM events GROUP BY 1, 2""",
     "stream_pair_filter": q_corpus.ORACLE["pair_clean"].replace(
