@@ -25,6 +25,9 @@ BANDS, ROWS = 10, 4
 #: Bits of the map by which the second scan knows candidates (8 MB; what is let through in error costs time only).
 MAP_BITS = 26
 
+#: In place of an empty bin's smallest hash.
+EMPTY = np.uint32(0xFFFFFFFF)
+
 #: Lines in a part of a bucket.
 TILE = 512
 
@@ -86,17 +89,19 @@ def band_keys(body: np.ndarray, at: np.ndarray) -> np.ndarray:
     hashes *= np.uint64(0x9E3779B97F4A7C15)
     hashes ^= hashes >> np.uint64(29)
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
-    line = np.repeat(np.arange(n), np.diff(at))
-    place = np.arange(len(text)) - at[line]
-    whole = np.diff(at)[line]
-    inside = (place + SHINGLE <= whole) | (place == 0)
-    line, hashes = line[inside], hashes[inside]
-    slot = line * bins + ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-    least = np.full(n * bins, np.uint32(0xFFFFFFFF), np.uint32)
-    np.minimum.at(least, slot, hashes.astype(np.uint32))
-    full = np.zeros(n * bins, bool)
-    full[slot] = True
-    least, full = least.reshape(n, bins), full.reshape(n, bins)
+    # a shingle starts at each character of a line but its last ones; a line's first character always starts one
+    inside = np.ones(len(text), bool)
+    for k in range(1, SHINGLE):
+        late = at[1:] - k
+        inside[late[late > at[:-1]]] = False
+    starts = segment_sums(inside.view(np.uint8), at)
+    hashes = hashes[inside]
+    slot = np.repeat(np.arange(n, dtype=np.int64) * bins, starts)
+    slot += ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).view(np.int64)
+    least = np.full(n * bins, EMPTY, np.uint32)
+    np.minimum.at(least, slot, np.minimum(hashes.astype(np.uint32), EMPTY - np.uint32(1)))
+    least = least.reshape(n, bins)
+    full = least != EMPTY
     pick = np.random.default_rng(13)
     empty_rows, empty_bins = np.nonzero(~full)
     values = least.copy()
@@ -121,6 +126,17 @@ def shingles(line: str) -> set[str]:
     return {line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
 
 
+def whole_buckets(members: DataFrame) -> DataFrame:
+    """``band, h`` of the buckets with two lines or more, from ``members(band, at, h)`` (``at``: the band's place). Of
+    buckets with the same lines only the one whose band comes first is kept: near-copies share most of their bands, and
+    would meet in each of them."""
+    buckets = members.groupBy("band").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("band")
+    shared = saved(members.join(saved(buckets, "buckets"), "band").select("band", "at", "h").distinct(), "bucket-lines")
+    named = shared.groupBy("band").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y"))
+    first = named.groupBy("n", "x", "y").agg(F.min(F.struct("at", "band")).alias("b")).select(F.col("b.band").alias("band"))
+    return shared.select("band", "h").join(saved(first, "first-buckets"), "band", "left_semi")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
@@ -251,9 +267,8 @@ def line_groups(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([part.column("doc_id").take(take), part.column("text_hash").take(take), pa.array(number), pa.array(ids), bands], ["doc_id", "text_hash", "line_no", "h", "bands"])
 
     lines = saved(keyed.mapInArrow(scan, "doc_id long, text_hash long, line_no long, h long, bands array<long>"), "lines")
-    members = lines.select("h", F.explode("bands").alias("band"))
-    buckets = saved(members.groupBy("band").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("band"), "buckets")
-    shared = saved(members.join(buckets, "band").select("band", "h").distinct(), "bucket-lines")
+    members = lines.select("h", F.posexplode("bands").alias("at", "band"))
+    shared = saved(whole_buckets(members), "shared-lines")
     texts = saved(_texts(keyed, shared.select("h").distinct()), "line-texts")
     parts = connected_components(_bucket_links(shared, texts))
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "line_no")

@@ -372,3 +372,23 @@ def test_digests_of_the_queries(spark, library):
         ids = ids_of(library, texts[r.doc_id]) + [1]
         assert (r.doc_tokens, r.ids_crc32) == (len(ids), crc(ids[r.start : r.start + r.length]))
     assert sum(r.length for r in pieces) >= 0.95 * 2048 * len({r.sequence_id for r in pieces})
+
+
+def test_buckets_with_the_same_lines_are_compared_once(spark):
+    """Of equal buckets the one of the first band stays; others stay, and single lines have none."""
+    rows = [(10, 0, 1), (10, 0, 2), (20, 1, 1), (20, 1, 2), (30, 2, 1), (30, 2, 2), (30, 2, 3), (40, 3, 9), (50, 0, 3), (50, 0, 4), (50, 0, 4), (60, 4, 4), (60, 4, 3)]
+    got = linededup.whole_buckets(spark.createDataFrame(rows, "band long, at int, h long")).collect()
+    assert sorted(tuple(r) for r in got) == [(10, 1), (10, 2), (30, 1), (30, 2), (30, 3), (50, 3), (50, 4)]
+
+
+def test_band_keys_equal_a_plain_form(spark):
+    """Lines that differ share few bands, equal shingle sets share all."""
+    lines = ["the same line of text again and again", "the same line of text again and again", "short", "x", "another line with nothing in common 日本語 été"]
+    body = np.frombuffer("".join(lines).encode(), np.uint8)
+    at = np.append(0, np.cumsum([len(x.encode()) for x in lines]))
+    keys = linededup.band_keys(body, at)
+    assert keys.shape == (5, linededup.BANDS) and (keys[0] == keys[1]).all()
+    assert not (keys[0] == keys[4]).any() and not (keys[2] == keys[3]).any()
+    # lines of a shingle or more do not depend on what they are read with
+    alone = [linededup.band_keys(body[a:b], np.array([0, b - a])) for a, b in zip(at[:-1], at[1:])]
+    assert (np.concatenate(alone) == keys)[[0, 1, 4]].all()
