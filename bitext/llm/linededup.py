@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, segment_sums, slices, utf8
+from .common import saved, slices, utf8
 from .components import connected_components
 
 #: Characters of a shingle, and the similarity from which lines are near-duplicates.
@@ -25,6 +25,8 @@ BANDS, ROWS = 10, 4
 #: Bits of the map by which the second scan knows candidates (8 MB; what is let through in error costs time only).
 MAP_BITS = 26
 
+#: Bytes of text at a time: what is made of them stays in a core's cache.
+SLICE_BYTES = 1 << 18
 #: In place of an empty bin's smallest hash.
 EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -57,7 +59,7 @@ def line_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     inner = word[1:][(line[1:] == line[:-1]) & (word[1:] > 0)]
     keep[inner - 1] = True
     body = np.where(gap, np.uint8(0x20), raw)[keep]
-    offsets = segment_sums(keep.view(np.uint8), np.append(begins, len(raw)))
+    offsets = np.add.reduceat(keep.view(np.uint8), begins, dtype=np.int64)
     own = np.flatnonzero(offsets)
     return body, np.append(0, np.cumsum(offsets[own])), row[own], number[own]
 
@@ -77,10 +79,9 @@ def band_keys(body: np.ndarray, at: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros((0, BANDS), np.int64)
     text = np.frombuffer(body.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    size = 1 + (text >= 0x80).astype(np.int8) + (text >= 0x800) + (text >= 0x10000)
-    chars = np.zeros(len(text) + 1, np.int64)
-    np.cumsum(size, out=chars[1:])
-    at = np.searchsorted(chars, at)
+    if len(text) != len(body):  # characters instead of bytes
+        first = ((body & 0xC0) != 0x80).view(np.uint8)
+        at = np.append(0, np.cumsum(np.add.reduceat(first, at[:-1], dtype=np.int64)))
     odd = np.random.default_rng(11).integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     hashes = np.zeros(len(text), np.uint64)
     for k in range(SHINGLE):
@@ -94,7 +95,7 @@ def band_keys(body: np.ndarray, at: np.ndarray) -> np.ndarray:
     for k in range(1, SHINGLE):
         late = at[1:] - k
         inside[late[late > at[:-1]]] = False
-    starts = segment_sums(inside.view(np.uint8), at)
+    starts = np.add.reduceat(inside.view(np.uint8), at[:-1], dtype=np.int64)
     hashes = hashes[inside]
     slot = np.repeat(np.arange(n, dtype=np.int64) * bins, starts)
     slot += ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).view(np.int64)
@@ -126,12 +127,24 @@ def shingles(line: str) -> set[str]:
     return {line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def whole_buckets(members: DataFrame) -> DataFrame:
-    """``band, h`` of the buckets with two lines or more, from ``members(band, at, h)`` (``at``: the band's place). Of
-    buckets with the same lines only the one whose band comes first is kept: near-copies share most of their bands, and
-    would meet in each of them."""
-    buckets = members.groupBy("band").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("band")
-    shared = saved(members.join(saved(buckets, "buckets"), "band").select("band", "at", "h").distinct(), "bucket-lines")
+def whole_buckets(lines: DataFrame) -> DataFrame:
+    """``band, h`` of the buckets with two lines or more, from ``lines(h, bands)``, where a line may occur without its
+    bands. Of buckets with the same lines only the one whose band comes first is kept: near-copies share most of their
+    bands, and would meet in each of them. A bit map keeps nearly all bands of one line from being shuffled again."""
+    buckets = lines.select("h", F.explode("bands").alias("band")).groupBy("band").agg(F.min("h").alias("x"), F.max("h").alias("y"))
+    buckets = saved(buckets.where("x <> y").select("band"), "buckets")
+    sent = bit_map(buckets, "band")
+
+    def members(batches):
+        for batch in batches:
+            bands, h = batch.column("bands"), batch.column("h").to_numpy()
+            values, sizes = bands.flatten().to_numpy(), np.diff(bands.offsets.to_numpy())
+            own = np.flatnonzero(on_map(sent.value, values))
+            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.record_batch([pa.array(values[own]), pa.array(place[own].astype(np.int32)), pa.array(np.repeat(h, sizes)[own])], ["band", "at", "h"])
+
+    found = lines.select("h", "bands").mapInArrow(members, "band long, at int, h long")
+    shared = saved(found.join(buckets, "band").distinct(), "bucket-lines")
     named = shared.groupBy("band").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y"))
     first = named.groupBy("n", "x", "y").agg(F.min(F.struct("at", "band")).alias("b")).select(F.col("b.band").alias("band"))
     return shared.select("band", "h").join(saved(first, "first-buckets"), "band", "left_semi")
@@ -141,26 +154,36 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``h, line, bands`` of the lines in ``wanted(h)``, from another scan of the documents. A bit map of fixed size
-    keeps nearly all other lines from being shuffled."""
-    slot = F.pmod("h", F.lit(1 << MAP_BITS))
-    maps = wanted.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+def bit_map(rows: DataFrame, column: str):
+    """A broadcast map of fixed size that has a bit set for each value (long) of the column."""
+    slot = F.pmod(column, F.lit(1 << MAP_BITS))
+    maps = rows.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     bits = np.zeros(((1 << MAP_BITS) // 32768 + 2, 4096), np.uint8)  # 4 KB for each of 2,048 parts
     for r in maps:
         bits[r.part] = np.frombuffer(r.bits, np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def on_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the values' bits are set: all that were put on the map, and few others."""
+    slot = values & ((1 << MAP_BITS) - 1)
+    # numbers and places as bitmap_bucket_number and bitmap_bit_position give them
+    number = np.where(slot > 0, 1 + (slot - 1) // 32768, 0)
+    place = np.where(slot > 0, (slot - 1) % 32768, 0)
+    return (bits[number, place // 8] >> (place % 8).astype(np.uint8)) & 1 == 1
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``h, line, bands`` of the lines in ``wanted(h)``, from another scan of the documents. A bit map of fixed size
+    keeps nearly all other lines from being shuffled."""
+    sent = bit_map(wanted, "h")
 
     def find(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 body, at, _, _ = line_slices(part.column("text"))
                 ids = line_ids(body, at)
-                slot = ids & ((1 << MAP_BITS) - 1)
-                # numbers and places as bitmap_bucket_number and bitmap_bit_position give them
-                number = np.where(slot > 0, 1 + (slot - 1) // 32768, 0)
-                place = np.where(slot > 0, (slot - 1) % 32768, 0)
-                hit = (sent.value[number, place // 8] >> (place % 8).astype(np.uint8)) & 1 == 1
+                hit = on_map(sent.value, ids)
                 yield _banded(body, at, ids, hit, texts=True)
 
     found = docs.select("text").mapInArrow(find, "h long, line string, bands array<long>")
@@ -256,7 +279,7 @@ def line_groups(docs: DataFrame) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 body, at, row, number = line_slices(part.column("text"))
                 ids = line_ids(body, at)
                 banded = _banded(body, at, ids, np.ones(len(ids), bool))
@@ -267,8 +290,7 @@ def line_groups(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([part.column("doc_id").take(take), part.column("text_hash").take(take), pa.array(number), pa.array(ids), bands], ["doc_id", "text_hash", "line_no", "h", "bands"])
 
     lines = saved(keyed.mapInArrow(scan, "doc_id long, text_hash long, line_no long, h long, bands array<long>"), "lines")
-    members = lines.select("h", F.posexplode("bands").alias("at", "band"))
-    shared = saved(whole_buckets(members), "shared-lines")
+    shared = saved(whole_buckets(lines), "shared-lines")
     texts = saved(_texts(keyed, shared.select("h").distinct()), "line-texts")
     parts = connected_components(_bucket_links(shared, texts))
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "line_no")

@@ -376,8 +376,8 @@ def test_digests_of_the_queries(spark, library):
 
 def test_buckets_with_the_same_lines_are_compared_once(spark):
     """Of equal buckets the one of the first band stays; others stay, and single lines have none."""
-    rows = [(10, 0, 1), (10, 0, 2), (20, 1, 1), (20, 1, 2), (30, 2, 1), (30, 2, 2), (30, 2, 3), (40, 3, 9), (50, 0, 3), (50, 0, 4), (50, 0, 4), (60, 4, 4), (60, 4, 3)]
-    got = linededup.whole_buckets(spark.createDataFrame(rows, "band long, at int, h long")).collect()
+    rows = [(1, [10, 20, 30]), (2, [10, 20, 30]), (3, [50, 60, 30]), (9, [40, 41, 42]), (4, [50, 60, 7]), (4, []), (4, [50, 60, 7])]
+    got = linededup.whole_buckets(spark.createDataFrame(rows, "h long, bands array<long>")).collect()
     assert sorted(tuple(r) for r in got) == [(10, 1), (10, 2), (30, 1), (30, 2), (30, 3), (50, 3), (50, 4)]
 
 
