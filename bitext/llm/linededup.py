@@ -311,9 +311,11 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     count = groups.groupBy("doc_id", "text_hash").agg(F.min((~F.col("kept")).cast("int")).alias("all_lost"))
     lost = lost.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
     verdict = count.join(lost, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
-    verdict = saved(verdict.select(F.struct(F.col("doc_id"), F.col("text_hash")).alias("_llm_key"), F.struct("all_lost", "lost").alias("_llm_lost")), "lost-lines")
+    verdict = saved(verdict.select(F.struct(F.col("doc_id"), F.col("text_hash")).alias("key"), F.struct("all_lost", "lost").alias("lost")), "lost-lines")
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    joined = docs.withColumn("_llm_key", key).dropDuplicates(["_llm_key"]).join(verdict, "_llm_key", "left")
-    rest = F.expr("concat_ws('\n', transform(filter(transform(split(text, '\n'), (x, i) -> struct(x as x, cast(i as bigint) as i)), y -> not array_contains(_llm_lost.lost, y.i)), y -> y.x))")
-    kept = joined.where("_llm_lost is null or _llm_lost.all_lost = 0")
-    return kept.withColumn("text", F.when(F.col("_llm_lost").isNull(), F.col("text")).otherwise(rest)).select(docs.columns)
+    # columns of the documents stay inside one struct, so that they may have any names
+    keyed = docs.select(F.struct("*").alias("row"), key.alias("key")).dropDuplicates(["key"])
+    joined = keyed.join(verdict, "key", "left").where("lost is null or lost.all_lost = 0")
+    rest = F.expr("concat_ws('\n', transform(filter(transform(split(row.text, '\n'), (x, i) -> struct(x as x, cast(i as bigint) as i)), y -> not array_contains(lost.lost, y.i)), y -> y.x))")
+    text = F.when(F.col("lost").isNull(), F.col("row.text")).otherwise(rest)
+    return joined.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import saved, slices, utf8, words
 from .components import connected_components, star_edges
@@ -62,8 +63,8 @@ def fingerprint_rows(raw: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarra
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a signed long) of each row of ``docs(doc_id, text)``.
+def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id") -> DataFrame:
+    """``<key>, fp`` (the fingerprint's bits as a signed long) of each row of ``docs(<key>, text)``.
 
     The whole text is lower-cased (A-Z only) and cut into words at ASCII white space; a bit is 1 if it is set in over
     half of the XXH64 hashes (seed 42) of the shingles, repeats included. Fewer words than ``shingle`` are one
@@ -73,9 +74,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 fp = fingerprint_rows(*utf8(part.column("text")), shingle).view(np.int64)
-                yield pa.record_batch([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.record_batch([part.column(key), pa.array(fp)], [key, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(compute, "doc_id long, fp long")
+    rows = docs.select(F.col(key).cast("long").alias(key) if key == "doc_id" else key, "text")
+    return rows.mapInArrow(compute, StructType([rows.schema[key], StructField("fp", LongType())]))
 
 
 def distance(a, b) -> np.ndarray:
@@ -177,6 +179,15 @@ def hamming_forest(fps: DataFrame, bits: int) -> DataFrame:
     return routed.groupBy("leaf").applyInArrow(compare, "src long, dst long")
 
 
+def _components(rows: DataFrame, bits: int, best) -> DataFrame:
+    """``fp, best``: the least ``best`` of the rows of each fingerprint's component."""
+    distinct = saved(rows.groupBy("fp").agg(F.min(best).alias("own")), "distinct-fingerprints")
+    parts = connected_components(hamming_forest(distinct, bits))
+    named = distinct.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "own", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("own").alias("best"))
+    return named.join(least, "component").select("fp", "best")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
     """``doc_id, fp, component_id`` of each row of ``docs(doc_id, text)``: ``component_id`` is the smallest doc_id that
     links of ``bits`` differing bits or fewer reach from the row's fingerprint.
@@ -185,17 +196,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
     row of the component has one: then that is null. Repeated rows are returned each; texts without words share the
     fingerprint 0; an empty table gives no rows; other columns are ignored."""
     rows = saved(fingerprints(docs, shingle), "fingerprints")
-    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct-fingerprints")
-    parts = connected_components(hamming_forest(distinct, bits))
-    named = distinct.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "doc", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    owner = named.join(least, "component").select("fp", "component_id")
+    owner = _components(rows, bits, F.col("doc_id")).select("fp", F.col("best").alias("component_id"))
     return rows.join(owner, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: the one with the smallest doc_id, once. Rows
-    without a doc_id cannot be named by the decision and stay."""
-    found = near_duplicates(docs, shingle, bits)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """``docs`` with one document of each group of near-duplicates: the one with the smallest doc_id (null ids last),
+    then the smallest hash of its text, once.
+
+    A document is a doc_id and a text: rows with the same doc_id and different texts are told apart, a row that repeats
+    both goes. Texts without words are one group. An empty table stays empty; columns may have any names."""
+    keyed = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text")).alias("key"))
+    rows = saved(fingerprints(keyed.select("key", F.col("row.text").alias("text")), shingle, "key"), "fingerprints")
+    best = _components(rows, bits, F.col("key")).select(F.col("best").alias("key")).distinct()
+    return keyed.join(best, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -52,28 +52,32 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), (np.concatenate(found) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
 
-def fit_ftrl(examples: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """FTRL-proximal with a rate of its own for each coordinate. Returns the non-zero weights' indices and values;
-    index 0 (``1 << FEATURE_BITS``) is the bias, which has no L1."""
-    n = (1 << FEATURE_BITS) + 1
-    z, g2, bias = np.zeros(n), np.zeros(n), n - 1
-    l1 = np.full(n, L1)
-    l1[bias] = 0
-
-    def weights(i):
-        return np.where(np.abs(z[i]) <= l1[i], 0.0, -(z[i] - np.sign(z[i]) * l1[i]) / ((BETA + np.sqrt(g2[i])) / ALPHA + L2))
-
-    for epoch in range(EPOCHS):
-        for k in np.random.default_rng(epoch).permutation(len(examples)):
-            i = np.append(examples[k], bias)
-            w = weights(i)
-            p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
-            g = p - labels[k]
-            z[i] += g - (np.sqrt(g2[i] + g * g) - np.sqrt(g2[i])) / ALPHA * w
-            g2[i] += g * g
-    all_w = weights(np.arange(n))
-    own = np.flatnonzero(all_w)
-    return own, all_w[own]
+class Ftrl:
+    """FTRL-proximal with a rate of its own for each coordinate. The last coordinate (``1 << FEATURE_BITS``) is the bias,
+    which has no L1. Its state is two arrays of 4 M floats, however many examples it sees."""
+
+    def __init__(self, bits: int = FEATURE_BITS):
+        self.z, self.g2 = np.zeros((1 << bits) + 1, np.float32), np.zeros((1 << bits) + 1, np.float32)
+        self.bias = 1 << bits
+
+    def weights(self, i: np.ndarray) -> np.ndarray:
+        z, g2 = self.z[i].astype(np.float64), self.g2[i].astype(np.float64)
+        l1 = np.where(i == self.bias, 0.0, L1)
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(g2)) / ALPHA + L2))
+
+    def update(self, features: np.ndarray, label: int) -> None:
+        i = np.append(features, self.bias)
+        w, g2 = self.weights(i), self.g2[i].astype(np.float64)
+        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        self.z[i] += g - (np.sqrt(g2 + g * g) - np.sqrt(g2)) / ALPHA * w
+        self.g2[i] += g * g
+
+    def non_zero(self):
+        """The weights that are not 0 and their indices, block by block."""
+        for k in range(0, self.bias + 1, 1 << 18):
+            i = np.arange(k, min(k + (1 << 18), self.bias + 1))
+            w = self.weights(i)
+            yield i[w != 0], w[w != 0]
 
 
 def choose(known: DataFrame, most: int, bits: int = 16) -> DataFrame:
@@ -96,7 +100,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.
     """Fit to at most ``TRAIN_ROWS`` of the labelled documents (``labels(doc_id, <label>)``).
 
     Null labels and ids are left out, a document with several labels counts as 1 if any is, one with several texts
-    has its smallest. Executors make the features; one task fits the bounded sample. Without labels there is no
+    has its smallest. Executors make the features; one task fits the bounded sample, which it reads as a stream, so that
+    its memory does not follow the texts' lengths. Without labels there is no
     weight, and every score is 0.5."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("y"))
     chosen = choose(known, TRAIN_ROWS)
@@ -111,19 +116,33 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.
                 own = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array((key & ((1 << FEATURE_BITS) - 1)).astype(np.int32)))
                 yield pa.record_batch([part.column("doc_id"), part.column("y"), own], ["doc_id", "y", "f"])
 
-    def fit(sample: pa.Table) -> pa.Table:
-        sample = sample.sort_by("doc_id")
-        f = sample.column("f").combine_chunks()
-        flat, at = f.values.to_numpy(), f.offsets.to_numpy()
-        at = at[: len(f) + 1]
-        i, w = fit_ftrl([flat[a:b] for a, b in zip(at[:-1], at[1:])], sample.column("y").to_numpy())
-        return pa.table([pa.array(i), pa.array(w)], ["i", "w"])
-
-    made = sample.mapInArrow(extract, "doc_id long, y int, f array<int>")
-    fitted = made.groupBy(F.lit(0).alias("g")).applyInArrow(lambda t: fit(t.select(["doc_id", "y", "f"])), "i long, w double").toPandas()
+    def fit(batches):
+        model = Ftrl()
+        for batch in batches:
+            f, y = batch.column("f"), batch.column("y").to_numpy()
+            flat, at = f.values.to_numpy(), f.offsets.to_numpy()
+            for k in range(batch.num_rows):
+                model.update(flat[at[k] : at[k + 1]], y[k])
+        for i, w in model.non_zero():
+            yield pa.record_batch([pa.array(i), pa.array(w)], ["i", "w"])
+
+    # every pass over the sample has an order of its own; one task reads the passes as a stream
+    made = saved(sample.mapInArrow(extract, "doc_id long, y int, f array<int>"), "examples")
+    passes = made.withColumn("epoch", F.explode(F.array(*[F.lit(k) for k in range(EPOCHS)])))
+    stream = passes.repartition(1).sortWithinPartitions("epoch", F.xxhash64("epoch", "doc_id"), "doc_id").select("y", "f")
+    fitted = stream.mapInArrow(fit, "i long, w double").toPandas()  # what L1 leaves
     return fitted["i"].to_numpy(np.int64), fitted["w"].to_numpy(np.float64)
 
 
+def chances(texts: pa.Array, dense: np.ndarray) -> np.ndarray:
+    """The chance of the label by the weights ``dense``, of each text."""
+    rows, found = features(texts)
+    hit = dense[found] != 0
+    key = np.unique((rows[hit] << FEATURE_BITS) | found[hit])
+    total = np.bincount(key >> FEATURE_BITS, dense[key & ((1 << FEATURE_BITS) - 1)], len(texts)) + dense[-1]
+    return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``doc_id, score`` (0 to 1) of each row of ``docs(doc_id, text)``: the whole text is read, and each feature
     counts once. Null and empty texts have the bias alone."""
@@ -134,11 +153,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         dense[sent.value[0]] = sent.value[1]
         for batch in batches:
             for part in slices(batch, "text"):
-                rows, found = features(part.column("text"))
-                hit = dense[found] != 0
-                key = np.unique((rows[hit] << FEATURE_BITS) | found[hit])
-                total = np.bincount(key >> FEATURE_BITS, dense[key & ((1 << FEATURE_BITS) - 1)], part.num_rows) + dense[-1]
-                yield pa.record_batch([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], ["doc_id", "score"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(chances(part.column("text"), dense))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(compute, "doc_id long, score double")
 
@@ -166,10 +181,18 @@ def predict(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are predicted toxic; rows without a doc_id cannot be named and stay. All
-    stay if no model could be learnt."""
+    """``docs`` without the documents that are predicted toxic, each row judged by its own text: rows with a null or
+    repeated doc_id, null and empty texts too. All stay if no model could be learnt; an empty table stays empty."""
     model = learn(docs, labels)
     if not len(model[0]):
         return docs
-    toxic = saved(predict(docs, model).where("predicted = 1").select("doc_id").distinct(), "toxic")
-    return docs.join(toxic, "doc_id", "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        dense = np.zeros((1 << FEATURE_BITS) + 1, np.float32)
+        dense[sent.value[0]] = sent.value[1]
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(chances(part.column("text"), dense) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -392,3 +392,72 @@ def test_band_keys_equal_a_plain_form(spark):
     # lines of a shingle or more do not depend on what they are read with
     alone = [linededup.band_keys(body[a:b], np.array([0, b - a])) for a, b in zip(at[:-1], at[1:])]
     assert (np.concatenate(alone) == keys)[[0, 1, 4]].all()
+
+
+def plain_features(text):
+    """Hashed features of a text by the definition: words, stems, word pairs, and pairs with one word skipped."""
+    words, mask = re.findall("[a-z0-9\x80-\U0010ffff]+", (text or "").lower()), 2**64 - 1
+    h = lambda w, seed: xxhash.xxh64_intdigest(w.encode(), seed)
+    mixed = [h(w, 1) for w in words] + [h(w[:n], n) for n in toxicity.STEMS for w in words if len(w) > n]
+    for skip, odd in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9)):
+        mixed += [(h(a, 1) * odd & mask) ^ (h(b, 1) + skip & mask) for a, b in zip(words, words[skip:])]
+    return sorted({(m * 0x9E3779B97F4A7C15 & mask) >> (64 - toxicity.FEATURE_BITS) for m in mixed})
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="abcdefghB é日.-\n", max_size=60)), max_size=5))
+def test_toxicity_features_equal_the_definition(texts):
+    rows, found = toxicity.features(pa.array(texts, pa.string()))
+    assert [sorted(set(found[rows == k].tolist())) for k in range(len(texts))] == [plain_features(t) for t in texts]
+
+
+def test_ftrl_equals_a_plain_form():
+    """Weights of the published update, coordinate by coordinate, from a dictionary."""
+    pick = random.Random(7)
+    examples = [(sorted({pick.randrange(40) for _ in range(8)} | ({63} if k % 3 == 0 else set())), int(k % 3 == 0)) for k in range(300)]
+    model, z, g2, bias = toxicity.Ftrl(6), {}, {}, 64
+
+    def weight(i):
+        l1, own = (0 if i == bias else toxicity.L1), z.get(i, 0.0)
+        return 0.0 if abs(own) <= l1 else -(own - math.copysign(l1, own)) / ((toxicity.BETA + math.sqrt(g2.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for features, y in examples:
+        model.update(np.array(features), y)
+        w = {i: weight(i) for i in [*features, bias]}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for i in w:
+            before = g2.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / toxicity.ALPHA * w[i]
+            g2[i] = before + g * g
+    found = {int(i): w for i, w in zip(*map(np.concatenate, zip(*model.non_zero())))}
+    assert 63 in found and found.keys() == {i for i in range(65) if weight(i)}
+    assert all(math.isclose(w, weight(i), rel_tol=1e-3) for i, w in found.items())
+
+
+def test_stages_tell_rows_apart_by_id_and_text(spark):
+    """Null and repeated ids, repeated rows, an empty table, and columns named as the stages' own."""
+    words = [" ".join(f"w{n}{k}" for n in range(40)) for k in range(4)]
+    rows = [(1, words[0]), (1, words[1]), (1, words[1]), (2, words[1]), (None, words[2]), (None, words[2]), (None, words[0]), (None, words[3]), (5, None), (6, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "a", "b", 1, 2) for i, t in rows], "doc_id long, text string, key string, row string, fp int, lost int")
+    one = simhash.keep_one(docs)
+    assert one.columns == docs.columns
+    texts = Counter(r.text for r in one.collect())
+    assert {r.text: r.doc_id for r in one.collect() if r.text} == {words[0]: 1, words[1]: 1, words[2]: None, words[3]: None}
+    assert set(texts.values()) == {1} and sum(n for t, n in texts.items() if not t) == 1
+    lines = linededup.drop_lines(docs)
+    assert lines.columns == docs.columns
+    assert Counter(r.text for r in lines.collect() if r.text) == Counter(words)
+    for stage in (simhash.keep_one, linededup.drop_lines):
+        assert stage(docs.limit(0)).collect() == []
+
+
+def test_toxic_rows_go_whatever_their_id(spark):
+    texts = ["calm words about the weather today", "vile loathsome vermin talk again"]
+    rows = [(k, texts[k % 2] + f" n{k}") for k in range(300)]
+    extra = [(None, texts[1]), (None, texts[0]), (1000, texts[1]), (1000, texts[0]), (1000, texts[0]), (None, None)]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows + extra], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter([r for r in rows if r[0] % 2 == 0] + [(None, texts[0]), (1000, texts[0]), (1000, texts[0]), (None, None)])
