@@ -310,7 +310,7 @@ def test_lm_score(spark, docs):
     aimed = {k for k, r in enumerate(docs.collect()) if r.doc_id is not None and r.doc_id % 3 == 0}
     words = {k: [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower()) if w] for k, t in texts.items()}
     total = Counter(w for own in words.values() for w in own)
-    known = max(({w for w in total if total[w] >= n} for n in set(total.values()) if sum(m >= n for m in total.values()) < lmscore.VOCABULARY), key=len)
+    known = max(({w for w in total if total[w] >= n} for n in set(total.values()) if sum(m >= n for m in total.values()) < 1 << 16), key=len)
     classes = {k: [w if w in known else None for w in own] for k, own in words.items()}
 
     def model(own):
@@ -319,7 +319,7 @@ def test_lm_score(spark, docs):
         for (a, b), n in pairs.items():
             single[b] += n
             before[a] += n
-        mass = sum(single.values()) + lmscore.ALPHA * lmscore.VOCABULARY
+        mass = sum(single.values()) + lmscore.ALPHA * (len(total) + 1)
         return lambda a, b: -math.log((pairs[a, b] + lmscore.MU * (single[b] + lmscore.ALPHA) / mass) / (before[a] + lmscore.MU))
 
     background, goal = model(list(classes)), model(aimed)
@@ -330,8 +330,11 @@ def test_lm_score(spark, docs):
     assert lmscore.cross_entropy_difference(docs.limit(0), target).count() == 0
 
 
-def test_lm_score_tells_rare_words_apart(spark):
-    """Far more words than the table of frequent ones holds, most of them equally rare: each counts as itself."""
+@pytest.mark.parametrize("held", [1 << 20, 3])
+def test_lm_score_tells_rare_words_apart(spark, monkeypatch, held):
+    """Far more words than the table of frequent ones holds, most of them equally rare: each counts as itself, also
+    those with more occurrences than a task may hold."""
+    monkeypatch.setattr(lmscore, "HELD", held)
     pick = random.Random(5)
     texts = [" ".join(pick.choice([f"w{pick.randrange(7000)}", f"{'ab'[k % 2]}{pick.randrange(3000)}", "the", "of"]) for _ in range(pick.randrange(120))) for k in range(400)]
     texts += ["solo", "solo solo solo", "the", "", "a1 the a1"]
@@ -345,7 +348,7 @@ def test_lm_score_tells_rare_words_apart(spark):
         for (a, b), n in pairs.items():
             single[b] += n
             before[a] += n
-        mass = sum(single.values()) + lmscore.ALPHA * lmscore.VOCABULARY
+        mass = sum(single.values()) + lmscore.ALPHA * (len({w for own in words for w in own}) + 1)
         return lambda a, b: -math.log((pairs[a, b] + lmscore.MU * (single[b] + lmscore.ALPHA) / mass) / (before[a] + lmscore.MU))
 
     background, goal = model(words), model(words[::2])
