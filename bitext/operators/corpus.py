@@ -8,6 +8,9 @@ no sampled bounds, no materialisation, no single-task window.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +49,35 @@ def pair_predicate(
     )
 
 
-def filter_pairs(df: DataFrame, min_len: int = MIN_LEN, max_len: int = MAX_LEN, predicate=None) -> DataFrame:
-    """B1. ``predicate`` is an optional user hook ``Column -> Column`` (J1) on
-    top of the default rule."""
+def filter_pairs(
+    df: DataFrame,
+    min_len: int = MIN_LEN,
+    max_len: int = MAX_LEN,
+    predicate: Callable[[Column, Column], Column] | Column | None = None,
+    batch_predicate: Callable[[pa.RecordBatch], pa.Array] | None = None,
+    batch_columns: Sequence[str] = ("src", "tgt"),
+) -> DataFrame:
+    """B1, with a user's own rule (J1) on top of the default one.
+
+    ``predicate(src, tgt)`` returns a condition (a ready ``Column`` will do
+    too); a row for which it is null goes. ``batch_predicate`` is for rules
+    that no expression states: it gets Arrow batches of ``batch_columns``, of
+    the rows that the other rules keep, and returns a boolean for each row;
+    null drops the row.
+    """
     cond = pair_predicate("src", "tgt", min_len, max_len)
     if predicate is not None:
-        cond = cond & predicate
-    return df.where(cond)
+        cond = cond & (predicate if isinstance(predicate, Column) else predicate(F.col("src"), F.col("tgt")))
+    kept = df.where(cond)
+    if batch_predicate is None:
+        return kept
+
+    def keep(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(batch_predicate(batch.select(list(batch_columns))))
+
+    return kept.mapInArrow(keep, kept.schema)
 
 
 def clean_text(col: Column | str) -> Column:

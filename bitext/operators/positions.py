@@ -137,3 +137,31 @@ def bucketed_position(
         pos_col, (F.col("_off") + F.col("_rn") - 1).cast("long")
     )
     return out.drop("_rn", "_off")
+
+
+def file_position(df: DataFrame, group_cols: list[str] | None = None, pos_col: str = "pos") -> DataFrame:
+    """Dense 0-based positions of a scan's rows in file order, per ``group_cols``, without a shuffle of the rows.
+
+    ``df`` has ``_file``, ``_block`` and ``_row`` (``_metadata.file_path``, ``_metadata.file_block_start`` and
+    ``monotonically_increasing_id()`` of the scan). A task reads a file's block from its start to its end, so a row's
+    position is the rows of earlier blocks plus its distance from the block's first row. The blocks are counted by a scan
+    without any text column. Files come in the order of their folder, then by name, shorter names first (part numbers
+    beyond 99,999 have more digits). A row outside its block's counted range, as after a file changed between the two
+    scans, fails."""
+    group_cols = list(group_cols or [])
+    key = [*group_cols, "_file", "_block"]
+    blocks = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    name, folder = F.substring_index("_file", "/", -1), F.regexp_replace("_file", "/[^/]*$", "")
+    w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy(folder, F.length(name), name, "_block")
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = broadcast_if_small(blocks.withColumn("_before", before))
+    keys = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in key]
+    inside = F.col("_row") - F.col("_first")
+    moved = F.raise_error(F.lit("a file's blocks changed while its rows were numbered")).cast("long")
+    position = F.when(inside.between(F.lit(0), F.col("_n") - 1), F.col("_before") + inside).otherwise(moved)
+    kept = [F.col(f"r.{c}") for c in df.columns if c not in ("_file", "_block", "_row")]
+    on = keys[0]
+    for k in keys[1:]:
+        on = on & k
+    rows = df.alias("r").join(offsets.select(*key, F.col("_first"), "_n", "_before").alias("o"), on)
+    return rows.select(*kept, position.cast("long").alias(pos_col))

@@ -151,27 +151,34 @@ def best_checkpoint(epochs: DataFrame) -> DataFrame:
     )
 
 
-def checkpoint_registry(epochs: DataFrame, steps_per_epoch: DataFrame | None = None) -> DataFrame:
-    """Per run the latest checkpoint, the best one (last strict
-    improvement, whose file overwrote the earlier bests) and the resolved
-    "best, else latest" choice."""
-    best = best_checkpoint(epochs)
-    per = best.groupBy("run").agg(
+def resolve_checkpoints(versions: DataFrame) -> DataFrame:
+    """For each run of ``versions(run, epoch, val_loss, improved, ..)`` its latest checkpoint, the best one (the last
+    strict improvement, whose file overwrote the earlier bests), "best, else latest", and that version's other columns
+    as the struct ``version``."""
+    version = F.struct(*[F.col(c) for c in versions.columns if c != "run"])
+    best = F.when(F.col("improved"), F.col("epoch"))
+    per = versions.groupBy("run").agg(
         F.max("epoch").alias("latest_epoch"),
-        F.max(F.when(F.col("improved"), F.col("epoch"))).alias("best_epoch"),
+        F.max(best).alias("best_epoch"),
         F.min("val_loss").alias("best_val_loss"),
+        F.coalesce(F.max_by(version, best), F.max_by(version, "epoch")).alias("version"),
     )
-    resolved = F.coalesce("best_epoch", "latest_epoch")
     return per.select(
         "run",
         "latest_epoch",
         "best_epoch",
         "best_val_loss",
-        resolved.alias("resolved_epoch"),
+        F.coalesce("best_epoch", "latest_epoch").alias("resolved_epoch"),
         F.when(F.col("best_epoch").isNotNull(), F.lit("best")).otherwise(F.lit("latest")).alias("resolved_kind"),
+        "version",
     )
 
 
+def checkpoint_registry(epochs: DataFrame) -> DataFrame:
+    """A8 without a table: what a registry of these epochs resolves to (``sources/checkpoints`` keeps one)."""
+    return resolve_checkpoints(best_checkpoint(epochs)).drop("version")
+
+
 def experiment_report(runs: DataFrame, report_epoch: int = REPORT_EPOCH) -> DataFrame:
     """Per run the ``report_epoch``-th row by epoch order, or the
     last row if there are fewer; PPL estimate = exp(val_loss) (inf >= 100)."""
@@ -196,6 +203,20 @@ def experiment_report(runs: DataFrame, report_epoch: int = REPORT_EPOCH) -> Data
     )
 
 
+def epoch_lines(epochs: DataFrame) -> DataFrame:
+    """The line that is printed after each epoch. A time of exactly half a tenth, as hundredths can be, is
+    rounded up."""
+    line = F.format_string(
+        "Epoch %d | Time: %.1fs | Train Loss: %.4f | Val Loss: %.4f | LR: %.2e",
+        "epoch",
+        "epoch_time_sec",
+        "train_loss",
+        "val_loss",
+        "learning_rate",
+    )
+    return epochs.select("run", "epoch", line.alias("line"))
+
+
 def examples(hyps: DataFrame, refs: DataFrame, n: int = 3) -> DataFrame:
     """The first ``n`` (reference, prediction) pairs by sentence id; the
     limit is the feature (a printed sample), taken after an ordered sort."""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from bitext.operators import corpus as C
 from bitext.plans import fixtures as fx
 from bitext.plans import sql_fixtures as S
+from bitext.session import scratch_path
+from bitext.sources.corpus import read_corpus, write_corpus
 
 # Split sizes for the driver queries as fractions of the filtered row count,
 # so every split grows with the data (the reference's absolute defaults are
@@ -19,7 +21,13 @@ def _split(spark, sf_dir):
 
 
 def corpus_scan(spark, sf_dir):
-    return fx.line_pairs(spark, sf_dir)
+    """The pairs as a dataset on disk with two splits (what the length filter keeps, and the rest), each read back by
+    its name; ids are positions in the split's files."""
+    keep = F.when(C.pair_predicate(), "train").otherwise("rest")
+    path = scratch_path(spark, "corpus")
+    write_corpus(fx.line_pairs(spark, sf_dir).withColumn("split", keep), path)
+    parts = [read_corpus(spark, path, split=s).withColumn("split", F.lit(s)) for s in ("train", "rest")]
+    return parts[0].unionByName(parts[1])
 
 
 def pair_filter(spark, sf_dir):
@@ -122,7 +130,9 @@ splits AS (
 W = S.with_(S.LINE_PAIRS)
 
 ORACLE = {
-    "corpus_scan": W + " SELECT pair_id, src, tgt FROM line_pairs",
+    "corpus_scan": W
+    + f""", s AS (SELECT *, CASE WHEN {P1} THEN 'train' ELSE 'rest' END AS split FROM line_pairs)
+    SELECT split, CAST(row_number() OVER (PARTITION BY split ORDER BY pair_id) - 1 AS BIGINT) AS pair_id, src, tgt FROM s""",
     "pair_filter": W + f" SELECT pair_id, src, tgt FROM line_pairs WHERE {P1}",
     "pair_clean": W
     + f""" SELECT pair_id, {clean('src')} AS src, {clean('tgt')} AS tgt FROM line_pairs

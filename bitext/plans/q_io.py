@@ -87,7 +87,12 @@ def runs_scan(spark, sf_dir):
 
 def experiment_report(spark, sf_dir):
     runs = L.scan_runs(spark, _written_runs(spark, sf_dir))
-    return _r6(R.experiment_report(runs).drop("line"))
+    return _r6(R.experiment_report(runs))
+
+
+def prediction_examples(spark, sf_dir):
+    """The first three references and predictions; the limit is the feature."""
+    return R.examples(fx.hyps(spark, sf_dir), fx.refs(spark, sf_dir))
 
 
 QUERIES = {
@@ -96,6 +101,7 @@ QUERIES = {
     "metrics_csv_roundtrip": metrics_csv_roundtrip,
     "runs_scan": runs_scan,
     "experiment_report": experiment_report,
+    "prediction_examples": prediction_examples,
 }
 
 RUNS_CTE = (
@@ -135,6 +141,12 @@ ORACLE = {
     ranked AS (SELECT *, row_number() OVER (PARTITION BY rname ORDER BY epoch) AS rn,
                       count(*) OVER (PARTITION BY rname) AS n FROM latest2)
     SELECT rname AS run, epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss,
-           round(CASE WHEN val_loss < 100 THEN exp(val_loss) ELSE 'infinity'::DOUBLE END, 6) AS ppl
+           round(CASE WHEN val_loss < 100 THEN exp(val_loss) ELSE 'infinity'::DOUBLE END, 6) AS ppl,
+           printf('%-25s | %.4f     | %.4f     | %.2f', rname, train_loss, val_loss,
+                  CASE WHEN val_loss < 100 THEN exp(val_loss) ELSE 'infinity'::DOUBLE END) AS line
     FROM ranked WHERE rn = least(10, n)""",
+    "prediction_examples": S.with_(S.LINE_PAIRS)
+    + f""" SELECT pair_id AS sent_id, tgt AS ref,
+           array_to_string(list_filter(string_split(tgt, ' '), lambda x, i: i % 7 <> 0), ' ') AS hyp
+    FROM line_pairs WHERE {S.strip('src')} <> '' ORDER BY pair_id LIMIT 3""",
 }

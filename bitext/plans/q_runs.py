@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from bitext.operators import runs as R
 from bitext.plans import fixtures as fx
 from bitext.plans import sql_fixtures as S
+from bitext.session import cut_lineage, scratch_path
+from bitext.sources import checkpoints as K
+from bitext.sources import logs as L
 
 ACCUM = 3  # accumulation steps for the roll-up query (does not divide all epochs)
 VAL_BATCH = 8  # validation batch size for the batch-mean query
@@ -56,13 +59,35 @@ def best_checkpoint(spark, sf_dir):
     )
 
 
+RESTART_EPOCH = 16  # training stops here and starts again, which saves the epochs from here on once more
+
+
 def checkpoint_registry(spark, sf_dir):
-    c = R.checkpoint_registry(_epochs(spark, sf_dir))
-    return c.select(
-        "run", "latest_epoch", "best_epoch", r6("best_val_loss").alias("best_val_loss"), "resolved_epoch", "resolved_kind"
+    """Training saves a version of each epoch in two commits: all epochs, and those from RESTART_EPOCH on again by a
+    restarted run, whose accumulation counts other steps. A failed job's second commit is written twice."""
+    steps = fx.step_log(spark, sf_dir)
+    epochs, configs = cut_lineage(R.epoch_summary(steps)), _overlay(spark, sf_dir)
+    path = scratch_path(spark, "registry")
+    first = K.checkpoint_versions(epochs, R.train_loss_rollup(steps, 1), configs)
+    K.write_versions(first, path, 0)
+    again = K.checkpoint_versions(epochs, R.train_loss_rollup(steps, ACCUM), configs).where(F.col("epoch") >= RESTART_EPOCH)
+    for _ in range(2):
+        K.write_versions(again, path, 1)
+    out = K.resolve(spark, path)
+    return out.select(
+        "run", "latest_epoch", "best_epoch", r6("best_val_loss").alias("best_val_loss"), "resolved_epoch", "resolved_kind",
+        "resolved_step", r6("resolved_best_before").alias("resolved_best_before"), "resolved_commit",
+        F.col("config")["num_epochs"].cast("int").alias("num_epochs"),
+        F.col("config")["batch_size"].cast("long").alias("batch_size"),
+        F.col("config")["lr"].cast("double").alias("lr"),
+        F.size("config").alias("n_config"),
     )
 
 
+def epoch_lines(spark, sf_dir):
+    return R.epoch_lines(_epochs(spark, sf_dir))
+
+
 def loss_curves(spark, sf_dir):
     c = R.loss_curves(_epochs(spark, sf_dir))
     return c.select("run", "epoch", "curve", r6("loss").alias("loss"))
@@ -70,11 +95,13 @@ def loss_curves(spark, sf_dir):
 
 def scalar_log(spark, sf_dir):
     steps = fx.step_log(spark, sf_dir)
-    s = R.scalar_log(steps, R.epoch_summary(steps))
+    path = scratch_path(spark, "scalars")
+    L.write_scalars(R.scalar_log(steps, R.epoch_summary(steps)), path)
+    s = spark.read.parquet(path)
     return s.select("run", "tag", "step", r6("value").alias("value"))
 
 
-def config_overlay(spark, sf_dir):
+def _overlay(spark, sf_dir):
     """Each run is an experiment whose logged shape overrides the base:
     epochs run, largest epoch (batches), final learning rate."""
     e = _epochs(spark, sf_dir)
@@ -86,8 +113,11 @@ def config_overlay(spark, sf_dir):
         F.lit(None).cast("int").alias("n_layers"),
         F.sum("n_batches").alias("total_steps"),
     )
-    o = R.config_overlay(over)
-    return o.withColumn("lr", r6("lr"))
+    return R.config_overlay(over).withColumn("lr", r6("lr"))
+
+
+def config_overlay(spark, sf_dir):
+    return _overlay(spark, sf_dir)
 
 
 QUERIES = {
@@ -96,6 +126,7 @@ QUERIES = {
     "val_loss_batch_mean": val_loss_batch_mean,
     "best_checkpoint": best_checkpoint,
     "checkpoint_registry": checkpoint_registry,
+    "epoch_lines": epoch_lines,
     "loss_curves": loss_curves,
     "scalar_log": scalar_log,
     "config_overlay": config_overlay,
@@ -142,11 +173,26 @@ ORACLE = {
     val_loss < best_before AS improved, round(least(best_before, val_loss), 6) AS best_after FROM best""",
     "checkpoint_registry": WE
     + BEST_CTE
-    + """ SELECT run, max(epoch) AS latest_epoch, max(epoch) FILTER (WHERE val_loss < best_before) AS best_epoch,
-    round(min(val_loss), 6) AS best_val_loss,
-    coalesce(max(epoch) FILTER (WHERE val_loss < best_before), max(epoch)) AS resolved_epoch,
-    CASE WHEN max(epoch) FILTER (WHERE val_loss < best_before) IS NOT NULL THEN 'best' ELSE 'latest' END AS resolved_kind
-    FROM best GROUP BY run""",
+    + f""",
+    ups AS (SELECT run, epoch, count(*) AS u1, count(*) FILTER (WHERE (batch + 1) % {ACCUM} = 0) AS u2
+            FROM step_log GROUP BY run, epoch),
+    gs AS (SELECT run, epoch, CAST(sum(u1) OVER w AS BIGINT) AS g1, CAST(sum(u2) OVER w AS BIGINT) AS g2 FROM ups
+           WINDOW w AS (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    per_run AS (SELECT run, max(epoch) AS latest_epoch, max(epoch) FILTER (WHERE val_loss < best_before) AS best_epoch,
+                       round(min(val_loss), 6) AS best_val_loss FROM best GROUP BY run),
+    cfg AS (SELECT run, CAST(count(*) AS INTEGER) AS num_epochs, CAST(max(n_batches) AS BIGINT) AS batch_size,
+                   round(arg_max(learning_rate, epoch), 6) AS lr FROM epochs GROUP BY run)
+    SELECT p.run, latest_epoch, best_epoch, best_val_loss, b.epoch AS resolved_epoch,
+           CASE WHEN best_epoch IS NOT NULL THEN 'best' ELSE 'latest' END AS resolved_kind,
+           CASE WHEN b.epoch >= {RESTART_EPOCH} THEN g2 ELSE g1 END AS resolved_step,
+           round(b.best_before, 6) AS resolved_best_before,
+           CAST(CASE WHEN b.epoch >= {RESTART_EPOCH} THEN 1 ELSE 0 END AS BIGINT) AS resolved_commit,
+           num_epochs, batch_size, lr, CAST(14 AS INTEGER) AS n_config
+    FROM per_run p JOIN best b ON b.run = p.run AND b.epoch = coalesce(p.best_epoch, p.latest_epoch)
+    JOIN gs ON gs.run = b.run AND gs.epoch = b.epoch JOIN cfg ON cfg.run = p.run""",
+    "epoch_lines": WE
+    + """ SELECT run, epoch, printf('Epoch %d | Time: %.1fs | Train Loss: %.4f | Val Loss: %.4f | LR: %.2e', epoch,
+    CAST(round(CAST(epoch_time_sec AS DECIMAL(18, 2)), 1) AS DOUBLE), train_loss, val_loss, learning_rate) AS line FROM epochs""",
     "loss_curves": WE
     + """ SELECT run, epoch, 'train' AS curve, round(train_loss, 6) AS loss FROM epochs
     UNION ALL SELECT run, epoch, 'val', round(val_loss, 6) FROM epochs""",

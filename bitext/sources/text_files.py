@@ -4,12 +4,9 @@ Sink (A3): both sides come from one positioned table, range-partitioned and
 sorted on ``pos`` per split, so part files concatenated in name order give
 the lines in ``pos`` order; ``\\n`` and ``\\r`` are removed first (X10).
 
-Scan (A2): the line number of a row is its rank by (file name, block start,
-row order inside the block). ``_metadata`` gives the first two; the third is
-``monotonically_increasing_id`` inside the scan task, which follows file
-order. A file block is a natural bucket (bounded by the split size), so ranks
-are block offsets plus a row number inside the block; no single task sees the
-whole file set.
+Scan (A2): the line number of a row is the number of lines in earlier files
+and blocks plus its place in its block, both known without moving a line
+(``positions.file_position``).
 """
 
 from __future__ import annotations
@@ -19,7 +16,7 @@ from pyspark.sql import functions as F
 
 from bitext.functions.text import py_strip
 from bitext.operators.corpus import clean_text
-from bitext.operators.positions import bucketed_position
+from bitext.operators.positions import file_position
 
 
 def write_parallel_text(
@@ -51,8 +48,7 @@ def read_lines(spark: SparkSession, path: str, group_cols: list[str] | None = No
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    out = bucketed_position(raw, ["_file", "_block"], ["_row"], group_cols=group_cols, pos_col="line_no")
-    return out.drop("_file", "_block", "_row")
+    return file_position(raw, group_cols, pos_col="line_no")
 
 
 def read_parallel_text(spark: SparkSession, base: str, strip: bool = True) -> DataFrame:

@@ -261,3 +261,39 @@ def test_read_corpus_json_with_id_column(spark, tmp_path):
     spark.createDataFrame(rows, "id long, text_zh string, text_en string").coalesce(1).write.json(str(tmp_path / "js"))
     got = sorted(tuple(r) for r in read_corpus(spark, str(tmp_path / "js"), fmt="json", id_col="id").collect())
     assert got == [(10, "早上好", "Good morning"), (11, "谢谢", "Thanks")]
+
+
+def test_registry_commits_replay_and_resolve(spark, tmp_path):
+    from bitext.sources import checkpoints as K
+
+    nan = float("nan")
+    epochs = spark.createDataFrame(
+        [("a", 1, 0.9), ("a", 2, 0.5), ("a", 3, 0.5), ("a", 4, 0.7), ("b", 1, nan), ("b", 2, nan)],
+        "run string, epoch int, val_loss double",
+    )
+    steps = spark.createDataFrame([("a", e, 10 * e) for e in (1, 2, 3, 4)], "run string, epoch int, global_step long")
+    configs = spark.createDataFrame([("a", 96, 1e-4, None)], "exp_name string, batch_size int, lr double, note string")
+    path = str(tmp_path / "registry")
+    made = K.checkpoint_versions(epochs, steps, configs)
+    K.write_versions(made, path, 0)
+    once = sorted(map(str, K.read_versions(spark, path).collect()))
+    K.write_versions(made, path, 0)  # a replay
+    assert sorted(map(str, K.read_versions(spark, path).collect())) == once and len(once) == 6
+    a, b = sorted(K.resolve(spark, path).collect(), key=lambda r: r.run)
+    # the saved best is the one before the epoch's own update; a tie is no improvement
+    assert (a.latest_epoch, a.best_epoch, a.resolved_epoch, a.resolved_kind) == (4, 2, 2, "best")
+    assert (a.resolved_step, a.resolved_best_before, a.best_val_loss) == (20, 0.9, 0.5)
+    assert a.config == {"batch_size": "96", "lr": "1.0E-4", "note": None}
+    # nothing improved on infinity: the latest is loaded; no config and no steps are nulls
+    assert (b.best_epoch, b.resolved_epoch, b.resolved_kind, b.resolved_step, b.config) == (None, 2, "latest", None, None)
+    # a restart saves epoch 2 again, worse: the later commit counts
+    again = made.where("run = 'a' and epoch = 2").withColumn("improved", F.lit(False)).withColumn("val_loss", F.lit(0.95))
+    K.write_versions(again, path, 1)
+    a = next(r for r in K.resolve(spark, path).collect() if r.run == "a")
+    assert (a.best_epoch, a.resolved_commit, a.best_val_loss) == (1, 0, 0.5)
+    assert K.read_versions(spark, path).count() == 6
+
+
+def test_epoch_line(spark):
+    e = spark.createDataFrame([("r", 3, 12.345, 1.23456, 2.0, 1e-4)], "run string, epoch int, epoch_time_sec double, train_loss double, val_loss double, learning_rate double")
+    assert R.epoch_lines(e).first().line == "Epoch 3 | Time: 12.3s | Train Loss: 1.2346 | Val Loss: 2.0000 | LR: 1.00e-04"

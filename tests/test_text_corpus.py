@@ -132,3 +132,70 @@ def test_read_lines_across_split_blocks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == dict(enumerate(lines))
+
+
+def _pairs(spark, n):
+    rows = [(i, "train" if i % 3 else "rest", f"源 {i}", f"target {i}") for i in range(n)]
+    return spark.createDataFrame(rows, "pair_id long, split string, src string, tgt string").repartition(3)
+
+
+def test_corpus_is_written_by_split_and_read_in_order(spark, tmp_path):
+    from bitext.sources.corpus import read_corpus, write_corpus
+
+    path = str(tmp_path / "corpus")
+    assert write_corpus(_pairs(spark, 1000), path) == 1000
+    for split, want in (("train", [i for i in range(1000) if i % 3]), ("rest", list(range(0, 1000, 3)))):
+        df = read_corpus(spark, path, split=split)
+        got = sorted((r.pair_id, r.src, r.tgt) for r in df.collect())
+        assert got == [(k, f"源 {i}", f"target {i}") for k, i in enumerate(want)]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(split" in plan
+        # the texts' scan is joined where it is: every exchange is of blocks, without text columns
+        for line in plan.splitlines():
+            if "Exchange" in line and "BroadcastExchange" not in line:
+                assert "text_zh" not in line and "src" not in line
+    assert read_corpus(spark, path, split="absent").count() == 0
+    with pytest.raises(ValueError, match="columns found: text_zh, text_en, split"):
+        read_corpus(spark, path, src_col="zh")
+
+
+def test_an_empty_corpus_replaces_nothing(spark, tmp_path):
+    from bitext.sources.corpus import read_corpus, write_corpus
+
+    path = str(tmp_path / "corpus")
+    write_corpus(_pairs(spark, 10), path)
+    with pytest.raises(ValueError, match="empty"):
+        write_corpus(_pairs(spark, 10).where("src = 'none'"), path)
+    assert read_corpus(spark, path, split=None).count() == 10
+    assert write_corpus(_pairs(spark, 4), path) == 4
+    assert read_corpus(spark, path, split=None).count() == 4
+
+
+def test_files_of_more_than_five_digits_come_in_their_order(spark):
+    from bitext.operators.positions import file_position
+
+    names = ["d/part-99998-x", "d/part-99999-x", "d/part-100000-x", "e/part-00000-x"]
+    rows = [(n, b, 100 * k + 10 * b + i, f"{n}/{b}/{i}") for k, n in enumerate(names) for b in (0, 4) for i in range(3)]
+    df = spark.createDataFrame(rows[::-1], "_file string, _block long, _row long, text string")
+    got = {r.text: r.pos for r in file_position(df).collect()}
+    assert [got[r[3]] for r in rows] == list(range(len(rows)))
+
+
+def test_user_predicates(spark):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = [(1, "abcd", "good text", "x"), (2, "abcd", "bad text", None), (3, "abc", "good text", "x"), (4, "efgh", "good again", "y"), (5, "abcd", None, "z")]
+    df = spark.createDataFrame(rows, "pair_id long, src string, tgt string, extra string").repartition(2)
+    ids = lambda d: sorted(r.pair_id for r in d.collect())
+    by_rule = C.filter_pairs(df, predicate=lambda src, tgt: tgt.startswith("good") & (F.length(src) == 4))
+    assert ids(by_rule) == [1, 4] and ids(C.filter_pairs(df, predicate=F.col("tgt").startswith("good"))) == [1, 4]
+    assert ids(C.filter_pairs(df, predicate=lambda src, tgt: F.when(tgt.startswith("good"), True))) == [1, 4]
+    seen = lambda batch: pc.equal(batch.column("extra"), "x")
+    by_batch = C.filter_pairs(df, batch_predicate=seen, batch_columns=["extra"])
+    assert ids(by_batch) == [1] and by_batch.columns == df.columns
+    assert ids(C.filter_pairs(df, batch_predicate=lambda b: pa.array([True] * b.num_rows))) == [1, 2, 4]
+    assert ids(C.filter_pairs(df.limit(0), batch_predicate=seen, batch_columns=["extra"])) == []
+    # the expression rule is pushed below a shuffle
+    plan = C.filter_pairs(df, predicate=lambda s, t: t != "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") > plan.index("Repartition")
