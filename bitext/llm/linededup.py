@@ -25,8 +25,8 @@ BANDS, ROWS = 10, 4
 #: Bits of the map by which the second scan knows candidates (8 MB; what is let through in error costs time only).
 MAP_BITS = 26
 
-#: Bytes of text at a time: what is made of them stays in a core's cache.
-SLICE_BYTES = 1 << 18
+#: Bytes of text at a time: what is made of them stays in a core's cache and in memory that is used again.
+SLICE_BYTES = 1 << 17
 #: In place of an empty bin's smallest hash.
 EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -43,21 +43,22 @@ def line_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     raw, at = utf8(pc.utf8_lower(column.cast(pa.large_string())))
     if not len(raw):
         return raw, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    newline = raw == 0x0A
-    begins = np.unique(np.concatenate([at[:-1][np.diff(at) > 0], np.flatnonzero(newline) + 1]))
-    begins = begins[begins < len(raw)]
+    begin = np.zeros(len(raw) + 1, bool)
+    begin[at[:-1][np.diff(at) > 0]] = True
+    begin[1:] |= raw == 0x0A
+    begins = np.flatnonzero(begin[:-1])
     row = np.searchsorted(at, begins, "right") - 1
     number = np.arange(len(begins)) - np.searchsorted(row, row)
     gap = SPACE[raw]
+    # words, and the last of each run of white space ..
     keep = ~gap
-    # one space before each word that isn't its line's first
-    first = ~gap
-    first[1:] &= gap[:-1]
-    first[begins[~gap[begins]]] = True
-    word = np.flatnonzero(first)
-    line = np.searchsorted(begins, word, "right") - 1
-    inner = word[1:][(line[1:] == line[:-1]) & (word[1:] > 0)]
-    keep[inner - 1] = True
+    keep[:-1] |= keep[1:]
+    # .. but not the one before a line's first word
+    ends = np.flatnonzero(gap & keep)
+    before = begins[~gap[begins] & (begins > 0)] - 1
+    keep[before[gap[before]]] = False
+    first = np.searchsorted(ends, begins[gap[begins]])
+    keep[ends[first[first < len(ends)]]] = False
     body = np.where(gap, np.uint8(0x20), raw)[keep]
     offsets = np.add.reduceat(keep.view(np.uint8), begins, dtype=np.int64)
     own = np.flatnonzero(offsets)
@@ -83,19 +84,19 @@ def band_keys(body: np.ndarray, at: np.ndarray) -> np.ndarray:
         first = ((body & 0xC0) != 0x80).view(np.uint8)
         at = np.append(0, np.cumsum(np.add.reduceat(first, at[:-1], dtype=np.int64)))
     odd = np.random.default_rng(11).integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    hashes = np.zeros(len(text), np.uint64)
-    for k in range(SHINGLE):
-        hashes[: max(0, len(text) - k)] += text[k:] * odd[k]
-    hashes ^= hashes >> np.uint64(31)
+    hashes, term = text * odd[0], np.empty(len(text), np.uint64)
+    for k in range(1, min(SHINGLE, len(text))):
+        hashes[:-k] += np.multiply(text[k:], odd[k], out=term[:-k])
+    hashes ^= np.right_shift(hashes, np.uint64(31), out=term)
     hashes *= np.uint64(0x9E3779B97F4A7C15)
-    hashes ^= hashes >> np.uint64(29)
+    hashes ^= np.right_shift(hashes, np.uint64(29), out=term)
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
     # a shingle starts at each character of a line but its last ones; a line's first character always starts one
     inside = np.ones(len(text), bool)
     for k in range(1, SHINGLE):
         late = at[1:] - k
         inside[late[late > at[:-1]]] = False
-    starts = np.add.reduceat(inside.view(np.uint8), at[:-1], dtype=np.int64)
+    starts = np.maximum(np.diff(at) - SHINGLE + 1, 1)
     hashes = hashes[inside]
     slot = np.repeat(np.arange(n, dtype=np.int64) * bins, starts)
     slot += ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).view(np.int64)
