@@ -202,29 +202,22 @@ def translation_candidates(
     )
     n_cold = cold.groupBy(key).agg(F.count(F.lit(1)).alias("_ncold"))
     # Hot table per signature: signatures are few (counts of the hot tokens,
-    # at most max_len each), rows per signature at most the vocabulary.
-    hot_t = (
-        tab.where(F.col("s").isin(*hot))
-        .groupBy("t")
-        .agg(*[F.sum(F.when(F.col("s") == h, F.col("prob")).otherwise(F.lit(0.0))).alias(f"_p{i}") for i, h in enumerate(hot)])
+    # at most max_len each), rows per signature at most the vocabulary. A
+    # signature's rows meet the table's by the hot token, so the plan has one
+    # join whatever the signatures are, and none of them reaches the driver.
+    uses = broadcast_if_small(
+        sig.select(*hcols)
+        .distinct()
+        .select(*hcols, F.explode(F.array(*[F.struct(F.lit(h).alias("s"), F.col(c).alias("n")) for h, c in zip(hot, hcols)])).alias("use"))
+        .select(*hcols, "use.s", "use.n")
+        .where("n > 0")
+    )
+    ranked_hot = (
+        tab.join(uses, "s")
+        .groupBy(*hcols, "t")
+        .agg(F.sum(F.col("n").cast("double") * F.col("prob")).alias("_hot"))
+        .where("_hot > 0")
     )
-    sigs = [tuple(r) for r in sig.select(*hcols).distinct().collect()]
-    per_sig = [
-        hot_t.select(
-            *[F.lit(v).cast("long").alias(c) for v, c in zip(sg, hcols)],
-            "t",
-            sum((F.lit(float(v)) * F.col(f"_p{i}") for i, v in enumerate(sg)), F.lit(0.0)).alias("_hot"),
-        ).where(F.col("_hot") > 0)
-        for sg in sigs
-    ]
-    if per_sig:
-        ranked_hot = per_sig[0]
-        for df in per_sig[1:]:
-            ranked_hot = ranked_hot.unionByName(df)
-    else:
-        ranked_hot = hot_t.select(*[F.lit(0).cast("long").alias(c) for c in hcols], "t", F.lit(0.0).alias("_hot")).where(
-            F.lit(False)
-        )
     rank_w = Window.partitionBy(*hcols).orderBy(F.desc("_hot"), "t")
     ranked_hot = broadcast_if_small(ranked_hot.withColumn("_rank", F.row_number().over(rank_w)))
     # Per sentence: the first top_c + n_cold targets of its signature.

@@ -1,7 +1,7 @@
 """Structured Streaming forms of the incremental operators.
 
 * ``stream_epoch_rollup``  metric log arriving as files -> per (run, epoch)
-  roll-up, complete mode, each micro-batch overwrites the result table.
+  roll-up, update mode, each micro-batch writes the rows that it changed.
 * ``stream_pairs``         sentence pairs arriving as files -> pair filter +
   clean, stateless, append mode.
 * ``stream_translate``     requests arriving as files -> ``foreachBatch`` runs
@@ -46,22 +46,39 @@ def _run(query_builder, spark: SparkSession, name: str):
     return q
 
 
-def stream_epoch_rollup(spark: SparkSession, source: str) -> DataFrame:
+def stream_epoch_rollup(spark: SparkSession, source: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Events as a training log; per (run, epoch) batches, mean loss and
-    tokens. Complete mode through ``foreachBatch`` (overwrite per batch)."""
-    ev = spark.readStream.schema(EVENTS_SCHEMA).parquet(source)
-    agg = ev.groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").alias("epoch")).agg(
+    tokens. Update mode: a micro-batch hands the sink only the (run, epoch)
+    rows that its events changed."""
+    reader = spark.readStream.schema(EVENTS_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    agg = reader.parquet(source).groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").alias("epoch")).agg(
         F.count(F.lit(1)).alias("n_batches"),
         F.avg(F.log(F.col("value") / 100.0 + 1.0)).alias("train_loss"),
         F.sum(F.col("user_id") + 1).alias("n_tokens"),
     )
     out = scratch_path(spark, "stream-rollup")
+    _run(agg.writeStream.outputMode("update").foreachBatch(changes_sink(out)), spark, "rollup")
+    return read_changes(spark, out, ["run", "epoch"])
 
-    def sink(batch: DataFrame, _epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
 
-    _run(agg.writeStream.outputMode("complete").foreachBatch(sink), spark, "rollup")
-    return spark.read.parquet(out)
+def changes_sink(out: str):
+    """A sink for update mode: a batch's rows go to ``batch=<id>`` with overwrite, so a replayed batch leaves the same
+    rows, and no batch reads or rewrites what others wrote."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return sink
+
+
+def read_changes(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The table that :func:`changes_sink` keeps: each key's row as the last batch that changed it wrote it."""
+    rows = spark.read.parquet(out)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = F.max_by(F.struct(*rest), "batch").alias("last")
+    return rows.groupBy(*keys).agg(last).select(*keys, "last.*")
 
 
 def stream_pairs(spark: SparkSession, source: str, max_files_per_trigger: int | None = None) -> DataFrame:
