@@ -25,6 +25,9 @@ PENALTY = 10.0  # soft repeat penalty on the last token's logit
 LABEL_SMOOTHING = 0.1
 CANDIDATES = 8  # top-c lexical candidates per sentence
 NEVER_CANDIDATE = (PAD_ID, UNK_ID, SOS_ID)
+# A token pair is hot beyond 1 / (HOT_SHARE x shuffle partitions) of all
+# co-occurrences: what is shuffled by one pair is a small part of a task.
+HOT_SHARE = 4
 
 
 def adjacent(ids: Column) -> Column:
@@ -127,20 +130,32 @@ def lexical_em(
     (each target token's posterior over the pair's source tokens is
     1/|src|). E-step: w = m_s * t(t|s), Z = sum of w per (pair, t), count =
     n_t * w / Z. M-step: sum counts per (s, t), normalise per s. The table
-    is written to the shared checkpoint folder each round."""
+    is written to the shared checkpoint folder each round.
+
+    A table of up to ``BROADCAST_MAX_ROWS`` rows is broadcast. Beyond that,
+    token pairs such as ([SOS], [EOS]), which occur in every row, would meet
+    in one task: pairs with more than a share of 1 / (HOT_SHARE x partitions)
+    of all co-occurrences, fewer than HOT_SHARE x partitions by that share,
+    meet a broadcast of their few probabilities, and only the others are
+    shuffled by (s, t)."""
     src = token_table(pairs, key, src_col, "s")
     tgt = token_table(pairs, key, tgt_col, "t")
     slen = pairs.select(key, F.size(src_col).alias("_slen"))
     cooc = cut_lineage(src.join(tgt, key).join(slen, key))
-    table = None
+    table = hot = None
     for r in range(rounds):
         if table is None:
             w = cooc.withColumn("_w", F.col("s_n") / F.col("_slen"))
-            z = F.lit(1.0)
-            counts = w.withColumn("_c", F.col("t_n") * F.col("_w") / z)
+            counts = w.withColumn("_c", F.col("t_n") * F.col("_w"))
         else:
-            t_small = broadcast_if_small(table.select("s", "t", "prob"))
-            w = cooc.join(t_small, ["s", "t"]).withColumn("_w", F.col("s_n") * F.col("prob"))
+            probs = table.select("s", "t", "prob")
+            if probs.count() <= BROADCAST_MAX_ROWS:
+                met = cooc.join(F.broadcast(probs), ["s", "t"])
+            else:
+                hot = hot or F.broadcast(cut_lineage(hot_pairs(cooc)))
+                often = cooc.join(F.broadcast(probs.join(hot, ["s", "t"])), ["s", "t"])
+                met = often.unionByName(cooc.join(hot, ["s", "t"], "left_anti").join(probs, ["s", "t"]))
+            w = met.withColumn("_w", F.col("s_n") * F.col("prob"))
             zt = w.groupBy(key, "t").agg(F.sum("_w").alias("_z"))
             counts = w.join(zt, [key, "t"]).withColumn("_c", F.col("t_n") * F.col("_w") / F.col("_z"))
         st = counts.groupBy("s", "t").agg(F.sum("_c").alias("_c"))
@@ -152,6 +167,15 @@ def lexical_em(
     return table
 
 
+def hot_pairs(cooc: DataFrame) -> DataFrame:
+    """(s, t) of the token pairs that hold more than 1 / (HOT_SHARE x shuffle partitions) of all rows of ``cooc``:
+    fewer than HOT_SHARE x partitions pairs."""
+    most = HOT_SHARE * int(cooc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = F.broadcast(cooc.agg(F.count(F.lit(1)).alias("_total")))  # one row
+    each = cooc.groupBy("s", "t").agg(F.count(F.lit(1)).alias("_n"))
+    return each.join(total, F.col("_n") * most > F.col("_total")).select("s", "t")
+
+
 def translation_support(
     sents: DataFrame, table: DataFrame, key: str = "sent_id", src_col: str = "src_ids"
 ) -> DataFrame:
