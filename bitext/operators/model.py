@@ -88,6 +88,14 @@ class BigramLM:
         j = df.join(o, [prev_col, next_col], "left").join(F.broadcast(c), prev_col, "left")
         return j.withColumn(out, F.coalesce("_lp", "_bo", F.lit(self.uniform_logp))).drop("_lp", "_bo")
 
+    def smoothed(self, df: DataFrame, prev_col: str, logp_col: str, out: str = "loss", eps: float = LABEL_SMOOTHING) -> DataFrame:
+        """Attach ``(1 - eps) * nll + eps / V * sum over V of -log p(v | prev)`` to every row scored with
+        ``logp_col``; an unseen context is uniform. ``ctx`` has at most V rows."""
+        c = self.ctx.select(F.col("prev").alias(prev_col), F.col("sum_neg").alias("_sn"))
+        rest = F.coalesce("_sn", F.lit(self.V * math.log(self.V)))
+        loss = (1 - eps) * -F.col(logp_col) + eps / self.V * rest
+        return df.join(F.broadcast(c), prev_col, "left").withColumn(out, loss).drop("_sn")
+
 
 def log_softmax(df: DataFrame, group_cols: list[str], logit: str, out: str = "logp") -> DataFrame:
     """``logit - max - ln(sum(exp(logit - max)))`` over each group."""

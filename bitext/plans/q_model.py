@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 
@@ -70,13 +69,10 @@ def perplexity(spark, sf_dir):
 
 
 def smoothed_nll(spark, sf_dir):
-    """(1 - eps) * nll + eps / V * sum over V of -log p(v | prev)."""
     lm, _, test = _lm(spark, sf_dir)
-    toks = _test_tokens(test, lm).join(F.broadcast(lm.ctx.select("prev", "sum_neg")), "prev", "left")
-    sum_neg = F.coalesce("sum_neg", F.lit(lm.V * math.log(lm.V)))
-    sm = (1 - EPS) * (-F.col("lm_logp")) + EPS / lm.V * sum_neg
+    toks = lm.smoothed(_test_tokens(test, lm), "prev", "lm_logp")
     return toks.agg(
-        F.count(F.lit(1)).alias("n_tokens"), r6(F.avg(-F.col("lm_logp"))).alias("nll"), r6(F.avg(sm)).alias("smoothed_nll")
+        F.count(F.lit(1)).alias("n_tokens"), r6(F.avg(-F.col("lm_logp"))).alias("nll"), r6(F.avg("loss")).alias("smoothed_nll")
     )
 
 
