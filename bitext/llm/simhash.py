@@ -26,20 +26,45 @@ DEPTH = 16
 #: Sampled fingerprints to fit a leaf's way to, so 1 << 20 (8 MB) at most in all.
 SAMPLE_PER_LEAF = 16
 
+#: Bytes of text whose shingles are hashed at a time (they take some 75 times as much). Longer texts are read in pieces.
+SLICE_BYTES = 1 << 18
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 GAP = np.zeros(256, bool)
 GAP[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def fingerprint_rows(raw: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray:
-    """The fingerprint of each row of text, as unsigned 64-bit integers."""
-    out = np.zeros(len(at) - 1, np.uint64)
+def pieces(raw: np.ndarray, shingle: int, most: int):
+    """Cut a long text at white space into pieces of about ``most`` bytes, of which each repeats the last
+    ``shingle - 1`` words before it: every shingle lies in exactly one piece. Longer words make longer pieces."""
+    start, size = 0, most
+    while True:
+        part = raw[start : start + size]
+        starts, ends, _ = words(part, np.array([0, len(part)]), GAP[part])
+        if start + size >= len(raw):
+            if start == 0 or len(starts) >= shingle:  # else nothing but words that the last piece had
+                yield part
+            return
+        whole = len(starts) - int(len(starts) > 0 and ends[-1] == len(part))  # the last one may go on
+        if whole < shingle:
+            size *= 2
+            continue
+        yield part[: ends[whole - 1]]
+        start += int(starts[whole - shingle + 1]) if shingle > 1 else int(ends[whole - 1])
+        size = most
+
+
+def tally(raw: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bit is set in the hashes of each row's shingles, and the number of these."""
+    total = np.zeros((len(at) - 1, 64), np.int64)
     raw = LOWER[raw]
     gap = GAP[raw]
     starts, ends, bounds = words(raw, at, gap)
+    count = np.diff(bounds)
+    shingles = np.where(count >= shingle, count - shingle + 1, (count > 0).astype(np.int64))
     if not len(starts):
-        return out
+        return total, shingles
     keep = ~gap
     keep[ends[ends < len(raw)]] = True  # one gap byte after each word, as a space
     raw[gap] = 0x20
@@ -48,8 +73,6 @@ def fingerprint_rows(raw: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarra
     lengths = ends - starts
     starts = place[starts]
     ends = starts + lengths
-    count = np.diff(bounds)
-    shingles = np.where(count >= shingle, count - shingle + 1, (count > 0).astype(np.int64))
     rows = np.flatnonzero(shingles)
     first = np.cumsum(shingles) - shingles
     word = np.arange(int(shingles.sum())) + np.repeat((bounds[:-1] - first)[rows], shingles[rows])
@@ -57,10 +80,22 @@ def fingerprint_rows(raw: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarra
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(body[a:b], 42) for a, b in zip(starts[word].tolist(), ends[last].tolist())], np.uint64)
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, first[rows], axis=0, dtype=np.int32)
-    major = np.packbits(2 * ones > shingles[rows, None], axis=1, bitorder="little")
-    out[rows] = np.ascontiguousarray(major).view("<u8").ravel()
-    return out
+    total[rows] = np.add.reduceat(bits, first[rows], axis=0, dtype=np.int32)
+    return total, shingles
+
+
+def fingerprint_rows(raw: np.ndarray, at: np.ndarray, shingle: int, most: int = SLICE_BYTES) -> np.ndarray:
+    """The fingerprint of each row of text, as unsigned 64-bit integers. A single long row is read in pieces."""
+    if len(at) == 2 and len(raw) > most:
+        ones, count = np.zeros((1, 64), np.int64), np.zeros(1, np.int64)
+        for piece in pieces(raw, shingle, most):
+            more, n = tally(piece, np.array([0, len(piece)]), shingle)
+            ones += more
+            count += n
+    else:
+        ones, count = tally(raw, at, shingle)
+    major = np.packbits(2 * ones > count[:, None], axis=1, bitorder="little")
+    return np.ascontiguousarray(major).view("<u8").ravel()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id") -> DataFrame:
@@ -72,7 +107,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id") -> Data
 
     def compute(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 fp = fingerprint_rows(*utf8(part.column("text")), shingle).view(np.int64)
                 yield pa.record_batch([part.column(key), pa.array(fp)], [key, "fp"])
 

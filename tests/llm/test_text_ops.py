@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -187,6 +188,22 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(both.limit(0)).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abC \t\né", max_size=200), st.integers(1, 4), st.integers(1, 40))
+def test_a_text_read_in_pieces_has_the_same_fingerprint(text, k, most):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    got = simhash.fingerprint_rows(raw, np.array([0, len(raw)]), k, most)
+    assert got.tolist() == [plain_fingerprint(text, k)]
+
+
+def test_a_very_long_text_has_a_fingerprint_in_bounded_memory():
+    raw = np.tile(np.frombuffer(b"some words that go on and on, one after another; ", np.uint8), 200_000)
+    tracemalloc.start()
+    simhash.fingerprint_rows(raw, np.array([0, len(raw)]), 3)
+    assert tracemalloc.get_traced_memory()[1] < 6 * len(raw)
+    tracemalloc.stop()
+
+
 def test_vantage_tree_finds_every_pair_once():
     pick = np.random.default_rng(3)
     base = pick.integers(0, 2**64, 400, dtype=np.uint64)
