@@ -15,11 +15,18 @@ from bitext.llm.common import saved, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the model does not predict toxic, each row judged by its own whole text: rows with a null or
+    repeated doc_id as well, repeated rows each. Null and empty texts are judged by the bias alone. Without labels no
+    model can be learnt and all rows stay; an empty table stays empty; other columns may have any names."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts change here, so ``n_chars`` is counted anew."""
+    """The documents with one line of each group of near-duplicates. Texts change here, so ``n_chars`` is counted anew.
+
+    The line of the smallest doc_id stays (null ids last), then of the smallest text hash and line number. A row that
+    repeats a doc_id and its text goes; documents that lose every line go, those without any line (null, empty and
+    blank texts) stay. An empty table stays empty; other columns may have any names."""
     rows = linededup.drop_lines(docs)
     if "n_chars" in rows.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -27,11 +34,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id (null ids last), then with the
+    smallest text hash. Texts without words are one group; a row that repeats a doc_id and its text goes. An empty table
+    stays empty; other columns may have any names."""
     return simhash.keep_one(docs, shingle=3, bits=2)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the sequences as in the packing query, and with their ids."""
+    """Pieces of the sequences as in the packing query, and with their ids. Null and empty texts are documents of the end
+    id alone, a null doc_id stays null, repeated rows are packed each; an empty table gives no rows."""
     import public_tokenizers
 
     rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
