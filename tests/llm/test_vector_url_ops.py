@@ -175,6 +175,24 @@ def test_pipeline_stages(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "SimHash near-dedup", "packing"]
 
 
+def test_pipeline_stages_take_empty_tables_and_odd_rows(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, n_chars int, key string, row string, fp int, lost int, score int, hash int"
+    long = " ".join(f"word{k}" for k in range(60))
+    ids = [(None, None), (None, ""), (3, None), (3, long), (3, long), (None, long), (4, " \n ")]
+    docs = spark.createDataFrame([(i, t, 0, "a", "b", 1, 2, 3, 4) for i, t in ids], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF_SMALL).collect() == []
+        out = stage(spark, docs, SF_SMALL)
+        assert out.columns == docs.columns, name
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.dedup_documents(spark, docs, SF_SMALL).collect()))
+    assert [t for _, t in kept if t.strip()] == [long] and len(kept) == 2
+    assert corpus_pipeline.pack(spark, docs.limit(0), SF_SMALL).collect() == []
+    pieces = corpus_pipeline.pack(spark, docs, SF_SMALL).collect()
+    assert len(pieces) == len(ids) and sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces)
+
+
 def test_pipeline_runs_its_stages(spark):
     import corpus_pipeline
 
