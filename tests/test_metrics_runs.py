@@ -297,3 +297,24 @@ def test_registry_commits_replay_and_resolve(spark, tmp_path):
 def test_epoch_line(spark):
     e = spark.createDataFrame([("r", 3, 12.345, 1.23456, 2.0, 1e-4)], "run string, epoch int, epoch_time_sec double, train_loss double, val_loss double, learning_rate double")
     assert R.epoch_lines(e).first().line == "Epoch 3 | Time: 12.3s | Train Loss: 1.2346 | Val Loss: 2.0000 | LR: 1.00e-04"
+
+
+@pytest.mark.parametrize("symbols", [1, 40, 1 << 20])
+def test_ngrams_are_counted_in_tasks(spark, monkeypatch, symbols):
+    """No n-gram becomes a row to aggregate or spill; rows of one sentence, null ids and null texts count as before."""
+    monkeypatch.setattr(M, "SYMBOLS", symbols)
+    rows = [(1, "abab 日本 é", "abab日本"), (1, "ba", None), (None, "aaa", "aa"), (2, "", "xyz"), (3, "😀a😀a", "a😀a"), (4, None, None), (None, "ab", "aab")]
+    pairs = spark.createDataFrame(rows, "sent_id long, hyp string, ref string")
+    stats = M.chrf_stats(pairs)
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Generate" not in M.bleu_stats(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for key in {r[0] for r in rows}:
+        for n in range(1, 7):
+            h, r = (Counter(t[i : i + n] for row in rows if row[0] == key and row[k] for t in ["".join(row[k].split())] for i in range(len(t) - n + 1)) for k in (1, 2))
+            if h or r:
+                old = want.get(n, (0, 0, 0))
+                want[n] = (old[0] + (h.total() if r else 0), old[1] + r.total(), old[2] + (h & r).total())
+    assert {x.n: (x.hyp, x.ref, x.match) for x in stats.collect()} == want
+    words = M.bleu_stats(pairs).first()
+    assert (words.sys_len, words.ref_len, words.m_1, words.t_2) == (7, 5, 0, 2)
