@@ -3,6 +3,7 @@ operators (P8, P11, P12, B6-B9)."""
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,6 +121,39 @@ def test_merging_in_touched_words_equals_merging_in_all(words, size):
     assert part and part == whole[: len(part)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 4), st.text("abcde", min_size=2, max_size=14)), min_size=1, max_size=12, unique_by=lambda x: x[1]), st.integers(1, 30), st.integers(1, 3), st.sampled_from([0, 512]))
+def test_merging_in_stretches_equals_merging_in_whole_words(words, size, context, few):
+    """Equal stretches counted together, cut at one to three symbols, with arrays and word by word."""
+    letters = {c: i for i, c in enumerate("abcde")}
+    rows = [(n, [letters[c] for c in w]) for n, w in words]
+    counts = {}
+    for n, ids in rows:
+        for p in zip(ids, ids[1:]):
+            counts[p] = counts.get(p, 0) + n
+    order = sorted((-n, *p) for p, n in counts.items())
+    head = {(left, right): -n for n, left, right in order[:size]}
+    whole = V.merge_touched(rows, counts, None, letters, 40, 1)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(V, "CONTEXT", context)
+        patch.setattr(V, "FEW_PAIRS", few)
+        row, found = V._stretches(pa.array([ids for _, ids in rows], pa.list_(pa.int32())), V._packed(head))
+        alike = {}
+        for r, ids in zip(row.tolist(), found.to_pylist()):
+            alike[tuple(ids)] = alike.get(tuple(ids), 0) + rows[r][0]
+        part = V.merge_touched([(n, list(ids)) for ids, n in alike.items()], head, order[size] if size < len(order) else None, letters, 40, 1)
+    assert part and part == whole[: len(part)]
+
+
+def test_equal_stretches_are_counted_once(spark, monkeypatch):
+    """Pairs that stand in 676 words but in few stretches fit a task of 200: no round falls back to counted triples."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = [f"{a}{b}uvabcdefwx{b}{a}" for a in letters for b in letters]
+    monkeypatch.setattr(V, "_counted_merges", None)
+    model, seen = _rounds(spark, texts, 4 + 36 + 3, touched=200)
+    assert _hf_train(texts, 4 + 36 + 3).get_vocab() == model.vocab and sum(seen) == 3
+
+
 def test_bpe_train_and_encode_match_library_on_documents(spark):
     from bitext.plans import fixtures as fx
 
