@@ -87,6 +87,12 @@ def band_keys(body: np.ndarray, at: np.ndarray) -> np.ndarray:
     hashes, term = text * odd[0], np.empty(len(text), np.uint64)
     for k in range(1, min(SHINGLE, len(text))):
         hashes[:-k] += np.multiply(text[k:], odd[k], out=term[:-k])
+    # a shorter line's shingle ends with it: what follows it in the slice is no part of its hash
+    lengths = np.diff(at)
+    for k in range(1, SHINGLE):
+        over = at[:-1][lengths <= k] + k
+        over = over[over < len(text)]
+        hashes[over - k] -= text[over] * odd[k]
     hashes ^= np.right_shift(hashes, np.uint64(31), out=term)
     hashes *= np.uint64(0x9E3779B97F4A7C15)
     hashes ^= np.right_shift(hashes, np.uint64(29), out=term)
@@ -96,7 +102,7 @@ def band_keys(body: np.ndarray, at: np.ndarray) -> np.ndarray:
     for k in range(1, SHINGLE):
         late = at[1:] - k
         inside[late[late > at[:-1]]] = False
-    starts = np.maximum(np.diff(at) - SHINGLE + 1, 1)
+    starts = np.maximum(lengths - SHINGLE + 1, 1)
     hashes = hashes[inside]
     slot = np.repeat(np.arange(n, dtype=np.int64) * bins, starts)
     slot += ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).view(np.int64)

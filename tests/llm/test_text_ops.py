@@ -269,6 +269,22 @@ def test_lines_outside_their_buckets_smallest_are_compared_too(spark):
     assert {(r.group_doc, r.group_line) for r in rows} == {(0, 0)}
 
 
+def test_a_short_lines_bands_are_its_own(spark):
+    """Lines shorter than a shingle have the same bands whatever follows them, and do not meet in the second scan with others."""
+    def bands(*lines):
+        body = np.frombuffer("".join(lines).encode(), np.uint8)
+        return linededup.band_keys(body, np.cumsum([0, *(len(x.encode()) for x in lines)]))
+
+    for line in ("a", "ab", "日本", "abcdefg", "abcdefgh", "abcdefghi"):
+        alone = bands(line)[0].tolist()
+        for rest in (["x"], ["cdefghij klm"], ["日本", "y"], ["b", "c", "d", "e", "f", "g", "h", "i"]):
+            assert bands(line, *rest)[0].tolist() == alone
+    # both begin with the same eight characters if the next line is read on
+    texts = ["ab\ncdefgh ij", "abc\ndefgh kl", "one line more", "ab\ncdefgh ij"]
+    rows = linededup.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line_no): (r.group_doc, r.group_line) for r in rows} == {(0, 0): (0, 0), (0, 1): (0, 1), (1, 0): (1, 0), (1, 1): (1, 1), (2, 0): (2, 0), (3, 0): (0, 0), (3, 1): (0, 1)}
+
+
 def test_toxicity(spark):
     pick = random.Random(4)
     plain = "the quiet river runs past green hills and old stone houses where people meet".split()
