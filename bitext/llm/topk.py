@@ -10,17 +10,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, scratch, spread
 
-#: Scale of the integer components, and queries that are scored at a time (one block: 2 MB at 64 dimensions).
+#: Scale of the integer components, and queries that are scored at a time.
 SCALE, BLOCK = 1024, 4096
 #: Bins of a round's histogram. Scores have 63 bits, so there are 8 rounds at most.
 BINS = 256
-#: Candidates in a slice, and scored at a time against a block of queries.
-SLICE, STEP = 1024, 512
+#: Candidates scored at a time against a block of queries.
+STEP = 512
+#: Queries, and their components, that are sent to every task at a time (8 MB); a task's histograms take 32 MB.
+SENT, SENT_CELLS = 16384, 1 << 20
+#: Rows that a task of the last round holds before it keeps each query's k best of them only.
+HELD = 1 << 20
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -48,12 +53,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     with the query's own id. Returns ``query_id, rank`` (from 1)``, vec_id, score``: all, if there are fewer than k;
     ties go to smaller ids; queries without candidates have no rows; empty tables give no rows.
 
-    Queries are cut into blocks of fixed size, and each block meets all candidates, a slice at a time, in a join on the
-    block's number. No pair's score leaves a task unless it can be among the best.
+    Queries are sent to all tasks in groups of fixed size, and every task scores its own candidates against a group: no
+    candidate is shuffled, and no pair's score leaves a task unless it can be among the best.
     """
     spark = vectors.sparkSession
-    vectors, queries = saved(vectors, "vectors"), saved(queries, "queries")
-    parts = max(1, queries.count() // BLOCK)
+    vectors, queries = saved(spread(vectors), "vectors"), saved(queries, "queries")
+    sizes = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("q")), F.lit(0)).alias("cells")).first()
+    groups = max(1, -(-sizes.n // SENT), -(-sizes.cells // SENT_CELLS))
     bound = vectors.select(F.size("q").alias("width"), F.aggregate("q", F.lit(0).cast("long"), lambda a, v: F.greatest(a, F.abs(v))).alias("top")).groupBy("width").agg(F.max("top").alias("top"))
     state = saved(
         queries.join(F.broadcast(bound), F.size("q") == F.col("width"))
@@ -62,57 +68,92 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         "ranges",
     )
 
-    n_slices = max(1, vectors.count() // SLICE)
-    # Each block goes to as many places as there are partitions, and each slice meets it in one of them.
-    salts = min(n_slices, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = queries.select(F.col("vec_id").alias("query_id"), "q", F.struct(F.size("q").alias("width"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part")).alias("block"))
-    block_ids = F.broadcast(saved(blocks.select("block").distinct(), "blocks"))  # a row per BLOCK queries
-    sliced = vectors.select(F.size("q").alias("width"), "vec_id", "q").withColumn("slice", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_slices)))
-    sliced = sliced.groupBy("width", "slice").agg(F.collect_list(F.struct("vec_id", "q")).alias("rows"))  # about SLICE each
-    sliced = sliced.join(block_ids, F.col("width") == F.col("block.width")).select("block", (F.col("slice") % salts).alias("salt"), "rows")
-
-    def meet(ranges: DataFrame) -> DataFrame:
-        """Candidates, in slices, with each block of queries of their width and the queries' ranges."""
-        packed = blocks.join(ranges.select("query_id", "lo", "hi", "need"), "query_id").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("query_id", "q", "lo", "hi", "need"))).alias("queries"))
-        packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        return sliced.join(packed, ["block", "salt"]).select("queries", "rows")
-
-    def each(batch: pa.RecordBatch):
-        for n in range(batch.num_rows):
-            q, c = batch.column("queries")[n].values, batch.column("rows")[n].values
-            qm, cm = _matrix(q.field("q")), _matrix(c.field("q"))
-            exact = float(np.abs(qm).max()) * float(np.abs(cm).max()) * qm.shape[1] < 2.0**53
-            left = qm.astype(np.float64) if exact else qm  # products of floats this size are exact, and fast
-            ids = c.field("vec_id").to_numpy()
-            own = q.field("query_id").to_numpy()
-            for at in range(0, len(ids), STEP):
-                right = cm[at : at + STEP]
-                s = left @ (right.astype(np.float64) if exact else right).T
-                yield q, own, ids[at : at + STEP], s.astype(np.int64), own[:, None] != ids[None, at : at + STEP]
-
-    def histogram(batches):
-        for batch in batches:
-            for n in range(batch.num_rows):
-                total = None
-                for q, own, ids, s, other in each(batch.slice(n, 1)):
-                    lo, hi = q.field("lo").to_numpy()[:, None], q.field("hi").to_numpy()[:, None]
+    def sent(ranges: DataFrame, group: int):
+        """The group's queries with their ranges, in blocks of one width, for every task."""
+        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == group).join(ranges.select(F.col("query_id").alias("vec_id"), "lo", "hi", "need"), "vec_id")
+        rows = own.select("vec_id", "q", "lo", "hi", "need").toArrow().combine_chunks()
+        widths = pc.list_value_length(rows["q"]).to_numpy()
+        blocks = []
+        for width in np.unique(widths):
+            same = rows.filter(pa.array(widths == width))
+            for at in range(0, len(same), BLOCK):
+                part = same.slice(at, BLOCK)
+                blocks.append((_matrix(part["q"]), *(part[c].to_numpy() for c in ("vec_id", "lo", "hi", "need"))))
+        return spark.sparkContext.broadcast(blocks)
+
+    def scored(batch: pa.RecordBatch, blocks):
+        """A batch's candidates against each block of queries of their width, a step at a time: the block's number, the
+        candidates' ids, and the scores (queries by candidates)."""
+        widths = pc.list_value_length(batch.column("q")).to_numpy()
+        for width in np.unique(widths):
+            own = batch.filter(pa.array(widths == width))
+            cm, ids = _matrix(own.column("q")), own.column("vec_id").to_numpy()
+            top = np.sqrt(np.square(cm.astype(np.float64)).sum(axis=1).max())
+            for n, block in enumerate(blocks):
+                if block[0].shape[1] == width:
+                    # no sum of products is beyond the norms' product: floats hold it and are fast
+                    reach = 1.01 * top * np.sqrt(np.square(block[0].astype(np.float64)).sum(axis=1).max())
+                    kind = np.float32 if reach < 2.0**24 else np.float64 if reach < 2.0**53 else np.int64
+                    left, right = block[0].astype(kind), cm.astype(kind)
+                    for at in range(0, len(ids), STEP):
+                        yield n, ids[at : at + STEP], left @ right[at : at + STEP].T
+
+    def reaching(s: np.ndarray, least: np.ndarray, own: np.ndarray, ids: np.ndarray):
+        """Query, candidate and score of the pairs with ``least`` of their query or more, but a query with itself."""
+        # a bound beyond what the scores' type holds exactly is rounded down at most
+        bound = least.astype(s.dtype)
+        if s.dtype != np.int64:
+            bound = np.where(bound > least, np.nextafter(bound, s.dtype.type(-np.inf)), bound)
+        row, column = np.nonzero(s >= bound[:, None])
+        score = s[row, column].astype(np.int64)
+        keep = (own[row] != ids[column]) & (score >= least[row])
+        return row[keep], column[keep], score[keep]
+
+    def histogram(blocks):
+        def count(batches):
+            totals, floors, steps = {}, {}, {}
+            for batch in batches:
+                for n, ids, s in scored(batch, blocks.value):
+                    _, own, lo, hi, need = blocks.value[n]
+                    if n not in totals:
+                        totals[n], floors[n], steps[n] = np.zeros((len(own), BINS), np.int64), lo, 0
                     width = np.maximum(1, -(-(hi - lo) // BINS))
-                    place = (s - lo) // width
-                    inside = other & (s >= lo) & (s < hi)
-                    row, column = np.nonzero(inside)
-                    counts = np.bincount(row * BINS + place[row, column], minlength=len(own) * BINS).reshape(len(own), BINS)
-                    total = counts if total is None else total + counts
+                    row, _, score = reaching(s, floors[n], own, ids)
+                    inside = score < hi[row]
+                    row, score = row[inside], score[inside]
+                    np.add.at(totals[n].reshape(-1), row * BINS + (score - lo[row]) // width[row], 1)
+                    steps[n] += 1
+                    if not steps[n] & (steps[n] - 1):  # scores in places below the first ones that hold enough cannot matter
+                        enough = np.cumsum(totals[n][:, ::-1], axis=1)[:, ::-1] >= need[:, None]
+                        floors[n] = lo + np.maximum(0, enough.sum(axis=1) - 1) * width
+            for n, total in totals.items():
                 # places from the top until the task alone has enough; lower ones cannot hold the k-th best
                 above = np.cumsum(total[:, ::-1], axis=1)[:, ::-1] - total
-                row, place = np.nonzero((total > 0) & (above < q.field("need").to_numpy()[:, None]))
-                yield pa.record_batch([pa.array(own[row]), pa.array(place), pa.array(total[row, place])], ["query_id", "place", "n"])
+                row, place = np.nonzero((total > 0) & (above < blocks.value[n][4][:, None]))
+                yield pa.record_batch([pa.array(blocks.value[n][1][row]), pa.array(place), pa.array(total[row, place])], ["query_id", "place", "n"])
+
+        return count
+
+    def each_group(ranges: DataFrame, rows, name: str, schema: str) -> DataFrame:
+        """``rows`` of each group's queries, given what was sent of them, written to one table."""
+        path = scratch(spark, name)
+        for group in range(groups):
+            blocks = sent(ranges, group)
+            rows(blocks).write.mode("append").parquet(path)
+            blocks.destroy()
+        return spark.read.schema(schema).parquet(path)
 
     w = Window.partitionBy("query_id").orderBy(F.desc("place"))
     while not state.where("hi - lo > 1 and not all").isEmpty():
         open_ = state.where("hi - lo > 1 and not all")
-        counts = meet(open_).mapInArrow(histogram, "query_id long, place long, n long").groupBy("query_id", "place").agg(F.sum("n").alias("n"))
-        # at most BINS rows a query
-        found = counts.withColumn("upto", F.sum("n").over(w)).join(open_.select("query_id", "need"), "query_id").where("upto >= need").groupBy("query_id").agg(F.max(F.struct("place", "upto", "n")).alias("b"))
+
+        def places(blocks, open_=open_):
+            counts = vectors.mapInArrow(histogram(blocks), "query_id long, place long, n long").groupBy("query_id", "place").agg(F.sum("n").alias("n"))
+            # at most BINS rows a query
+            reached = counts.withColumn("upto", F.sum("n").over(w)).join(open_.select("query_id", "need"), "query_id").where("upto >= need")
+            return reached.groupBy("query_id").agg(F.max(F.struct("place", "upto", "n")).alias("b"))
+
+        found = each_group(open_, places, "places", "query_id long, b struct<place:long,upto:long,n:long>")
         step = F.expr("greatest(1, (hi - lo + %d) div %d)" % (BINS - 1, BINS))
         new = open_.join(found, "query_id", "left").select(
             "query_id",
@@ -123,20 +164,36 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         )
         state = saved(state.where("hi - lo <= 1 or all").unionByName(new), "ranges")
 
-    def best(batches):
-        for batch in batches:
-            for n in range(batch.num_rows):
-                kept = []
-                for q, own, ids, s, other in each(batch.slice(n, 1)):
-                    row, column = np.nonzero(other & (s >= q.field("lo").to_numpy()[:, None]))
-                    kept.append((own[row], ids[column], s[row, column]))
-                query, ids, s = (np.concatenate(x) for x in zip(*kept))
-                order = np.lexsort((ids, -s, query))
-                query, ids, s = query[order], ids[order], s[order]
-                first = np.searchsorted(query, query)
-                own = np.arange(len(query)) - first < k
-                yield pa.record_batch([pa.array(query[own]), pa.array(ids[own]), pa.array(s[own])], ["query_id", "vec_id", "score"])
-
-    rows = meet(state).mapInArrow(best, "query_id long, vec_id long, score long")
+    def cut(kept: list) -> list:
+        """The k best of each query in ``kept``."""
+        query, ids, s = (np.concatenate(x) for x in zip(*kept))
+        order = np.lexsort((ids, -s, query))
+        query, ids, s = query[order], ids[order], s[order]
+        own = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return [(query[own], ids[own], s[own])]
+
+    def best(blocks):
+        def choose(batches):
+            kept, n_kept, most = [], 0, HELD
+            for batch in batches:
+                for n, ids, s in scored(batch, blocks.value):
+                    _, own, lo, _, _ = blocks.value[n]
+                    row, column, score = reaching(s, lo, own, ids)
+                    kept.append((own[row], ids[column], score))
+                    n_kept += len(row)
+                    if n_kept > most:
+                        kept = cut(kept)
+                        n_kept = len(kept[0][0])
+                        most = n_kept + HELD
+            if kept:
+                yield pa.record_batch([pa.array(x) for x in cut(kept)[0]], ["query_id", "vec_id", "score"])
+
+        return choose
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(blocks):
+        rows = vectors.mapInArrow(best(blocks), "query_id long, vec_id long, score long")
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    return each_group(state, ranked, "best", "query_id long, rank int, vec_id long, score long")

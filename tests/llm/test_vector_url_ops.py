@@ -55,6 +55,21 @@ def test_top_k_of_large_scores_is_exact(spark):
     assert got == [(i, -s) for s, i in scores[:5]]
 
 
+def test_top_k_in_groups_of_queries(spark, monkeypatch):
+    """Queries in more groups and blocks than one, candidates in several steps, and a task that cuts what it holds."""
+    for name, value in (("SENT", 40), ("BLOCK", 16), ("STEP", 8), ("HELD", 50)):
+        monkeypatch.setattr(topk, name, value)
+    pick = np.random.default_rng(9)
+    own = [(k, pick.integers(-3, 4, 5).tolist()) for k in range(300)]  # many ties
+    rows = spark.createDataFrame(own, "vec_id long, q array<long>")
+    got = {}
+    for r in topk.top_k(rows, rows.where("vec_id < 120"), 4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for query in range(120):
+        scores = sorted((-sum(a * b for a, b in zip(own[query][1], v)), i) for i, v in own if i != query)
+        assert sorted(got[query]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores[:4])]
+
+
 def test_embedding_near_duplicates(spark, vectors):
     rows = {r.vec_id: r.embedding for r in vectors.orderBy(F.desc("vec_id")).collect() if r.vec_id is not None}
     good = {k: np.array(e, float) for k, e in rows.items() if e and all(x is not None and np.isfinite(x) for x in e) and any(e)}
